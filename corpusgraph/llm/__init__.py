@@ -1,0 +1,10 @@
+"""Operators for preparing large training corpora.
+
+The package is pickled by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
