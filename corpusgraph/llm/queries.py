@@ -6,18 +6,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash
+from . import exact_dedup, mixing, packing, quality, simhash, tiff, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tiff.page_features(tiff.encode_texts(table(spark, sf_dir, "documents")))
+    return pages.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op4_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), entries)
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS))
 
@@ -31,11 +52,18 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_best_fit, op8_content_sort, op10_subset_sum_mix)}
-
-_WORDS = r"'[^\x20\x09-\x0D]+'"
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op7_best_fit, op8_content_sort, op10_subset_sum_mix)}
 
 ORACLES: dict[str, str] = {
+    "op4_bloom_urls": r"""
+        WITH r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+        b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+        c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+        d AS (SELECT c.page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
+              FROM c JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY c.page_id)
+        SELECT c.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM c LEFT JOIN d USING (page_id)""",
     "op8_content_sort": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
