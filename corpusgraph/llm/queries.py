@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash, tiff, url_filter
+from . import exact_dedup, mixing, packing, quality, simhash, tiff, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,12 +47,16 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op7_best_fit, op8_content_sort, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op7_best_fit, op8_content_sort, op9_crf, op10_subset_sum_mix)}
 
 ORACLES: dict[str, str] = {
     "op4_bloom_urls": r"""
