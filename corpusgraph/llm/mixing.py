@@ -22,22 +22,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
-from .common import as_bytes
+from .common import as_bytes, materialize
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 SLICES = 256
 SEED = 7
+_OWN = "__mix_"  # names of columns beside those of the caller
+SRC, SIZE, DRAW, SLICE = (f"{_OWN}{x}" for x in ("src", "size", "draw", "slice"))
 
 
-def _sized(text_column: str, id_column: str, source_column: str):
+def _sized(text_column: str, source_column: str, keep: list[str]):
     def run(batches):
         for b in batches:
             at = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             size = [len(t.split()) for t in as_bytes(at[text_column])]
             key = ["" if s is None else f"={s}" for s in at[source_column].to_pylist()]
-            yield pa.RecordBatch.from_arrays([at[id_column].cast(pa.int64()), pa.array(key, pa.string()), pa.array(size, pa.int64())], names=["id", "src", "size"])
+            yield pa.RecordBatch.from_arrays([*[at[k] for k in keep], pa.array(key, pa.string()), pa.array(size, pa.int64())], names=[*keep, SRC, SIZE])
 
     return run
 
@@ -107,11 +110,13 @@ def fit(lengths: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": lengths["src"], "size": size, "quota": quota, "whole": whole})
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[float] = WEIGHTS, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
-    """A row per document: id, src, size, source_size, target, copies, taken."""
-    sized = docs.select(id_column, text_column, source_column).mapInArrow(_sized(text_column, id_column, source_column), "id long, src string, size long")
-    drawn = sized.withColumn("draw", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("slice", F.pmod(F.shiftright("draw", 40), F.lit(SLICES)))
-    counted = drawn.groupBy("src", "size", "slice").agg(F.count("*").alias("n"))
+def _planned(docs: DataFrame, keep: list[str], id_column: str, text_column: str, source_column: str, weights: Sequence[float], limit: float, seed: int) -> DataFrame:
+    """The columns to keep with own columns source, size, total, target and copies."""
+    fields = [docs.schema[k] for k in keep]
+    schema = StructType([*fields, StructField(SRC, StringType()), StructField(SIZE, LongType())])
+    sized = docs.select(*dict.fromkeys([*keep, id_column, text_column, source_column])).mapInArrow(_sized(text_column, source_column, keep), schema)
+    drawn = sized.withColumn(DRAW, F.xxhash64(F.lit(seed), F.col(id_column))).withColumn(SLICE, F.pmod(F.shiftright(DRAW, 40), F.lit(SLICES)))
+    counted = materialize(drawn.groupBy(SRC, SIZE, SLICE).agg(F.count("*").alias("n")), "lengths").withColumnsRenamed({SRC: "src", SIZE: "size", SLICE: "slice"})
     lengths = counted.groupBy("src", "size").agg(F.sum("n").alias("n"))
     goal = targets(lengths.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("total")), weights, limit)
     quotas = lengths.join(goal, "src").select("src", "size", "n", "total", "target").groupBy("src").applyInPandas(fit, "src string, size long, quota long, whole long")
@@ -119,8 +124,22 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     ahead = Window.partitionBy("src", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     plan = placed.join(quotas, ["src", "size"]).join(goal, "src").select("src", "size", "slice", "ahead", "quota", "whole", "total", "target")
-    rank = F.row_number().over(Window.partitionBy("src", "size", "slice").orderBy("draw", "id"))
-    rows = drawn.withColumn("rank", rank).join(plan, ["src", "size", "slice"])
-    copies = F.col("whole") + (F.col("ahead") + F.col("rank") <= F.col("quota")).cast("long")
-    source = F.when(F.col("src") != "", F.expr("substring(src, 2)"))
-    return rows.select("id", source.alias("src"), "size", F.col("total").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    plan = plan.withColumnsRenamed({"src": SRC, "size": SIZE, "slice": SLICE} | {k: f"{_OWN}{k}" for k in ("ahead", "quota", "whole", "total", "target")})
+    ties = [F.xxhash64(*[c for c in keep if not isinstance(docs.schema[c].dataType, MapType)])] if len(keep) > 1 else []
+    rank = F.row_number().over(Window.partitionBy(SRC, SIZE, SLICE).orderBy(DRAW, id_column, *ties))
+    rows = drawn.withColumn(f"{_OWN}rank", rank).join(plan, [SRC, SIZE, SLICE])
+    taken = F.col(f"{_OWN}ahead") + F.col(f"{_OWN}rank") <= F.col(f"{_OWN}quota")
+    return rows.withColumn(f"{_OWN}copies", F.col(f"{_OWN}whole") + taken.cast("long")).withColumn(f"{_OWN}source", F.when(F.col(SRC) != "", F.expr(f"substring({SRC}, 2)")))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[float] = WEIGHTS, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
+    """A row per document: id, src, size, source_size, target, copies, taken."""
+    rows = _planned(docs, [id_column], id_column, text_column, source_column, weights, limit, seed)
+    copies, size = F.col(f"{_OWN}copies"), F.col(SIZE)
+    return rows.select(F.col(id_column).alias("id"), F.col(f"{_OWN}source").alias("src"), size.alias("size"), F.col(f"{_OWN}total").alias("source_size"), F.col(f"{_OWN}target").alias("target"), copies.alias("copies"), (copies * size).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: Sequence[float] = WEIGHTS, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of docs as many times as the mix takes it."""
+    rows = _planned(docs, docs.columns, id_column, text_column, source_column, weights, limit, seed)
+    return rows.withColumn(f"{_OWN}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{_OWN}copies")))).where(F.col(f"{_OWN}copies") > 0).select(*docs.columns)
