@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, packing, quality, simhash, tiff, toxicity, url_filter
+from . import exact_dedup, lm_scoring, mixing, packing, quality, simhash, suffix_dedup, tiff, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op4_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), entries)
 
 
+def op5_merged_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_scoring.score(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
@@ -61,7 +65,7 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op6_context_mixing, op7_best_fit, op8_content_sort, op9_crf, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op5_merged_suffixes, op6_context_mixing, op7_best_fit, op8_content_sort, op9_crf, op10_subset_sum_mix)}
 
 ORACLES: dict[str, str] = {
     "op4_bloom_urls": r"""
