@@ -261,16 +261,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return c
 
 
-def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE, seed: int = SEED) -> dict | None:
-    """Rows with a label of 0 or 1 -> the model: weights w, transitions t, calibration c."""
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE, seed: int = SEED) -> dict | None:
+    """Documents and labels of 0 or 1 by id -> the model: weights w, transitions t, calibration c.
+
+    Ids are drawn from the labels alone; the sample, at most about twice ``sample`` ids, is broadcast to the documents.
+    """
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(1_000_000))
-    rows = labelled.where(F.col(label_column).isin(0, 1)).select(draw.alias("draw"), text_column, label_column)
-    sides = {r[label_column]: r["n"] for r in rows.groupBy(label_column).agg(F.count("*").alias("n")).collect()}
+    given = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).select(id_column, F.col(label_column).cast("int").alias(label_column), draw.alias("draw")).distinct()
+    sides = {r[label_column]: r["n"] for r in given.groupBy(label_column).agg(F.count("*").alias("n")).collect()}
     if set(sides) != {0, 1}:
         return None
     share = {k: min(1.0, sample / n) for k, n in sides.items()}
     limit = F.when(F.col(label_column) == 1, F.lit(1e6 * share[1])).otherwise(F.lit(1e6 * share[0]))
-    rows = materialize(rows.where(F.col("draw") < limit).withColumn("shard", F.pmod("draw", F.lit(SHARDS * 2))), "labelled")
+    drawn = given.where(F.col("draw") < limit)
+    rows = docs.select(id_column, text_column).join(F.broadcast(drawn), id_column).select("draw", text_column, label_column)
+    rows = materialize(rows.withColumn("shard", F.pmod("draw", F.lit(SHARDS * 2))), "labelled")
     crf, rest = rows.where(F.col("shard") < SHARDS), rows.where(F.col("shard") >= SHARDS)
     lexicon = _lexicon(crf, text_column, label_column)
     parts = crf.groupBy("shard").applyInPandas(_shard_weights(lexicon, text_column, label_column), "key long, value double")
@@ -281,7 +286,7 @@ def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "te
         else:
             t[r.key - MASK - 10] = r.value
     model = {"w": w, "t": t.reshape(3, 2)}
-    known = labelled.sparkSession.sparkContext.broadcast(model)
+    known = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([StructField(label_column, rows.schema[label_column].dataType), *[StructField(f"x{k}", DoubleType()) for k in range(4)]])
     table = rest.mapInArrow(_scores(known, text_column, [label_column], True), schema).toPandas().sort_values([label_column, "x0", "x1", "x2", "x3"])
     y = table[label_column].to_numpy(dtype=float)
@@ -327,8 +332,7 @@ def spans(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column:
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """Train on the labels outside the held-out fifth, score all: id, held_out, score, predicted."""
     own = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("body"))
-    given = labels.select(F.col(id_column).alias("doc"), F.col(label_column).cast("int").alias("label")).where(F.col("doc").isNotNull() & F.col("label").isin(0, 1)).distinct()
-    labelled = own.where(crc_mod(F.col("doc"), 5) != 0).join(given, "doc")
-    model = train(labelled, "doc", "body", "label")
+    given = labels.select(F.col(id_column).alias("doc"), F.col(label_column).alias("label")).where(crc_mod(F.col("doc"), 5) != 0)
+    model = train(own, given, "doc", "body", "label")
     scored = score(own, model, "body", ("doc",))
     return scored.select(F.col("doc").alias(id_column), (crc_mod(F.col("doc"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -60,7 +60,7 @@ def test_held_out_accuracy_and_spans(spark):
     out = [r for r in found if r.held_out]
     assert len(found) == len(rows) and 100 < len(out) < 300
     assert sum(r.predicted == truth[r.doc_id] for r in out) / len(out) > 0.97
-    model = toxicity.train(docs.join(given, "doc_id"))
+    model = toxicity.train(docs, given)
     for r in toxicity.spans(docs.where("doc_id < 60"), model).collect():
         assert rows[r.id][1][r.start : r.end] == r.span
     bad = spark.createDataFrame([(1, "w1  w2\n rotten vilebad, w3")], "doc_id long, text string")
