@@ -1,6 +1,11 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
+from . import concept_queries, document_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (concept_queries, document_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -1 +1 @@
-"""corpusgraph.sources"""
+"""Inventories of files and their parsers."""
