@@ -15,7 +15,7 @@ else. Finding these strings takes three steps, all exact.
    characters stably sorts the suffixes by one more character, and a block of
    suffixes that are still equal after ``LENGTH`` rounds is a repeated
    interval with a common prefix of that length. Suffixes are never compared
-   again across shards; blocks that fell apart keep their order.
+   again across shards; one that is alone in its block leaves.
 3. The repeated windows return to their documents, where their union goes.
 
 An anchor with more than ``GROUP`` differing pieces (the edges of a passage
@@ -35,9 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import as_bytes, materialize
 
@@ -87,100 +88,105 @@ def _uid(doc, text: bytes) -> int:
 _PIECE = "h long, digest long, uid long, first long, last long"
 
 
-def _pieces(length: int):
+def _pieces(length: int, whole: bool):
+    """Documents -> their pieces; without whole, the anchors' hashes alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 h, first, last = anchors(text, length)
-                if not len(h):
-                    continue
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(text[i : j + length]) for i, j in zip(first.tolist(), last.tolist())), np.uint64, len(h))
-                for c, x in zip(columns, (h, digest.view(np.int64), np.full(len(h), _uid(doc, text)), first, last), strict=True):
-                    c.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=[x.split()[0] for x in _PIECE.split(", ")])
+                columns[0].append(h)
+                if whole and len(h):
+                    digest = np.fromiter((xxhash.xxh3_64_intdigest(text[i : j + length]) for i, j in zip(first.tolist(), last.tolist())), np.uint64, len(h))
+                    for c, x in zip(columns[1:], (digest.view(np.int64), np.full(len(h), _uid(doc, text)), first, last), strict=True):
+                        c.append(x)
+            if any(len(h) for h in columns[0]):
+                names = [x.split()[0] for x in _PIECE.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns if c], names=names if whole else names[:1])
 
     return run
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """The order of a shard's suffixes by at least their first depth symbols, by prefix doubling; ties by place."""
-    rank, size = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    """The order of a shard's suffixes by at least their first depth symbols (under 512 each), by prefix doubling; ties by place."""
+    n, size = len(text), 6
+    padded = np.concatenate([text.astype(np.int64), np.zeros(size, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(size):
+        key = key << 9 | padded[k : n + k]
     while True:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - size] = rank[size:] + 1 if size < len(rank) else 0
-        key = rank * (int(rank.max()) + 2) + ahead
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(len(rank), np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank, size = new, size * 2
-        if size >= depth or size >= len(rank) or int(rank.max()) == len(rank) - 1:
+        ordered = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        if size >= depth or rank[order[-1]] == n - 1:
             return order
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - size)] = rank[size:] + 1
+        key = rank * (n + 1) + ahead
+        size *= 2
 
 
-def merged_blocks(shards: list[np.ndarray], depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Merge the shards' transforms: their suffix arrays, and in merged order each suffix's shard and its block of equal first depth symbols.
+def merged_blocks(shards: list[np.ndarray], depth: int, starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the shards' transforms for the suffixes at starts: which are equal to others in depth symbols, and their blocks.
 
-    The interleave begins unsorted; each round sorts the interleaved symbols
-    stably, which sorts the suffixes by one more symbol. The positions at which
-    a block splits in round k have a longest common prefix of k - 1.
+    A suffix enters as the one that lies depth symbols after it. In a round,
+    every entry reads its transform's symbol, that of the place before it, and
+    a stable sort of these symbols sorts all entries by one more symbol; each
+    moves on by its transform's mapping. Entries of one block with one symbol
+    form a block of the next round. Those alone in their block have their
+    longest common prefix and leave, as nothing before them can be repeated.
+    Returns places in the joined shards, and their blocks, in merged order.
     """
-    orders = [suffix_array(s, depth + 1) for s in shards]
-    transforms = np.concatenate([s[o - 1] for s, o in zip(shards, orders, strict=True)])
-    z = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    block = np.zeros(len(z), np.int64)
-    symbol = np.empty_like(transforms)
+    base = np.cumsum([0, *map(len, shards)])
+    transforms, maps, entries, places = [], [], [], []
+    for text, at, offset in zip(shards, starts, base[:-1].tolist(), strict=True):
+        order = suffix_array(text, depth + 1)
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.arange(len(text))
+        transforms.append(text[order - 1])
+        maps.append(rank[order - 1] + offset)
+        places.append(order + offset)
+        entries.append(np.sort(rank[at + depth]) + offset)
+    symbols, mapping, place = np.concatenate(transforms), np.concatenate(maps), np.concatenate(places)
+    entry = np.concatenate(entries)
+    block = np.zeros(len(entry), np.int64)
     for _ in range(depth):
-        symbol[np.argsort(z, kind="stable")] = transforms  # the next symbol of each entry's own transform
+        if len(entry) < 2:
+            return entry[:0], block[:0]
+        symbol = symbols.take(entry)
         order = np.argsort(symbol, kind="stable")
-        moved, own = symbol[order], block[order]
-        split = np.empty(len(z), bool)
-        split[:1] = False
-        split[1:] = (moved[1:] != moved[:-1]) | (own[1:] != own[:-1])
-        new = np.cumsum(split)
-        z = z[order]
-        if new[-1] == len(z) - 1:  # no two suffixes are equal any more
-            block = new
-            break
-        block = new
-    return orders, z, block
-
-
-def repeated_windows(pieces: list[bytes], weights: list[int], length: int, shard: int = SHARD) -> list[np.ndarray]:
-    """For each piece, which of its windows occur at least twice in all pieces; a piece counts as often as its weight."""
+        moved, own = symbol.take(order), block.take(order)
+        split = np.empty(len(entry) + 1, bool)
+        split[0] = split[-1] = True
+        split[1:-1] = (moved[1:] != moved[:-1]) | (own[1:] != own[:-1])
+        alone = split[:-1] & split[1:]
+        block = np.cumsum(split[:-1])
+        entry = mapping.take(entry.take(order))
+        if alone.any():
+            block, entry = block[~alone], entry[~alone]
+    return place[entry], block
+
+
+def repeated_windows(pieces: list[bytes], length: int, shard: int = SHARD) -> list[np.ndarray]:
+    """For each piece, which of its windows occur at least twice in all pieces."""
     sizes = np.array([len(p) + 1 for p in pieces])
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // shard)) + 1
-    groups = np.split(np.arange(len(pieces)), cuts)
-    shards, starts = [], []
-    for g in groups:
-        flat = np.zeros(int(sizes[g].sum()), np.uint16)  # symbol 0 ends a piece
-        at = np.cumsum(sizes[g]) - sizes[g]
-        for i, k in zip(at.tolist(), g.tolist(), strict=True):
-            flat[i : i + len(pieces[k])] = np.frombuffer(pieces[k], np.uint8).astype(np.uint16) + 1
-        shards.append(flat)
-        starts.append(at)
-    orders, z, block = merged_blocks(shards, length)
-    weight_of = []
-    for g, at, flat in zip(groups, starts, shards, strict=True):
-        weight = np.zeros(len(flat), np.int64)
-        for i, k in zip(at.tolist(), g.tolist(), strict=True):
-            weight[i : i + len(pieces[k]) - length + 1] = weights[k]
-        weight_of.append(weight)
-    rank_in = np.argsort(z, kind="stable")  # merged places, shard by shard in the order of its suffix array
-    weight = np.empty(len(z), np.int64)
-    weight[rank_in] = np.concatenate([w[o] for w, o in zip(weight_of, orders, strict=True)])
-    total = np.bincount(block, weights=weight)
-    twice = (total[block] >= 2) & (weight > 0)
-    back = np.split(twice[rank_in], np.cumsum([len(s) for s in shards])[:-1])
-    out = []
-    for g, at, o, hit in zip(groups, starts, orders, back, strict=True):
-        flags = np.empty(len(o), bool)
-        flags[o] = hit
-        out += [flags[i : i + len(pieces[k]) - length + 1] for i, k in zip(at.tolist(), g.tolist(), strict=True)]
-    return out
+    at = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), np.uint16)  # symbol 0 ends a piece
+    for i, p in zip(at.tolist(), pieces, strict=True):
+        flat[i : i + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 1
+    first_of = np.flatnonzero(np.concatenate([[True], np.diff(at // shard) > 0]))
+    cuts = [*at[first_of].tolist(), len(flat)]
+    counts = sizes - length  # windows of each piece
+    own = np.repeat(np.arange(len(pieces)), counts)
+    start = at[own] + np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    edge = np.searchsorted(start, cuts)
+    shards = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+    place, _ = merged_blocks(shards, length, [start[i:j] - a for i, j, a in zip(edge, edge[1:], cuts)])
+    hit = np.zeros(len(flat), bool)
+    hit[place] = True
+    return [hit[i : i + n] for i, n in zip(at.tolist(), counts.tolist(), strict=True)]
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -197,7 +203,7 @@ def _merge(length: int):
         size = 0
 
         def emit() -> pa.RecordBatch:
-            flags = repeated_windows([r[4] for r in held], [r[3] for r in held], length)
+            flags = repeated_windows([r[4] for r in held], length)
             rows = [(r[1], r[2] + a, r[2] + b) for r, f in zip(held, flags, strict=True) if r[3] == 1 for a, b in _spans(f)]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["uid", "first", "last"])
 
@@ -220,8 +226,9 @@ def _cut(length: int):
     """Documents with the pieces asked of them -> the pieces' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts = as_bytes(b.column(1))
+            texts = [expand(t) for t in b.column(1).to_pylist()]
             out = []
             for i, (uid, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 for x in asked:
@@ -246,16 +253,20 @@ def _windows(length: int):
 
 
 def _with_uid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are shuffled compressed."""
+    press = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        uid = [_uid(d, t) for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(uid, pa.int64())], names=["doc", "body", "uid"])
+        texts = as_bytes(b.column(1))
+        uid = [_uid(d, t) for d, t in zip(b.column(0).to_pylist(), texts, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t) for t in texts], pa.binary()), pa.array(uid, pa.int64())], names=["doc", "body", "uid"])
 
 
 def _kept(length: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
-            for text, found in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for text, found in zip(map(expand, b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
                 n = len(text)
                 edge = np.zeros(n + 1, np.int32)
                 for x in found or []:
@@ -273,14 +284,15 @@ def _kept(length: int, keep_text: bool):
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, keep_text: bool = False, group: int = GROUP) -> DataFrame:
     """A row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining bytes."""
     own = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("body"))
-    pieces = own.mapInArrow(_pieces(length), _PIECE)
-    # one shuffle by anchor and digest; anchors that occur once drop out by their totals
+    # anchors that occur once drop out before anything else of their pieces is kept
+    often = own.mapInArrow(_pieces(length, False), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    pieces = materialize(own.mapInArrow(_pieces(length, True), _PIECE).join(often, "h"), "shared-pieces")
     equal = materialize(pieces.groupBy("h", "digest").agg(F.count("*").alias("c"), F.min(F.struct("uid", "first", "last")).alias("one")), "equal-pieces")
-    shared = equal.groupBy("h").agg(F.sum("c").alias("all_c"), F.count("*").alias("kinds"), F.min("c").alias("least")).where("all_c > 1")
+    shared = equal.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
     # unlike pieces of an anchor, of which any occurs once, are compared
     open_h = shared.where("kinds > 1 AND least = 1").select("h", (F.col("kinds") > group).alias("hot"))
     asked = equal.join(open_h, "h").select("h", "digest", "hot", "c", "one.*").groupBy("uid").agg(F.collect_list(F.struct("h", "digest", "first", "last", "c", "hot")).alias("asked"))
-    marked = own.mapInArrow(_with_uid, StructType([StructField("doc", LongType()), StructField("body", docs.schema[text_column].dataType), StructField("uid", LongType())]))
+    marked = own.mapInArrow(_with_uid, StructType([StructField("doc", LongType()), StructField("body", BinaryType()), StructField("uid", LongType())]))
     cut = materialize(marked.join(asked, "uid").select("uid", "body", "asked").mapInArrow(_cut(length), "h long, uid long, first long, c long, piece binary, hot boolean"), "open-pieces")
     merged = cut.where("NOT hot").repartition("h").sortWithinPartitions("h").select("h", "uid", "first", "c", "piece").mapInArrow(_merge(length), "uid long, first long, last long")
     windows = cut.where("hot").mapInArrow(_windows(length), "window binary, uid long, at long, c long")
