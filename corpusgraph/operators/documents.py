@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EXTENSION = r"\.[A-Za-z0-9]{1,10}$"
 TRIED = (".md", ".txt", ".pdf", ".docx", ".html")
@@ -111,6 +114,18 @@ def weights(terms: DataFrame, documents: int) -> DataFrame:
     return raw.select("path", "lemma", "df", (F.col("w") / norm).alias("w"))
 
 
+@F.pandas_udf(DoubleType())
+def _dot(ka: pd.Series, wa: pd.Series, kb: pd.Series, wb: pd.Series) -> pd.Series:
+    """Products of sorted sparse vectors."""
+
+    def one(x, u, y, v) -> float:
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        hit = y[at] == x
+        return float(u[hit] @ v[at[hit]])
+
+    return pd.Series([one(*r) for r in zip(ka, wa, kb, wb)], dtype=float)
+
+
 def affinity(terms: DataFrame, documents: int, floor: float = FLOOR, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
     """a, b, cosine of at least floor.
 
@@ -123,10 +138,10 @@ def affinity(terms: DataFrame, documents: int, floor: float = FLOOR, max_pairs:
     indexed = v.withColumn("norm2", before).where(F.col("norm2") >= floor * floor * 0.999).select("path", "lemma")
     met = indexed.withColumnRenamed("path", "a").join(v.select(F.col("path").alias("b"), "lemma"), "lemma").where("a <> b")
     candidates = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    vectors = v.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("lemma", "w"))).alias("v"))
-    left, right = vectors.select(F.col("path").alias("a"), F.col("v").alias("x")), vectors.select(F.col("path").alias("b"), F.col("v").alias("y"))
-    dot = F.aggregate(F.map_keys("x"), F.lit(0.0), lambda s, k: s + F.coalesce(F.col("x")[k] * F.col("y")[k], F.lit(0.0)))
-    pairs = candidates.join(left, "a").join(right, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= floor)
+    entries = F.array_sort(F.collect_list(F.struct(F.xxhash64("lemma").alias("k"), "w")))
+    vectors = v.groupBy("path").agg(entries.alias("v")).select("path", F.col("v.k").alias("k"), F.col("v.w").alias("w"))
+    left, right = (vectors.select(F.col("path").alias(x), F.col("k").alias(f"k{x}"), F.col("w").alias(f"w{x}")) for x in ("a", "b"))
+    pairs = candidates.join(left, "a").join(right, "b").select("a", "b", _dot("ka", "wa", "kb", "wb").alias("cosine")).where(F.col("cosine") >= floor)
     return pairs if max_pairs is None else pairs.orderBy(F.desc("cosine"), "a", "b").limit(max_pairs)
 
 

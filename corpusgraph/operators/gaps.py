@@ -88,3 +88,31 @@ def question(terms_a: list[str], terms_b: list[str], has_path: bool = True) -> s
     a, b = listing(terms_a), listing(terms_b)
     k = seed(f"{a}|{b}") % len(_ASKED)
     return _ASKED[3 if k == 1 and not has_path else k].format(a=a, b=b)
+
+
+def missing_bridges(nodes: DataFrame, edges: DataFrame, postings: DataFrame, reviewed: int = 400, min_docs: int = 2, limit: int | None = MAX_BRIDGES) -> DataFrame:
+    """Concepts between two communities that no document of theirs joins.
+
+    nodes (id, lemma, betweenness, community), edges (a_id, b_id), postings
+    (lemma, path). For each of the most central concepts, the two communities
+    with most of its neighbours are its sides; a bridge is missing where both
+    sides occur in its documents, but never in the same one. Ties of sides go
+    to the smaller community.
+    """
+    ends = edges.where("a_id <> b_id").select(F.col("a_id").alias("id"), F.col("b_id").alias("near"))
+    ends = ends.unionByName(ends.select(F.col("near").alias("id"), F.col("id").alias("near")))
+    degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
+    nodes = nodes.select("id", "lemma", "betweenness", "community")
+    central = nodes.join(degree, "id").where("degree >= 2 AND betweenness > 0").orderBy(F.desc("betweenness"), "id").limit(reviewed).select("id", "lemma", "betweenness")
+    held = postings.select("lemma", "path").distinct()
+    own = held.join(F.broadcast(central), "lemma").select("id", "path")
+    enough = own.groupBy("id").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("id")
+    near = ends.join(F.broadcast(central.select("id")), "id").join(F.broadcast(nodes.select(F.col("id").alias("near"), F.col("lemma").alias("near_lemma"), "community")), "near")
+    sides = near.groupBy("id", "community").agg(F.count("*").alias("n")).withColumn("side", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "community"))).where("side <= 2")
+    both = sides.groupBy("id").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max(F.when(F.col("side") == 1, F.col("community"))).alias("community_a"), F.max(F.when(F.col("side") == 2, F.col("community"))).alias("community_b")).where("k = 2")
+    asked = near.join(sides.select("id", "community", "side"), ["id", "community"]).select("id", "side", F.col("near_lemma").alias("lemma"))
+    seen = held.join(F.broadcast(asked), "lemma").select("id", "path", "side").distinct().join(own, ["id", "path"])
+    per = seen.groupBy("id", "path").agg(F.count("*").alias("sides"), F.min("side").alias("first")).groupBy("id").agg(F.count_if(F.col("sides") == 2).alias("joint"), F.count_if(F.col("first") == 1).alias("docs_a"), F.count_if((F.col("first") == 2) | (F.col("sides") == 2)).alias("docs_b"))
+    found = per.where("joint = 0 AND docs_a > 0 AND docs_b > 0").join(both, "id").join(enough, "id", "left_semi").join(central, "id")
+    out = found.select("id", "lemma", "community_a", "community_b", "docs_a", "docs_b", (F.col("betweenness") * F.col("least")).alias("score"))
+    return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)

@@ -191,12 +191,12 @@ def version_chains(spark, sf):
     return do.version_chains(paths)
 
 
-@R.add("WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS path, unnest(['doi:10.1234/a' || (doc_id % 41), 'cita:perez:' || (1990 + doc_id % 23), 'cita:gomez:' || (2000 + doc_id % 17)]) AS key FROM documents), u AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 40), x AS (SELECT k.* FROM k JOIN u USING (key)) SELECT x.path AS a, y.path AS b, count(*) AS shared FROM x JOIN x y ON x.key = y.key AND x.path < y.path GROUP BY ALL HAVING count(*) >= 2")
+@R.add("WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS path, unnest(['doi:10.1234/a' || (doc_id // 5), 'doi:10.9999/b' || (doc_id // 7), 'cita:gomez:' || (2000 + doc_id % 17)]) AS key FROM documents), u AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 40), x AS (SELECT k.* FROM k JOIN u USING (key)) SELECT x.path AS a, y.path AS b, count(*) AS shared FROM x JOIN x y ON x.key = y.key AND x.path < y.path GROUP BY ALL HAVING count(*) >= 2")
 def shared_references(spark, sf):
     k = F.col("doc_id")
-    cited = F.concat(F.lit("see https://doi.org/10.1234/A"), (k % 41).cast("string"), F.lit("., Pérez et al., "), (1990 + k % 23).cast("string"), F.lit(" (Gómez, "), (2000 + k % 17).cast("string"), F.lit(") "))
+    cited = F.concat(F.lit("see https://doi.org/10.1234/A"), F.floor(k / 5).cast("string"), F.lit("., 10.9999/B"), F.floor(k / 7).cast("string"), F.lit(" (Gómez, "), (2000 + k % 17).cast("string"), F.lit(") "))
     keys = read(spark, sf, "documents").select(k.cast("string").alias("path"), F.explode(do.bibliographic_keys(cited)).alias("key"))
-    return do.shared_references(keys.withColumn("key", F.translate("key", "éó", "eo")))
+    return do.shared_references(keys.withColumn("key", F.translate("key", "ó", "o")))
 
 
 _RESOLVED = rf"""d AS (SELECT DISTINCT {PATH} AS path, lang, source, doc_id FROM documents),

@@ -212,3 +212,19 @@ def community_rgb(spark, sf):
     c = read(spark, sf, "documents").select((F.col("doc_id") % 97).alias("community")).distinct()
     red, green, blue = sc.community_rgb(F.col("community").cast("double"))
     return c.select("community", red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
+_BRIDGES = """ends AS (SELECT a_id AS id, b_id AS near FROM cut UNION ALL SELECT b_id, a_id FROM cut), central AS (SELECT id, lemma, betweenness FROM lab WHERE degree >= 2 AND betweenness > 0 ORDER BY betweenness DESC, id LIMIT 400),
+    held AS (SELECT DISTINCT lemma, path || '#' || sentence AS path FROM tok), own AS (SELECT id, path FROM held JOIN central USING (lemma)),
+    near AS (SELECT e.id, e.near, lab.lemma, lab.community FROM ends e JOIN central USING (id) JOIN lab ON lab.id = e.near),
+    sides AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, community) AS side FROM (SELECT id, community, count(*) AS n FROM near GROUP BY ALL)) WHERE side <= 2),
+    seen AS (SELECT DISTINCT n.id, h.path, s.side FROM near n JOIN sides s ON s.id = n.id AND s.community = n.community JOIN held h ON h.lemma = n.lemma JOIN own o ON o.id = n.id AND o.path = h.path),
+    per AS (SELECT id, count(*) FILTER (a AND b) AS joint, count(*) FILTER (a) AS docs_a, count(*) FILTER (b) AS docs_b FROM (SELECT id, path, bool_or(side = 1) AS a, bool_or(side = 2) AS b FROM seen GROUP BY ALL) GROUP BY id)"""
+
+
+@R.add(f"WITH {_ALL}, {_LABELS}, {_BRIDGES} SELECT p.id, c.lemma, (SELECT community FROM sides s WHERE s.id = p.id AND side = 1) AS community_a, (SELECT community FROM sides s WHERE s.id = p.id AND side = 2) AS community_b, docs_a, docs_b, c.betweenness * (SELECT min(n) FROM sides s WHERE s.id = p.id) AS score FROM per p JOIN central c USING (id) WHERE joint = 0 AND docs_a > 0 AND docs_b > 0 AND (SELECT count(*) FROM own o WHERE o.id = p.id) >= 2 ORDER BY score DESC, p.id LIMIT 15")
+def missing_bridges(spark, sf):
+    """The report's 15 missing bridges, with sentences in the part of documents."""
+    lab, edges = _labelled(spark, sf)
+    postings = co.token_rows(corpus(spark, sf)).select("lemma", F.concat("path", F.lit("#"), F.col("sentence").cast("string")).alias("path"))
+    return gaps.missing_bridges(lab, edges, postings)

@@ -159,3 +159,13 @@ def test_stream(spark, tmp_path):
         q.stop()
         counts = {r.lemma: r.doc_count for r in spark.read.parquet(str(tmp_path / "out" / f"vocabulary-{k}")).collect()}
         assert counts == ({"hospital": 1, "renal": 2, "corazon": 1} if k == 0 else {"hospital": 1, "renal": 1, "urbano": 1, "corazon": 1})
+
+
+def test_missing_bridge(spark):
+    nodes = spark.createDataFrame([(0, "bridge", 9.0, 0), (1, "a1", 1.0, 1), (2, "a2", 0.0, 1), (3, "b1", 1.0, 2), (4, "b2", 0.0, 2)], "id long, lemma string, betweenness double, community long")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (0, 4), (1, 2), (3, 4)], "a_id long, b_id long")
+    apart = [("bridge", "x"), ("a1", "x"), ("a2", "x"), ("bridge", "y"), ("b1", "y"), ("b2", "y")]
+    got = gaps.missing_bridges(nodes, edges, spark.createDataFrame(apart, "lemma string, path string")).collect()
+    assert [(r.id, r.community_a, r.community_b, r.docs_a, r.docs_b, r.score) for r in got] == [(0, 1, 2, 1, 1, 18.0)]
+    joined = apart + [("b1", "x")]
+    assert gaps.missing_bridges(nodes, edges, spark.createDataFrame(joined, "lemma string, path string")).count() == 0
