@@ -18,9 +18,10 @@ else. Finding these strings takes three steps, all exact.
    again across shards; one that is alone in its block leaves.
 3. The repeated windows return to their documents, where their union goes.
 
-An anchor with more than ``GROUP`` differing pieces (the edges of a passage
-that very many documents share) is not taken whole by one task: its windows
-are counted one by one by 128-bit digest, with partial sums.
+A task merges about 2 MB of pieces at a time. An anchor with more than
+``GROUP`` differing pieces, about 5 MB (the edges of a passage that very many
+documents share), is not taken whole by one task: its windows are counted one
+by one by 128-bit digest, with partial sums.
 
 Cases: null text is empty; texts under ``LENGTH`` bytes keep all; repeated rows
 repeat each other's strings; a null id is kept as it is; matches never cross
@@ -42,7 +43,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import as_bytes, materialize
 
-LENGTH, GRAM, GROUP, SHARD = 200, 32, 500, 1 << 16
+LENGTH, GRAM, GROUP, SHARD = 200, 32, 16_000, 1 << 16
 _TASK = 1 << 21
 
 
@@ -146,12 +147,12 @@ def merged_blocks(shards: list[np.ndarray], depth: int, starts: list[np.ndarray]
         rank = np.empty(len(text), np.int64)
         rank[order] = np.arange(len(text))
         transforms.append(text[order - 1])
-        maps.append(rank[order - 1] + offset)
-        places.append(order + offset)
-        entries.append(np.sort(rank[at + depth]) + offset)
+        maps.append((rank[order - 1] + offset).astype(np.int32))
+        places.append((order + offset).astype(np.int32))
+        entries.append((np.sort(rank[at + depth]) + offset).astype(np.int32))
     symbols, mapping, place = np.concatenate(transforms), np.concatenate(maps), np.concatenate(places)
     entry = np.concatenate(entries)
-    block = np.zeros(len(entry), np.int64)
+    block = np.zeros(len(entry), np.int32)
     for _ in range(depth):
         if len(entry) < 2:
             return entry[:0], block[:0]
@@ -162,7 +163,7 @@ def merged_blocks(shards: list[np.ndarray], depth: int, starts: list[np.ndarray]
         split[0] = split[-1] = True
         split[1:-1] = (moved[1:] != moved[:-1]) | (own[1:] != own[:-1])
         alone = split[:-1] & split[1:]
-        block = np.cumsum(split[:-1])
+        block = np.cumsum(split[:-1], dtype=np.int32)
         entry = mapping.take(entry.take(order))
         if alone.any():
             block, entry = block[~alone], entry[~alone]
