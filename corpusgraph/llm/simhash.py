@@ -35,13 +35,20 @@ BYTES, BITS, BLOCK = 8, 3, 4096
 SEED = 42
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The unsigned fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the runs of words of a UTF-8 text; a shorter text is one run, and no words give none."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.empty(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The unsigned fingerprint of a UTF-8 text."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return 0
     return int(np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
