@@ -170,19 +170,19 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = EXACT, count: i
     return sources.mapInPandas(run, "id long, x double").groupBy("id").agg(value.alias("betweenness"), (value / pairs if pairs > 0 else F.lit(0.0)).alias("normal"))
 
 
-def hops(edges: DataFrame, source, limit: int = 64) -> DataFrame:
-    """edges (a, b) -> node, hops from the source, for the nodes it reaches; a join per hop."""
+def hops(edges: DataFrame, source) -> DataFrame:
+    """edges (a, b) -> node, hops from the source, for all nodes it reaches; a join per hop, until one finds no new node."""
     w = both_ways(edges).select("src", "dst").distinct().persist()
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(source, 0)], f"node {dict(edges.dtypes)['a']}, hops int")
-    front = seen
-    for step in range(1, limit + 1):
-        front = front.select(F.col("node").alias("src")).join(w, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(step))
-        front = spark.createDataFrame(front.toPandas().itertuples(index=False, name=None), seen.schema)  # nodes of the cut graph
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    schema = f"node {dict(edges.dtypes)['a']}, hops int"
+    seen = front = [(source, 0)]
+    while front:
+        step = front[0][1] + 1
+        known = spark.createDataFrame(seen, schema)
+        found = known.where(F.col("hops") == step - 1).select(F.col("node").alias("src")).join(w, "src").select(F.col("dst").alias("node")).distinct()
+        front = [(r.node, step) for r in found.join(known.select("node"), "node", "left_anti").collect()]  # nodes of the cut graph
+        seen = seen + front
+    return spark.createDataFrame(seen, schema)
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

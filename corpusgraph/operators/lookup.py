@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VISIBLE, MAX_PROBES = 320, 200_000
+VISIBLE = 320
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def literal_leaks(items: DataFrame, docs: DataFrame) -> DataFrame:
     rarest = inner.join(counts, "word", "left").groupBy("item_id", "item").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     candidates = rarest.join(asked, "word").select("item_id", "item", "doc_id")
     found = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item")))
-    short = F.broadcast(t.where(F.size("w") < 3).select("item_id", "item").limit(MAX_PROBES))
+    short = t.where(F.size("w") < 3).select("item_id", "item")  # may lie inside a word, so that no equi-join finds them all
     found = found.select("item_id", "doc_id").unionByName(docs.join(short, F.col("text").contains(F.col("item"))).select("item_id", "doc_id"))
     per = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(per, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")

@@ -102,11 +102,11 @@ def html_local_links(spark, sf):
 _NOTE = "'# N' || doc_id || chr(10) || '> see [[doc-' || (doc_id + 1) || '|next]] and [x](../en/doc-' || (doc_id + 2) || '.txt) or [web](https://a.b/c)' || chr(10) || '* **item** `code` ' || substr(text, 1, 200) || chr(10) || '| a | b |' || chr(10) || '|---|---|'"
 
 
-def _notes(spark, sf):
-    """documents rewritten as Markdown notes that link to others."""
+def _notes(spark, sf, text=None):
+    """documents rewritten as Markdown notes that link to others; of the text, its first 200 characters or what is given."""
     d = corpus(spark, sf)
     lit, n = F.lit, lambda k: (F.col("doc_id") + k).cast("string")
-    note = F.concat(lit("# N"), n(0), lit("\n> see [[doc-"), n(1), lit("|next]] and [x](../en/doc-"), n(2), lit(".txt) or [web](https://a.b/c)\n* **item** `code` "), F.substring("text", 1, 200), lit("\n| a | b |\n|---|---|"))
+    note = F.concat(lit("# N"), n(0), lit("\n> see [[doc-"), n(1), lit("|next]] and [x](../en/doc-"), n(2), lit(".txt) or [web](https://a.b/c)\n* **item** `code` "), F.substring("text", 1, 200) if text is None else text, lit("\n| a | b |\n|---|---|"))
     return d.withColumn("note", note)
 
 
@@ -117,6 +117,12 @@ def note_links(spark, sf):
     return _notes(spark, sf).select("doc_id", F.array_join(pr.wiki_links(F.col("note")), " ").alias("wiki"), F.array_join(pr.markdown_links(F.col("note")), " ").alias("plain"))
 
 
+@R.add()
+def note_links_whole(spark, sf):
+    """note_links over whole texts, which its SQL cuts."""
+    return _notes(spark, sf, F.col("text")).select("doc_id", F.array_join(pr.wiki_links(F.col("note")), " ").alias("wiki"), F.array_join(pr.markdown_links(F.col("note")), " ").alias("plain"))
+
+
 _MD = "note"
 for _p, _t in ((r"(?s)```.*?```", " "), (r"`[^`\n]*`", " "), (r"(?m)^\s{0,3}(#{1,6})\s+", ""), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]", r"\1"), (r"(?m)^\s{0,3}>\s?", ""), (r"(\*\*|__|\*|_|~~)", ""), (r"(?m)^\s*[-*+]\s+", "")):
     _MD = f"regexp_replace({_MD}, '{_p}', '{_t}', 'g')"
@@ -128,6 +134,12 @@ def markdown_text(spark, sf):
     return _notes(spark, sf).select("doc_id", pr.clean_markdown(F.col("note")).alias("clean"))
 
 
+@R.add()
+def markdown_text_whole(spark, sf):
+    """markdown_text over whole texts, which its SQL cuts."""
+    return _notes(spark, sf, F.col("text")).select("doc_id", pr.clean_markdown(F.col("note")).alias("clean"))
+
+
 @R.add("SELECT event_id, unnest(json_keys(props)) AS key FROM events")
 def json_keys(spark, sf):
     return read(spark, sf, "events").select("event_id", F.explode_outer(F.map_keys(pr.json_key_counts(F.col("props")))).alias("key")).where("key IS NOT NULL")

@@ -70,7 +70,7 @@ def components(spark, sf):
 @R.add(f"WITH RECURSIVE {_ALL}, near AS MATERIALIZED (SELECT a_id AS s, b_id AS t FROM cut UNION SELECT b_id, a_id FROM cut), h AS (SELECT 0::BIGINT AS id, 0 AS hops UNION SELECT t, hops + 1 FROM h JOIN near ON s = h.id WHERE hops < 8) SELECT lemma, min(hops) AS hops FROM h JOIN kept USING (id) GROUP BY lemma")
 def hop_distance(spark, sf):
     nodes, edges = _cut(spark, sf)
-    found = graph.hops(edges.select(F.col("a_id").cast("long").alias("a"), F.col("b_id").cast("long").alias("b")), 0, 8)
+    found = graph.hops(edges.select(F.col("a_id").cast("long").alias("a"), F.col("b_id").cast("long").alias("b")), 0)
     return found.join(nodes.select(F.col("id").alias("node"), "lemma"), "node").select("lemma", "hops")
 
 
