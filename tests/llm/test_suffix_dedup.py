@@ -53,7 +53,7 @@ def test_suffix_array_and_merge():
     depth = 6
     starts = [np.arange(len(s) - depth) for s in shards if len(s) > depth]
     shards = [s for s in shards if len(s) > depth]
-    place, block = sd.merged_blocks(shards, depth, starts)
+    place, block, _ = sd.merged_blocks(shards, depth, starts)
     flat, base = np.concatenate(shards), np.cumsum([0, *map(len, shards)])
     grams = {}
     for s, at, o in zip(shards, starts, base):
@@ -65,19 +65,49 @@ def test_suffix_array_and_merge():
     assert (np.diff(block) > 0).tolist() == [a != b for a, b in zip(prefixes, prefixes[1:])]
 
 
-def test_anchors_are_told_by_content():
-    text = random.Random(1).randbytes(3000)
-    h, first, last = sd.anchors(text)
-    assert first[0] == 0 and last[-1] == len(text) - 200 and (first[1:] == last[:-1] + 1).all()
-    h2, first2, last2 = sd.anchors(b"xyz" * 50 + text[500:1500] + b"abc" * 70)
-    own = {(text[i : i + 200]): x for x, a, b in zip(h.tolist(), first, last) for i in range(a, b + 1)}
-    other = b"xyz" * 50 + text[500:1500] + b"abc" * 70
-    for x, a, b in zip(h2.tolist(), first2, last2):
-        for i in range(a, b + 1):
-            assert own.get(other[i : i + 200], x) == x
+def cores(text):
+    """Each window's text and what its piece is filed under."""
+    first, last, low, high = sd.pieces(text)
+    assert (first >= low).all() and (last <= high).all() and (first <= last).all()
+    whole = sorted(zip(first.tolist(), last.tolist()))
+    assert not text[199:] or whole[0][0] == 0 and whole[-1][1] == len(text) - 200 and all(b[0] == a[1] + 1 for a, b in zip(whole, whole[1:]))
+    return [(text[i : i + 200], text[h : w + 200]) for a, b, w, h in zip(first, last, low, high) for i in range(a, b + 1)]
 
 
-@pytest.mark.parametrize("group", [500, 1])
+def test_equal_windows_have_equal_cores():
+    text = random.Random(1).randbytes(3000)
+    other = b"xyz" * 50 + text[500:1500] + b"abc" * 70
+    own = dict(cores(text))
+    found = cores(other)
+    assert sum(w in own for w, _ in found) == 801
+    assert all(own.get(w, c) == c and c in w and len(c) >= 116 for w, c in found)
+    assert not cores(b"z" * 199) and len(cores(b"z" * 200)) == 1
+
+
+def test_long_texts_are_cut_into_strides(monkeypatch):
+    text = random.Random(2).randbytes(5000)
+    want = sd.anchors(text)
+    monkeypatch.setattr(sd, "_STRIDE", 300)
+    assert (sd.anchors(text) == want).all()
+    grams = sd._gram_hashes(text, 32) >> np.uint64(20)
+    assert all(want[i] == i + int(np.argmin(grams[i : i + 169])) for i in range(len(want)))
+
+
+def test_common_suffixes():
+    """A window's number of last symbols that another window also ends with."""
+    rng = np.random.default_rng(4)
+    depth = 7
+    shards = [np.concatenate([rng.integers(1, 3, n), [0]]).astype(np.uint16) for n in (40, 60)]
+    starts = [np.arange(len(s) - depth) for s in shards]
+    place, _, common = sd.merged_blocks(shards, depth, starts)
+    windows = [(i + o, s[i : i + depth].tolist()[::-1]) for s, at, o in zip(shards, starts, (0, len(shards[0]))) for i in at]
+    for i, w in windows:
+        best = max(next((k for k in range(depth) if w[k] != v[k]), depth) for j, v in windows if j != i)
+        assert common[i] == best
+    assert (common == depth).sum() == len(place)
+
+
+@pytest.mark.parametrize("group", [500, 20, 1])
 def test_equals_brute_force(spark, group):
     rows = rows_with_repeats()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
