@@ -23,7 +23,7 @@ else. Finding these strings takes three steps, all exact.
    Suffixes are never compared again across shards.
 3. The repeated windows return to their documents, where their union goes.
 
-A task merges about 2 MB of pieces at a time. A core with more than ``GROUP``
+A task merges about half a megabyte of pieces at a time. A core with more than ``GROUP``
 differing pieces (at the edges of a passage that very many documents share) is
 refined first: its pieces are halved by their windows' distance from the
 anchor, and each half has a longer core, by which it is sorted and dealt anew.
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, discard, materialize, with_row_id
 
 LENGTH, GRAM, GROUP, SHARD = 200, 32, 8192, 1 << 16
-_TASK, _STRIDE = 1 << 21, 1 << 18
+_TASK, _STRIDE = 1 << 19, 1 << 18
 _FEW = 1_000_000  # refined cores whose hashes may be broadcast
 
 
