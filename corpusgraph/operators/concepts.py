@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..storage import materialize, spread
 
 WINDOW, SAME, CROSS, SAMPLES = 4, 10, 4, 3  # weights in tenths, so that sums are exact in any order
 MAX_NODES, MIN_FREQUENCY, MIN_WEIGHT, MIN_DOCS, TOP_TERMS, PATHS = 3000, 2, 10, 1, 400, 50
@@ -19,10 +20,20 @@ def analyzed(docs: DataFrame, extra_stop: Iterable[str] = ()) -> DataFrame:
     return known.select("path", "detected", tx.tokens(F.col("text"), F.col("detected"), extra_stop).alias("tokens"))
 
 
+def stored_analysis(docs: DataFrame, extra_stop: Iterable[str] = ()) -> DataFrame:
+    """analyzed, derived once and kept in the shared folder: where nodes and edges, or terms and nodes, start from the same tokens."""
+    return materialize(analyzed(spread(docs.select("path", "text")), extra_stop), "analysis")
+
+
+def exploded(analysis: DataFrame) -> DataFrame:
+    """path, detected, tokens -> path, detected, pos, lemma, form, sentence."""
+    # outer, as an inner explode would derive the tokens a second time in a filter of its own
+    return analysis.select("path", "detected", F.posexplode_outer("tokens").alias("pos", "t")).where("t IS NOT NULL").select("path", "detected", "pos", "t.*")
+
+
 def token_rows(docs: DataFrame, extra_stop: Iterable[str] = ()) -> DataFrame:
     """path, detected, pos, lemma, form, sentence."""
-    # outer, as an inner explode would derive the tokens a second time in a filter of its own
-    return analyzed(docs, extra_stop).select("path", "detected", F.posexplode_outer("tokens").alias("pos", "t")).where("t IS NOT NULL").select("path", "detected", "pos", "t.*")
+    return exploded(analyzed(spread(docs.select("path", "text")), extra_stop))
 
 
 def term_frequencies(rows: DataFrame, top: int | None = None) -> DataFrame:
@@ -58,10 +69,13 @@ def concept_edges(pairs: DataFrame) -> DataFrame:
 
 
 def edge_samples(pairs: DataFrame, limit: int = SAMPLES) -> DataFrame:
-    """a, b, path, sentence: the first few places of each edge."""
-    places = pairs.select("a", "b", "path", "sentence").distinct()
-    r = F.row_number().over(Window.partitionBy("a", "b").orderBy("path", "sentence"))
-    return places.withColumn("sample", r).where(F.col("sample") <= limit)
+    """a, b, path, sentence, sample: the first few places of each edge. A document's places of a pair are cut to the first few before they meet those of others."""
+    first = lambda places: F.slice(F.array_sort(places), 1, limit)
+    own = pairs.groupBy("a", "b", "path").agg(first(F.collect_set("sentence")).alias("s"))
+    nearest = F.row_number().over(Window.partitionBy("a", "b").orderBy("path"))
+    few = own.withColumn("r", nearest).where(F.col("r") <= limit).select("a", "b", "path", F.explode("s").alias("sentence"))
+    places = few.groupBy("a", "b").agg(first(F.collect_list(F.struct("path", "sentence"))).alias("s"))
+    return places.select("a", "b", F.posexplode("s").alias("sample", "x")).select("a", "b", "x.path", "x.sentence", (F.col("sample") + 1).alias("sample"))
 
 
 def path_cliques(paths: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_SIZE, PERCENTILE, MAX_GAPS, MAX_ISOLATED, MAX_BRIDGES = 3, 25, 12, 20, 15
-_BY = [F.desc, F.desc]
 
 
 def connectors(nodes: DataFrame, limit: int = 20) -> DataFrame:
@@ -56,8 +55,10 @@ def isolated(docs: DataFrame, linked: DataFrame) -> DataFrame:
 
 def isolated_quick(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """As isolated, with the upper median of all documents."""
-    ranked = docs.withColumn("r", F.row_number().over(Window.orderBy("terms", "path"))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    median = ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(F.col("terms").alias("median"))
+    counts = docs.groupBy("terms").agg(F.count("*").alias("c"))  # one row for each number of terms
+    below = F.sum("c").over(Window.orderBy("terms"))
+    whole = docs.agg(F.floor(F.count("*") / 2).alias("half"))
+    median = counts.withColumn("below", below).join(F.broadcast(whole), F.col("below") > F.col("half")).agg(F.min("terms").alias("median"))
     return docs.join(F.broadcast(median), F.col("terms") >= F.col("median")).join(linked.select("path").distinct(), "path", "left_anti").select("path", "terms")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 VISIBLE = 320
 
 
@@ -59,5 +61,11 @@ def literal_leaks(items: DataFrame, docs: DataFrame) -> DataFrame:
     return items.select("item_id").join(per, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
 
 
-def first_by(df: DataFrame, key: str, *order) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+def numbered(df: DataFrame, by: str, name: str = "number") -> DataFrame:
+    """df with a number from 0 in the order of a column: sorted by range, numbered within partitions, and moved on by what lies in the partitions before."""
+    parts = materialize(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    return parts.join(starts, "_part").withColumn(name, (F.col("_start") + own - 1).cast("long")).drop("_part", "_start")

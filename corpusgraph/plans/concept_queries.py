@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import stopwords
 from ..functions import text as tx
 from ..operators import concepts as co
+from ..storage import materialize, spread
 from .sql_text import CUT, NODES, PAIRS, PATH, STOP, TOKENS, in_list, language, lemma_en, lemma_es, lemma_mixed, sentences, term_key
 from .tables import Registry, corpus, read
 
@@ -21,30 +22,34 @@ def _tokens(spark, sf):
 
 
 def _analysis(spark, sf):
-    return co.analyzed(corpus(spark, sf))
+    return co.analyzed(spread(corpus(spark, sf).select("path", "text")))
+
+
+def _stored(spark, sf):
+    return co.stored_analysis(corpus(spark, sf))
 
 
 def _distinct_keys(spark, sf):
-    words = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).distinct()
+    words = spread(read(spark, sf, "documents").select("text")).select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).distinct()
     return words.select(tx.term_key(F.col("w")).alias("key")).distinct()
 
 
 @R.add(rf"SELECT {term_key('w')} AS key, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS w FROM documents) GROUP BY 1")
 def term_keys(spark, sf):
-    words = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
+    words = spread(read(spark, sf, "documents").select("text")).select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
     return words.groupBy("w").agg(F.count("*").alias("n")).groupBy(tx.term_key(F.col("w")).alias("key")).agg(F.sum("n").alias("n"))
 
 
 @R.add(f"SELECT doc_id, len(s) AS sentences, len(list_distinct(s)) AS different, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars FROM (SELECT doc_id, {sentences('text')} AS s FROM documents)")
 def sentence_counts(spark, sf):
-    s = read(spark, sf, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
+    s = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.sentences(F.col("text")).alias("s"))
     chars = F.when(F.size("s") > 0, F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
     return s.select("doc_id", F.size("s").alias("sentences"), F.size(F.array_distinct("s")).alias("different"), chars.alias("chars"))
 
 
 @R.add(f"SELECT doc_id, {language('text')} AS language FROM documents")
 def language_detect(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", tx.language(F.col("text")).alias("language"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.language(F.col("text")).alias("language"))
 
 
 @R.add(f"WITH {_KEYS} SELECT key, {lemma_es('key')} AS lemma FROM k")
@@ -88,7 +93,7 @@ def path_terms(spark, sf):
 
 @R.add(rf"WITH {TOKENS} SELECT key AS word, count(*) AS n FROM y WHERE key IN {STOP} GROUP BY key")
 def stopword_hits(spark, sf):
-    words = corpus(spark, sf).select(F.explode_outer(tx.sentences(F.col("text"))).alias("s")).select(F.explode_outer(F.regexp_extract_all("s", F.lit(tx.WORD), F.lit(0))).alias("w"))
+    words = spread(corpus(spark, sf).select("text")).select(F.explode_outer(tx.sentences(F.col("text"))).alias("s")).select(F.explode_outer(F.regexp_extract_all("s", F.lit(tx.WORD), F.lit(0))).alias("w"))
     return words.select(tx.term_key(F.col("w")).alias("word")).where(F.col("word").isin(sorted(stopwords.BASE))).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -105,8 +110,8 @@ def concept_nodes_cut(spark, sf):
 @R.add(f"WITH {TOKENS}, {NODES}, {PAIRS}, {CUT} SELECT a, b, weight, docs FROM cut ORDER BY tenths DESC, a, b LIMIT 50")
 def concept_edges_top(spark, sf):
     """The report's strongest 50 edges."""
-    analysis = _analysis(spark, sf)
-    nodes = co.cut_nodes(co.concept_nodes(_tokens(spark, sf)))
+    analysis = _stored(spark, sf)
+    nodes = co.cut_nodes(co.concept_nodes(co.exploded(analysis)))
     edges = co.cut_edges(co.concept_edges(co.pair_rows(analysis)), nodes)
     return edges.orderBy(F.desc("tenths"), "a", "b").limit(50).select("a", "b", "weight", "docs")
 
@@ -132,8 +137,9 @@ def path_clique_edges(spark, sf):
 @R.add(f"""WITH {TOKENS}, {NODES}, {PAIRS}, {CUT} SELECT (SELECT count(*) FROM node) AS concepts, (SELECT count(*) FROM kept) AS kept_concepts, (SELECT count(*) FROM node WHERE frequency < 2) AS rare,
     (SELECT count(*) FROM edge) AS edges, (SELECT count(*) FROM cut) AS kept_edges, (SELECT count(*) FROM edge WHERE tenths < 10) AS light""")
 def cut_totals(spark, sf):
-    nodes = co.concept_nodes(_tokens(spark, sf))
-    edges = co.concept_edges(co.pair_rows(_analysis(spark, sf)))
+    analysis = _stored(spark, sf)
+    nodes = co.concept_nodes(co.exploded(analysis))
+    edges = co.concept_edges(co.pair_rows(analysis))
     kept = co.cut_nodes(nodes)
     n = nodes.agg(F.count("*").alias("concepts"), F.count_if(F.col("frequency") < 2).alias("rare"))
     e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("tenths") < 10).alias("light"))
@@ -159,7 +165,7 @@ _STEPS = "vv AS (SELECT DISTINCT path, lemma FROM tok), o AS (SELECT lemma, coun
 @R.add(f"WITH {TOKENS}, {_STEPS} SELECT lemma, n AS doc_count FROM nw")
 def vocabulary_incremental(spark, sf):
     """Counts of an older state, with the documents that went and came since."""
-    v = _tokens(spark, sf).select("path", "lemma").distinct()
+    v = materialize(_tokens(spark, sf).select("path", "lemma").distinct(), "vocabulary")
     old = co.vocabulary(v.where(~F.col("path").endswith("7.txt")))
     return co.vocabulary_update(old, v.where(F.col("path").endswith("3.txt")), v.where(F.col("path").endswith("7.txt")))
 

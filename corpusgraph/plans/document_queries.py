@@ -8,6 +8,7 @@ from ..operators import concepts as co
 from ..operators import documents as do
 from ..sources import inventory as inv
 from ..sources import parsers as pr
+from ..storage import materialize, spread
 from .sql_text import CUT, NODES, PAIRS, PATH, TOKENS
 from .tables import Registry, corpus, read
 
@@ -99,14 +100,14 @@ def html_local_links(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.explode_outer(pr.html_links(F.col("html"))).alias("target")).where("target IS NOT NULL").groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
-_NOTE = "'# N' || doc_id || chr(10) || '> see [[doc-' || (doc_id + 1) || '|next]] and [x](../en/doc-' || (doc_id + 2) || '.txt) or [web](https://a.b/c)' || chr(10) || '* **item** `code` ' || substr(text, 1, 200) || chr(10) || '| a | b |' || chr(10) || '|---|---|'"
+_NOTE = "'# N' || doc_id || chr(10) || '> see [[doc-' || (doc_id + 1) || '|next]] and [x](../en/doc-' || (doc_id + 2) || '.txt) or [web](https://a.b/c)' || chr(10) || '* **item** `code` ' || text || chr(10) || '| a | b |' || chr(10) || '|---|---|'"
 
 
-def _notes(spark, sf, text=None):
-    """documents rewritten as Markdown notes that link to others; of the text, its first 200 characters or what is given."""
-    d = corpus(spark, sf)
+def _notes(spark, sf):
+    """documents rewritten as Markdown notes that link to others, around their whole texts."""
+    d = spread(corpus(spark, sf).select("doc_id", "text"))
     lit, n = F.lit, lambda k: (F.col("doc_id") + k).cast("string")
-    note = F.concat(lit("# N"), n(0), lit("\n> see [[doc-"), n(1), lit("|next]] and [x](../en/doc-"), n(2), lit(".txt) or [web](https://a.b/c)\n* **item** `code` "), F.substring("text", 1, 200) if text is None else text, lit("\n| a | b |\n|---|---|"))
+    note = F.concat(lit("# N"), n(0), lit("\n> see [[doc-"), n(1), lit("|next]] and [x](../en/doc-"), n(2), lit(".txt) or [web](https://a.b/c)\n* **item** `code` "), F.col("text"), lit("\n| a | b |\n|---|---|"))
     return d.withColumn("note", note)
 
 
@@ -117,10 +118,10 @@ def note_links(spark, sf):
     return _notes(spark, sf).select("doc_id", F.array_join(pr.wiki_links(F.col("note")), " ").alias("wiki"), F.array_join(pr.markdown_links(F.col("note")), " ").alias("plain"))
 
 
-@R.add()
+@R.add(ORACLES["note_links"])
 def note_links_whole(spark, sf):
-    """note_links over whole texts, which its SQL cuts."""
-    return _notes(spark, sf, F.col("text")).select("doc_id", F.array_join(pr.wiki_links(F.col("note")), " ").alias("wiki"), F.array_join(pr.markdown_links(F.col("note")), " ").alias("plain"))
+    """The former name of note_links, which once cut its texts."""
+    return note_links(spark, sf)
 
 
 _MD = "note"
@@ -134,10 +135,10 @@ def markdown_text(spark, sf):
     return _notes(spark, sf).select("doc_id", pr.clean_markdown(F.col("note")).alias("clean"))
 
 
-@R.add()
+@R.add(ORACLES["markdown_text"])
 def markdown_text_whole(spark, sf):
-    """markdown_text over whole texts, which its SQL cuts."""
-    return _notes(spark, sf, F.col("text")).select("doc_id", pr.clean_markdown(F.col("note")).alias("clean"))
+    """The former name of markdown_text, which once cut its texts."""
+    return markdown_text(spark, sf)
 
 
 @R.add("SELECT event_id, unnest(json_keys(props)) AS key FROM events")
@@ -253,14 +254,14 @@ _AFFINITY = f"{_IDF}, raw AS (SELECT path, lemma, (1 + ln(n)) * idf AS w FROM te
 
 @R.add(f"WITH {TOKENS}, {_TERMS}, {_AFFINITY} SELECT a, b, floor(cosine * 1000 + 0.5) / 1000 AS cosine FROM dot WHERE cosine >= 0.12")
 def affinity_pairs(spark, sf):
-    pairs = do.affinity(_terms(spark, sf).select("path", "lemma", "n"), read(spark, sf, "documents").count(), max_pairs=None)
+    pairs = do.affinity(materialize(_terms(spark, sf).select("path", "lemma", "n"), "terms"), read(spark, sf, "documents").count(), max_pairs=None)
     return pairs.select("a", "b", (F.floor(F.col("cosine") * 1000 + 0.5) / 1000).alias("cosine"))
 
 
 @R.add(f"WITH {TOKENS}, {_TERMS}, {NODES}, {PAIRS}, {CUT} SELECT path, id AS concept, n AS weight FROM term JOIN kept USING (lemma) WHERE rank <= 12")
 def memberships(spark, sf):
-    kept = co.cut_nodes(co.concept_nodes(co.token_rows(corpus(spark, sf))))
-    return do.memberships(_terms(spark, sf), kept)
+    rows = co.exploded(co.stored_analysis(corpus(spark, sf)))
+    return do.memberships(co.term_frequencies(rows, co.TOP_TERMS), co.cut_nodes(co.concept_nodes(rows)))
 
 
 @R.add(f"WITH {TOKENS}, {_TERMS}, {NODES}, {PAIRS}, {CUT} SELECT path FROM d WHERE path NOT IN (SELECT path FROM term JOIN kept USING (lemma) WHERE rank <= 12)")
@@ -270,7 +271,7 @@ def orphans(spark, sf):
 
 @R.add("SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def corpus_stats(spark, sf):
-    d = read(spark, sf, "documents").withColumn("words", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))))
+    d = spread(read(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")).withColumn("words", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))))
     return d.join(read(spark, sf, "labels"), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.sum("words").alias("words"))
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import concepts as co
 from ..operators import export as ex
 from ..operators import gaps, graph, lookup
+from ..storage import materialize
 from .sql_text import CUT, NODES, PAIRS, TOKENS
 from .tables import Registry, corpus, read
 
@@ -23,14 +23,20 @@ _LABELS = "deg AS (SELECT id, count(*) AS degree, sum(weight) AS strength FROM (
 
 
 def _cut(spark, sf):
-    docs = corpus(spark, sf)
-    nodes = co.cut_nodes(co.concept_nodes(co.token_rows(docs))).persist()
-    edges = co.cut_edges(co.concept_edges(co.pair_rows(co.analyzed(docs))), nodes)
-    return nodes, edges.persist()
+    """The cut concept graph, derived from one stored analysis and stored itself: at most 3,000 concepts and their edges."""
+    return _cut_of(co.stored_analysis(corpus(spark, sf)))
+
+
+def _cut_of(analysis):
+    nodes = materialize(co.cut_nodes(co.concept_nodes(co.exploded(analysis))), "nodes")
+    return nodes, materialize(co.cut_edges(co.concept_edges(co.pair_rows(analysis)), nodes), "edges")
 
 
 def _labelled(spark, sf):
-    nodes, edges = _cut(spark, sf)
+    return _labelled_of(*_cut(spark, sf))
+
+
+def _labelled_of(nodes, edges):
     deg = graph.degrees(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "weight")).withColumnRenamed("node", "id")
     lab = nodes.join(deg, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("strength", F.coalesce("strength", F.lit(0.0)))
     return lab.withColumn("community", F.col("id") % 7).withColumn("betweenness", F.col("degree") * (F.col("id") % 5)), edges
@@ -142,9 +148,9 @@ def neighbourhood(spark, sf):
 
 @R.add(f"WITH {_ALL}, top AS (SELECT lemma FROM kept WHERE id = 0), t AS (SELECT path, sentence, CASE WHEN a = lemma THEN b ELSE a END AS p FROM pair, top WHERE a = lemma OR b = lemma) SELECT path, sentence, string_agg(DISTINCT p, ' ' ORDER BY p) AS partners FROM t GROUP BY ALL")
 def trace_sentences(spark, sf):
-    docs = corpus(spark, sf)
-    top = co.cut_nodes(co.concept_nodes(co.token_rows(docs))).where("id = 0").first()["lemma"]
-    return lookup.traces(co.pair_rows(co.analyzed(docs)), F.lit(top))
+    analysis = co.stored_analysis(corpus(spark, sf))
+    top = co.cut_nodes(co.concept_nodes(co.exploded(analysis))).where("id = 0").first()["lemma"]
+    return lookup.traces(co.pair_rows(analysis), F.lit(top))
 
 
 @R.add(f"WITH {_ALL}, {_LABELS} SELECT id, lemma FROM lab ORDER BY betweenness DESC, frequency DESC, lemma LIMIT 320")
@@ -183,7 +189,7 @@ def facet_counts(spark, sf):
 
 @R.add(f"WITH {_ALL}, o AS (SELECT lemma FROM tok WHERE path NOT LIKE '%7.txt' GROUP BY lemma) SELECT id, lemma, lemma NOT IN (SELECT lemma FROM o) AS is_new FROM kept")
 def time_travel_new(spark, sf):
-    rows = co.token_rows(corpus(spark, sf))
+    rows = co.exploded(co.stored_analysis(corpus(spark, sf)))
     kept = co.cut_nodes(co.concept_nodes(rows))
     old = rows.where(~F.col("path").endswith("7.txt")).select("lemma").distinct().withColumn("was", F.lit(True))
     return kept.join(old, "lemma", "left").select("id", "lemma", F.col("was").isNull().alias("is_new"))
@@ -194,8 +200,7 @@ def mixed_union(spark, sf):
     docs = corpus(spark, sf)
     kept = co.cut_nodes(co.concept_nodes(co.token_rows(docs)))
     n = kept.count()
-    r = F.row_number().over(Window.orderBy("path"))
-    numbered = docs.select((r + n - 1).cast("long").alias("id"), F.lit("document").alias("kind"), F.col("path").alias("name"), F.lit(-1).cast("long").alias("community"))
+    numbered = lookup.numbered(docs.select("path"), "path").select((F.col("number") + n).alias("id"), F.lit("document").alias("kind"), F.col("path").alias("name"), F.lit(-1).cast("long").alias("community"))
     return kept.select(F.col("id").cast("long").alias("id"), F.lit("concept").alias("kind"), F.col("lemma").alias("name"), (F.col("id") % 7).cast("long").alias("community")).unionByName(numbered)
 
 
@@ -225,6 +230,7 @@ _BRIDGES = """ends AS (SELECT a_id AS id, b_id AS near FROM cut UNION ALL SELECT
 @R.add(f"WITH {_ALL}, {_LABELS}, {_BRIDGES} SELECT p.id, c.lemma, (SELECT community FROM sides s WHERE s.id = p.id AND side = 1) AS community_a, (SELECT community FROM sides s WHERE s.id = p.id AND side = 2) AS community_b, docs_a, docs_b, c.betweenness * (SELECT min(n) FROM sides s WHERE s.id = p.id) AS score FROM per p JOIN central c USING (id) WHERE joint = 0 AND docs_a > 0 AND docs_b > 0 AND (SELECT count(*) FROM own o WHERE o.id = p.id) >= 2 ORDER BY score DESC, p.id LIMIT 15")
 def missing_bridges(spark, sf):
     """The report's 15 missing bridges, with sentences in the part of documents."""
-    lab, edges = _labelled(spark, sf)
-    postings = co.token_rows(corpus(spark, sf)).select("lemma", F.concat("path", F.lit("#"), F.col("sentence").cast("string")).alias("path"))
+    analysis = co.stored_analysis(corpus(spark, sf))
+    lab, edges = _labelled_of(*_cut_of(analysis))
+    postings = co.exploded(analysis).select("lemma", F.concat("path", F.lit("#"), F.col("sentence").cast("string")).alias("path"))
     return gaps.missing_bridges(lab, edges, postings)
