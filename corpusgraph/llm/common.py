@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, shared_dir
+
+__all__ = ["DOCUMENT_COLUMNS", "as_bytes", "crc_mod", "discard", "materialize", "shared_dir", "table", "text_of", "with_row_id"]
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-_FOLDER = "corpusgraph"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Where none is set, a local session gets one of its own; on a cluster that is an error."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusgraph-"))
-        base = sc.getCheckpointDir()
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{_FOLDER}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove the files of materialized tables that nothing will read again."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if f"/{_FOLDER}/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def with_row_id(docs: DataFrame, name: str = "uid") -> DataFrame:
     """docs with a number for each row, unlike in all rows; fixed only once the result is materialized."""
     return docs.withColumn(name, F.monotonically_increasing_id())
