@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, materialize
 
-PREFIX = 32
+PREFIX, BROADCAST_EDGES = 32, 500_000
 _RUN = "__run_"
 
 
@@ -76,7 +76,7 @@ def _runs(id_column: str, carry: list[str]):
         def emit() -> pa.RecordBatch:
             if carry:
                 kept = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-                names, kinds = ("keep", "size", "token", "norm"), (pa.int64(), pa.int64(), pa.string(), pa.binary())
+                names, kinds = ("keep", "size", "token", "norm"), (kept.schema.field(id_column).type, pa.int64(), pa.string(), pa.binary())
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 batch = pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*carry, *(_RUN + n for n in names)])
                 rows.clear()
@@ -118,7 +118,7 @@ def _sorted_runs(docs: DataFrame, id_column: str, text_column: str, carry: list[
     order = [F.col(f"{_RUN}prefix"), F.col(f"{_RUN}hash"), F.col(id_column).asc_nulls_last()]
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order[:2], F.col(f"{_RUN}norm"), order[2])
     if carry:
-        kinds = T.StructType([*fields, T.StructField(f"{_RUN}keep", T.LongType()), T.StructField(f"{_RUN}size", T.LongType()), T.StructField(f"{_RUN}token", T.StringType()), T.StructField(f"{_RUN}norm", T.BinaryType())])
+        kinds = T.StructType([*fields, T.StructField(f"{_RUN}keep", docs.schema[id_column].dataType), T.StructField(f"{_RUN}size", T.LongType()), T.StructField(f"{_RUN}token", T.StringType()), T.StructField(f"{_RUN}norm", T.BinaryType())])
     else:
         kinds = "doc_id long, keep long, size long, first boolean, sha string, token string, norm binary"
     return materialize(dealt.mapInArrow(_runs(id_column, carry), kinds), "content-sort")
@@ -131,11 +131,17 @@ def _merged_edges(runs: DataFrame, p: str = "") -> DataFrame:
     return edge.join(whole, "norm").select("token", F.col("best.keep").alias("all_keep"), F.col("best.token").alias("winner"), "all_size")
 
 
+def _placed(edges: DataFrame) -> DataFrame:
+    """At most the runs of two keys per partition: broadcast while they are few, joined by shuffle beyond."""
+    edges = materialize(edges, "edges")
+    return F.broadcast(edges) if edges.count() <= BROADCAST_EDGES else edges
+
+
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     runs = _sorted_runs(docs, id_column, text_column, [])
     edges = _merged_edges(runs)
-    joined = runs.drop("norm").join(F.broadcast(edges), "token", "left")  # at most the runs of two keys per partition
+    joined = runs.drop("norm").join(_placed(edges), "token", "left")
     on_edge = F.col("winner").isNotNull()
     return joined.select(
         F.col("doc_id").alias(id_column),
@@ -147,8 +153,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def exact_distinct(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns; ids are of any type that has an order."""
     runs = _sorted_runs(docs, id_column, text_column, docs.columns)
     edges = _merged_edges(runs, _RUN).select(F.col("token").alias(f"{_RUN}token"), F.col("winner").alias(f"{_RUN}winner"))
-    joined = runs.join(F.broadcast(edges), f"{_RUN}token", "left")
+    joined = runs.join(_placed(edges), f"{_RUN}token", "left")
     return joined.where(F.coalesce(F.col(f"{_RUN}winner") == F.col(f"{_RUN}token"), F.lit(True))).select(*docs.columns)

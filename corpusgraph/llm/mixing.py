@@ -16,13 +16,14 @@ separate documents, with ties broken by row; no rows give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StringType, StructField, StructType
 
 from .common import as_bytes, materialize
 
@@ -68,21 +69,31 @@ def _bounded_sums(budget: int, counts: list[tuple[int, int]]) -> dict[int, int]:
     for length, have in counts:
         have, part = min(have, top // length), 1
         while have > 0:  # binary split of the count
-            take = min(part, have)
-            steps.append((length, take, reach))
-            reach = (reach | (reach << (length * take))) & mask
-            have, part = have - take, part * 2
+            steps.append((length, min(part, have)))
+            have, part = have - part, part * 2
+    # of all reaches, one in every width is kept; those between are made again on the way back
+    width, marks = math.isqrt(len(steps)) + 1, []
+    for i, (length, take) in enumerate(steps):
+        if i % width == 0:
+            marks.append(reach)
+        reach = (reach | (reach << (length * take))) & mask
         if (reach >> budget) & 1:
+            steps = steps[: i + 1]
             break
     below = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
     above = reach >> budget
     more = budget + (above & -above).bit_length() - 1 if above else None
     at = more if more is not None and more - budget < budget - below else below
     taken: dict[int, int] = {}
-    for length, take, had in reversed(steps):
-        if not (had >> at) & 1:
-            taken[length] = taken.get(length, 0) + take
-            at -= length * take
+    for block in reversed(range(len(marks))):
+        part = steps[block * width : (block + 1) * width]
+        had = [marks[block]]
+        for length, take in part[:-1]:
+            had.append((had[-1] | (had[-1] << (length * take))) & mask)
+        for (length, take), before in zip(reversed(part), reversed(had), strict=True):
+            if not (before >> at) & 1:
+                taken[length] = taken.get(length, 0) + take
+                at -= length * take
     return taken
 
 
@@ -110,6 +121,13 @@ def fit(lengths: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": lengths["src"], "size": size, "quota": quota, "whole": whole})
 
 
+def _has_map(kind: DataType) -> bool:
+    """Whether a type holds a map anywhere: such values have no hash."""
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
 def _planned(docs: DataFrame, keep: list[str], id_column: str, text_column: str, source_column: str, weights: Sequence[float], limit: float, seed: int) -> DataFrame:
     """The columns to keep with own columns source, size, total, target and copies."""
     fields = [docs.schema[k] for k in keep]
@@ -125,7 +143,7 @@ def _planned(docs: DataFrame, keep: list[str], id_column: str, text_column: str,
     placed = counted.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     plan = placed.join(quotas, ["src", "size"]).join(goal, "src").select("src", "size", "slice", "ahead", "quota", "whole", "total", "target")
     plan = plan.withColumnsRenamed({"src": SRC, "size": SIZE, "slice": SLICE} | {k: f"{_OWN}{k}" for k in ("ahead", "quota", "whole", "total", "target")})
-    ties = [F.xxhash64(*[c for c in keep if not isinstance(docs.schema[c].dataType, MapType)])] if len(keep) > 1 else []
+    ties = [F.xxhash64(*[c for c in keep if not _has_map(docs.schema[c].dataType)])] if len(keep) > 1 else []
     rank = F.row_number().over(Window.partitionBy(SRC, SIZE, SLICE).orderBy(DRAW, id_column, *ties))
     rows = drawn.withColumn(f"{_OWN}rank", rank).join(plan, [SRC, SIZE, SLICE])
     taken = F.col(f"{_OWN}ahead") + F.col(f"{_OWN}rank") <= F.col(f"{_OWN}quota")

@@ -9,9 +9,10 @@ so that every piece but its first is a whole sequence, so only first pieces
 need fitting. Partitions pack on their own: no shuffle, constant memory, and a
 lost task repeats with the same result.
 
-What a partition leaves open when it ends is packed again with that of other
-partitions: open bins are small items of the second round, their documents
-moving with them by a join on the bin.
+What a partition leaves open or closes early is packed again with that of
+other partitions: such bins are the items of a second round, counted and dealt
+into shares of about ``SHARE``, their documents moving with them by a join on
+the bin.
 
 Cases: null text is empty and gives the end token alone; repeated rows are
 separate documents; no rows give no rows.
@@ -31,6 +32,7 @@ from .common import materialize
 
 CAPACITY = 1024
 OPEN_BINS = 512
+SHARE = 100_000
 END = 2
 _CACHE = 300_000
 SPECIAL = "<|endoftext|>"
@@ -92,7 +94,7 @@ class Bins:
     def __init__(self, capacity: int, limit: int):
         self.capacity, self.limit = capacity, limit
         self.free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.bits = self.open = self.made = 0
+        self.bits = self.open = 0
 
     def _put(self, bin_id: int, free: int) -> None:
         if free:
@@ -108,8 +110,8 @@ class Bins:
         self.open -= 1
         return bin_id
 
-    def place(self, length: int) -> tuple[int, int]:
-        """The bin and the place in it; a bin's free space is its list's index."""
+    def place(self, length: int, new: int) -> tuple[int, int]:
+        """The bin and the place in it; a bin that has to be opened gets the number new. A bin's free space is its list's index."""
         above = self.bits >> length
         if above:
             free = length + (above & -above).bit_length() - 1
@@ -117,14 +119,10 @@ class Bins:
         else:
             if self.open >= self.limit:  # the fullest closes
                 self._pop((self.bits & -self.bits).bit_length() - 1)
-            bin_id, free = self.made, self.capacity
-            self.made += 1
+            bin_id, free = new, self.capacity
         self._put(bin_id, free - length)
         return bin_id, self.capacity - free
 
-    def left(self) -> dict[int, int]:
-        return {b: f for f, bins in enumerate(self.free) for b in bins}
-
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -133,7 +131,7 @@ def _pack(id_column: str, text_column: str, vocabulary: str, ranks: str | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, bins, base = tokenizer(vocabulary, ranks), Bins(capacity, limit), TaskContext.get().partitionId() << 36
+        encode, bins, number = tokenizer(vocabulary, ranks), Bins(capacity, limit), TaskContext.get().partitionId() << 36
         stop, crc = end.to_bytes(4, "little"), zlib.crc32
         names = [x.split()[0] for x in _PIECES.split(", ")]
         for batch in batches:
@@ -142,11 +140,12 @@ def _pack(id_column: str, text_column: str, vocabulary: str, ranks: str | None,
                 ids = encode(text or "") + stop
                 n = len(ids) // 4
                 first = n % capacity or capacity
-                bin_id, at = bins.place(first)
-                out.append((doc, 0, 0, first, crc(ids[: 4 * first]), base + bin_id, at))
-                for k, start in enumerate(range(first, n, capacity), 1):
-                    bin_id, at = bins.place(capacity)
-                    out.append((doc, k, start, capacity, crc(ids[4 * start : 4 * (start + capacity)]), base + bin_id, at))
+                bin_id, at = bins.place(first, number)
+                number += 1
+                out.append((doc, 0, 0, first, crc(ids[: 4 * first]), bin_id, at))
+                for k, start in enumerate(range(first, n, capacity), 1):  # whole sequences
+                    out.append((doc, k, start, capacity, crc(ids[4 * start : 4 * (start + capacity)]), number, 0))
+                    number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names) if out else pa.RecordBatch.from_pylist([], pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in names]))
 
     return run
@@ -156,27 +155,29 @@ def _again(capacity: int, limit: int):
     """Bins (sequence_id, used) -> the bin that each moves to, and its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, names = Bins(capacity, limit), {}
+        bins = Bins(capacity, limit)
         for batch in batches:
             order = pc.sort_indices(batch, sort_keys=[("used", "descending"), ("sequence_id", "ascending")])
             batch = batch.take(order)
             to, at = [], []
             for seq, used in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bin_id, place = bins.place(used)
-                to.append(names.setdefault(bin_id, seq))
+                bin_id, place = bins.place(used, seq)
+                to.append(bin_id)
                 at.append(place)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int64()), pa.array(at, pa.int64())], names=["sequence_id", "to_id", "shift"])
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end: int = END, share: int = SHARE) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     placed = docs.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(_pack(id_column, text_column, vocabulary, ranks, capacity, open_bins, end), _PIECES)
     first = materialize(placed, "packed")
-    # what is not full takes part in the second round, dealt in shares of about 100,000 bins
+    # what is not full takes part in the second round
     used = first.where(F.col("length") < capacity).groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < capacity)
-    moved = used.repartition(F.pmod(F.xxhash64("sequence_id"), F.lit(8))).mapInArrow(_again(capacity, open_bins), "sequence_id long, to_id long, shift long")
+    used = materialize(used, "unfilled")
+    shares = max(1, -(-used.count() // share))
+    moved = used.repartition(shares, "sequence_id").mapInArrow(_again(capacity, open_bins), "sequence_id long, to_id long, shift long")
     whole = first.where(F.col("length") == capacity)
     rest = first.where(F.col("length") < capacity).join(moved, "sequence_id", "left")
     rest = rest.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("to_id", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))

@@ -26,7 +26,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize
@@ -151,21 +151,33 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return materialize(found.distinct(), "links")
 
 
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) -> a spanning forest of each batch's links."""
+    for b in batches:
+        x, y = _forest(b.column(0).to_numpy(), b.column(1).to_numpy()) if b.num_rows else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["v", "u"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Links (a, b) -> node, component: the smallest node reachable, for every node with a link."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    last = None
+    """Links (a, b) -> node, component: the smallest node reachable, for every node with a link.
+
+    Each round takes three shuffles: by node for the large stars, by node for the small ones, and by link for the distinct ones.
+    """
+    thin = edges.where("a <> b").select("a", "b").mapInArrow(_thinned, "v long, u long")
+    e = materialize(thin.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "forest")
+    own = Window.partitionBy("u")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("low").alias("y")), F.struct(F.col("v").alias("x"), F.col("low").alias("y")))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct()
-        e = materialize(small, "stars")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
+        low = F.least(F.min("v").over(own), F.col("u"))
+        large = both.withColumn("low", low).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
+        star = large.withColumn("low", F.min("v").over(own))
+        ends = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v"))))
+        e = materialize(star.select(ends.alias("e")).select("e.*").where("u <> v").distinct(), "stars")
+        # done when every link leads from a node with no other link to the middle of its star
+        roles = e.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        roles = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if roles.where("child > 1 OR (child > 0 AND parent > 0)").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        last = state
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3) -> DataFrame:

@@ -3,8 +3,8 @@
 Listed entries are canonical URLs: a lower-case host and the start of a path,
 with a verdict. An entry fits its host and all its subdomains where the path
 starts with its own; the longest entry wins. A URL's candidates are therefore
-its host suffixes joined to as many first characters of its path as any entry
-has. The filter holds eight words of 32 bits a block, one bit of each word for
+its host's last labels joined to its path's first characters, as many of each
+as any entry has. The filter holds eight words of 32 bits a block, one bit of each word for
 an entry, at about 16 bits an entry; a candidate whose bits are not all set is
 not listed. The rest goes to an exact hash join, which removes false positives.
 
@@ -60,7 +60,11 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_column: str = "page_id"
     judged = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
     listed = entries.where("host is not null and path is not null").select(F.concat(F.translate("host", _UPPER, _LOWER), F.lit("\u0001"), "path").alias("key"), F.length("path").alias("size"), F.concat("host", "path").alias("rule"), "verdict")
     listed = listed.groupBy("key", "size", "rule").agg(F.min("verdict").alias("verdict"))
-    stats = listed.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()  # a path's length has few values
+    labels = F.length("host_part") - F.length(F.replace("host_part", F.lit("."), F.lit(""))) + 1
+    shape = F.struct(labels.cast("int").alias("labels"), F.length("path_part").alias("size"))
+    listed = listed.withColumns({"host_part": F.split_part("key", F.lit("\u0001"), F.lit(1)), "path_part": F.split_part("key", F.lit("\u0001"), F.lit(2))})
+    stats = listed.agg(F.count("*").alias("n"), F.collect_set(shape).alias("shapes")).first()  # few: numbers of labels and lengths of paths
+    listed = listed.drop("host_part", "path_part")
     if not stats["n"]:
         return judged.select(id_column, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     small = stats["n"] <= broadcast_entries
@@ -68,10 +72,11 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_column: str = "page_id"
     blocks = max(1, stats["n"] * BITS_PER_ENTRY // (32 * WORDS))
     table = bloom(listed, "key", blocks)
     urls = judged.groupBy("host", "path").agg(F.lit(1).alias("one")).where("host <> ''").select("host", "path")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.array_distinct(F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(stats["sizes"])]), lambda x: x.isNotNull()))
-    candidates = urls.withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(starts)).withColumn("key", F.concat("suffix", F.lit("\u0001"), "start"))
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
+    shapes = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("size")) for a, b in sorted((x["labels"], x["size"]) for x in stats["shapes"])])
+    fitting = F.filter(shapes, lambda x: (x["labels"] <= F.col("dots") + 1) & (x["size"] <= F.length("path")))
+    key = lambda x: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -x["labels"]), F.lit("\u0001"), F.left(F.col("path"), x["size"]))
+    candidates = urls.withColumn("dots", dots).select("host", "path", F.explode(F.transform(fitting, key)).alias("key"))
     probed = candidates.withColumn("block", _block(F.col("key"), blocks)).join(place(table), "block")
     possible = probed
     for i, bit in enumerate(_bits(F.col("key"))):
@@ -79,5 +84,6 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_column: str = "page_id"
     exact = possible.select("host", "path", "key").join(place(listed), "key")
     order = F.struct(F.length("rule"), "rule")
     best = materialize(exact.groupBy("host", "path").agg(F.max_by("rule", order).alias("rule"), F.max_by("verdict", order).alias("verdict")), "url-hits")
-    found = judged.join(best, ["host", "path"], "left")
-    return found.select(id_column, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    found = judged.where("host <> ''").join(best, ["host", "path"], "left").select(id_column, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # urls without a host fit no entry, however many they are, and need no join
+    return found.unionByName(judged.where("host = ''").select(id_column, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))

@@ -50,3 +50,9 @@ def test_distinct_keeps_columns(odd, empty):
     assert found.columns == odd.columns
     assert sorted(r.doc_id or -1 for r in found.collect()) == sorted(r.doc_id or -1 for r in exact_duplicates(odd).where("kept").collect())
     assert exact_distinct(empty).count() == 0 and exact_duplicates(empty).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "x  y"), ("a", "x y"), (None, "x y"), ("c", "z"), ("d", None), ("e", "")]
+    kept = exact_distinct(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in kept) == ["a", "c", "d"]

@@ -61,3 +61,35 @@ def test_targets_are_met(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     off = check(rows, mixing.mix(df).collect())
     assert all(abs(x) <= 1 for x in off.values()), off
+
+
+def test_knapsack_of_very_long_texts_keeps_little():
+    import tracemalloc
+
+    counts = [(length, 1) for length in range(2_000_000, 1_999_400, -2)]  # one parity, so that an odd budget is never hit
+    tracemalloc.start()
+    got = mixing._bounded_sums(2_999_999, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lengths = [length for length, _ in counts]
+    near = min(abs(2_999_999 - s) for s in [*lengths, *(lengths[-1] + length for length in lengths[:-1])])
+    assert peak < 60_000_000 and abs(2_999_999 - sum(k * v for k, v in got.items())) == near
+
+
+def test_mix_keeps_columns(spark, odd, empty):
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns and mixing.mixed(empty).count() == 0
+    copies = {}
+    for r in out.collect():
+        copies[str(r)] = copies.get(str(r), 0) + 1
+    rows = {str(r) for r in odd.collect()}
+    assert set(copies) <= rows
+    assert sum(r.copies for r in mixing.mix(odd).collect()) == sum(copies.values())
+    deep = spark.createDataFrame([(i, "a b c", "s", ({"k": i},), [{"k": i}]) for i in range(9)], "doc_id long, text string, source string, deep struct<m: map<string, long>>, many array<map<string, long>>")
+    assert mixing.mixed(deep).count() == 9
+
+
+def test_one_very_long_text(spark):
+    rows = [(i, "w " * (2_000_000 if i == 0 else 50 + i), "en", f"s{i % 2}", 0) for i in range(40)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    check(rows, found)

@@ -49,10 +49,39 @@ def test_pieces_and_sequences(odd, limit):
 
 def test_fullest_closes_first():
     bins = packing.Bins(10, 2)
-    bins = packing.Bins(10, 2)
-    assert bins.place(6) == (0, 0) and bins.place(7) == (1, 0)
-    assert bins.place(8) == (2, 0)  # bin 1, the fullest, has closed
-    assert bins.place(3) == (0, 6) and bins.place(2) == (2, 8)
+    assert bins.place(6, 0) == (0, 0) and bins.place(7, 1) == (1, 0)
+    assert bins.place(8, 2) == (2, 0)  # bin 1, the fullest, has closed
+    assert bins.place(3, 3) == (0, 6) and bins.place(2, 4) == (2, 8)
+
+
+@pytest.mark.parametrize("share", [40, 100_000])
+def test_second_round_in_shares(spark, share):
+    docs = spark.createDataFrame([(i, "w " * (i % 50)) for i in range(600)], "doc_id long, text string").repartition(20)
+    rows = packing.pack(docs, VOCABULARY, RANKS, capacity=64, share=share).collect()
+    used = {}
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in used.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64
+    assert len(rows) == len({(r.doc_id, r.piece) for r in rows}) and sum(r.length for r in rows) / (64 * len(used)) > 0.85
+
+
+def test_a_million_open_bins_keep_little():
+    """The second round holds its open bins only."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for k in range(100):
+            yield pa.RecordBatch.from_arrays([pa.array(range(k * 10_000, (k + 1) * 10_000), pa.int64()), pa.array([600 + (i * 7919) % 400 for i in range(10_000)], pa.int64())], names=["sequence_id", "used"])
+
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in packing._again(1024, 512)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1_000_000 and peak < 10_000_000
 
 
 def test_empty_table(empty):

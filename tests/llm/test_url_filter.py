@@ -31,6 +31,11 @@ def test_rules(spark):
     check(spark, URLS, RULES)
 
 
+def test_a_host_of_very_many_dots(spark):
+    rules = [*RULES, ("x.example.com", "/en/deep", "block")]
+    check(spark, ["http://" + "." * 60_000 + "a.example.com/en/" + "y" * 100_000, "http://" + "q." * 60_000 + "net/es/", "http://" + "x" * 200_000, "http://x.example.com/en/deeper"], rules)
+
+
 def test_a_long_list_is_joined_by_shuffle(spark):
     rules = [(f"h{i}.example{i % 7}.org", "/" + "ab"[: i % 3], "block" if i % 2 else "allow") for i in range(3000)]
     urls = [f"http://{'w.' * (i % 3)}h{i}.example{i % 5}.org/abc{i}" for i in range(500)]
