@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from . import graph
+
 MIN_SIZE, PERCENTILE, MAX_GAPS, MAX_ISOLATED, MAX_BRIDGES = 3, 25, 12, 20, 15
 
 
@@ -76,33 +82,154 @@ def listing(terms: list[str], count: int = 3) -> str:
     return "—" if not t else t[0] if len(t) == 1 else ", ".join(t[:-1]) + " y " + t[-1]
 
 
-_ASKED = (
-    "¿Qué relación podría haber entre {a} y {b}?",
-    "¿Qué camino lleva de {a} hasta {b}?",
-    "¿En qué caso {a} cambiaría lo que se sabe de {b}?",
-    "¿Qué documento haría falta para unir {a} con {b}?",
+# our own wordings; which one is taken, and what it names, follows from the gap
+ASKED_STRUCTURAL = (
+    "¿Qué une {a} con {b}? {doc_a} trata lo primero y {doc_b} lo segundo, pero ningún documento trata ambos.",
+    "¿Cómo se llega de {central_a} a {central_b}? En el grafo los separa {steps}.",
+    "¿Cuándo se tocan {a} y {b}? Juntos son {share} del vocabulario y los une {edges}.",
+    "¿Qué argumento pondría {central_a} y {central_b} en un mismo texto? Ese texto falta.",
+)
+ASKED_ISOLATED = (
+    "¿Con qué enlaza {name}? Tiene {terms} conceptos y ningún enlace. {hint}",
+    "¿Qué pregunta abrió {name} ({words} palabras) y sigue sin respuesta? {hint}",
+    "¿Qué parte de {name} corresponde a otro documento? {hint}",
+)
+ASKED_BRIDGE = (
+    "¿Significa {form} lo mismo junto a {a} que junto a {b}? Está en {doc_a} y en {doc_b}, nunca con ambos.",
+    "{form} acompaña a {a} y también a {b}, pero en ningún documento a los dos: ¿es un puente o son dos sentidos?",
+    "¿Qué caso mostraría que {form} une {a} con {b}? No está escrito.",
 )
 
 
-def question(terms_a: list[str], terms_b: list[str], has_path: bool = True) -> str:
-    """The same gap always gets the same question."""
-    a, b = listing(terms_a), listing(terms_b)
-    k = seed(f"{a}|{b}") % len(_ASKED)
-    return _ASKED[3 if k == 1 and not has_path else k].format(a=a, b=b)
+def short_name(path: str | None) -> str:
+    import re
+
+    return re.sub(r"\.[A-Za-z0-9]{1,10}$", "", path.rsplit("/", 1)[-1]) if path else "un documento"
+
+
+def _counted(n: int, one: str, many: str, none: str) -> str:
+    return none if n == 0 else one if n == 1 else f"{n} {many}"
+
+
+def structural_question(g: dict) -> tuple[int, str]:
+    """The wording's number and the question of a structural gap; the same gap always gets the same one."""
+    a, b = g["central_a"] or listing(g["terms_a"], 1), g["central_b"] or listing(g["terms_b"], 1)
+    k = seed(f"e:{g['ca']}:{g['cb']}:{a}{b}") % len(ASKED_STRUCTURAL)
+    if k == 1 and g["distance"] is None:  # without a way there is no distance to name
+        k = 3
+    steps = "ningún camino" if g["distance"] is None else _counted(g["distance"], "un salto", "saltos", "0 saltos")
+    edges = _counted(g["edges"], "una conexión", "conexiones", "ninguna conexión")
+    docs = [short_name((g[f"docs_{x}"] or [None])[0]) for x in "ab"]
+    return k, ASKED_STRUCTURAL[k].format(a=listing(g["terms_a"]), b=listing(g["terms_b"]), central_a=a, central_b=b, doc_a=docs[0], doc_b=docs[1], steps=steps, edges=edges, share=f"{int(g['weight'] * 100 + 0.5)}%")
+
+
+def isolated_question(d: dict) -> tuple[int, str]:
+    near = d["affine"] or []
+    hint = f"Se parece a {listing([short_name(p) for p in near], 2)}, sin enlace entre ellos." if near else "No se parece a ningún otro documento."
+    k = seed(f"a:{d['path']}") % len(ASKED_ISOLATED)
+    return k, ASKED_ISOLATED[k].format(name=short_name(d["path"]), terms=d["terms"], words=d["words"], hint=hint)
+
+
+def bridge_question(p: dict) -> tuple[int, str]:
+    k = seed(f"p:{p['lemma']}{p['community_a']}{p['community_b']}") % len(ASKED_BRIDGE)
+    docs = [short_name((p[f"docs_{x}"] or [None])[0]) for x in "ab"]
+    return k, ASKED_BRIDGE[k].format(form=p["form"], a=listing(p["near_a"], 2), b=listing(p["near_b"], 2), doc_a=docs[0], doc_b=docs[1])
+
 
+_KINDS = {"structural": structural_question, "isolated": isolated_question, "bridge": bridge_question}
 
-def missing_bridges(nodes: DataFrame, edges: DataFrame, postings: DataFrame, reviewed: int = 400, min_docs: int = 2, limit: int | None = MAX_BRIDGES) -> DataFrame:
+
+@F.pandas_udf("struct<template: int, question: string>")
+def question_of(kind: pd.Series, gap: pd.Series) -> pd.DataFrame:
+    """kind, the gap as JSON -> its question."""
+    return pd.DataFrame([_KINDS[k](json.loads(g)) for k, g in zip(kind, gap)], columns=["template", "question"])
+
+
+def central(nodes: DataFrame) -> DataFrame:
+    """community, id, form of its most central node: by betweenness, then frequency, then the smaller id."""
+    order = F.struct("betweenness", "frequency", -F.col("id"))
+    return nodes.groupBy("community").agg(F.max_by("id", order).alias("id"), F.max_by("form", order).alias("form"))
+
+
+def side_terms(nodes: DataFrame, count: int = 6) -> DataFrame:
+    """community, terms: the forms of its most central nodes."""
+    r = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("betweenness"), F.desc("frequency"), "id"))
+    few = nodes.withColumn("r", r).where(F.col("r") <= count)
+    return few.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "form"))), lambda x: x["form"]).alias("terms"))
+
+
+def side_documents(nodes: DataFrame, postings: DataFrame, count: int = 3) -> DataFrame:
+    """community, documents: the paths that hold most of its concepts (postings: lemma, path)."""
+    hits = postings.select("lemma", "path").distinct().join(F.broadcast(nodes.select("lemma", "community")), "lemma").groupBy("community", "path").agg(F.count("*").alias("n"))
+    r = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "path"))
+    few = hits.withColumn("r", r).where(F.col("r") <= count)
+    return few.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("documents"))
+
+
+def _for_sides(table: DataFrame, value: str, name: str) -> list[DataFrame]:
+    return [table.select(F.col("community").alias(f"c{x}"), F.col(value).alias(f"{name}_{x}")) for x in "ab"]
+
+
+def structural_gaps(nodes: DataFrame, edges: DataFrame, postings: DataFrame, min_inner: float = 0.0, percentile: int = PERCENTILE, limit: int | None = MAX_GAPS) -> DataFrame:
+    """The gaps between communities of the cut graph, whole: nodes (id, lemma, form, frequency, betweenness, community), edges (a_id, b_id, weight), postings (lemma, path).
+
+    A row per gap: ca, cb, na, nb, edges, density, inner_a, inner_b, distance
+    (null: no way) between the central nodes, weight (share of all
+    frequencies), ease, score, central_a, central_b, terms_a, terms_b, docs_a,
+    docs_b. A graph of under four nodes has none.
+    """
+    pairs = densities(nodes, edges)
+    pairs = structural(pairs.withColumn("global_density", F.greatest("global_density", F.lit(float(min_inner)))), percentile)
+    whole = nodes.agg(F.sum("frequency").alias("all_frequency"), F.count("*").alias("v")).where("v >= 4")
+    freq, mid = nodes.groupBy("community").agg(F.sum("frequency").alias("f")), materialize(central(nodes), "central")
+    far = graph.distances(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), mid.select(F.col("id").alias("source")))
+    out = pairs.join(F.broadcast(whole), F.lit(True))  # one row
+    for table, value, name in ((freq, "f", "f"), (mid, "id", "id"), (mid, "form", "central"), (side_terms(nodes), "terms", "terms"), (side_documents(nodes, postings), "documents", "docs")):
+        for side in _for_sides(table, value, name):
+            out = out.join(side, side.columns[0], "left")
+    out = out.join(far.select(F.col("source").alias("id_a"), F.col("node").alias("id_b"), F.col("hops").alias("distance")), ["id_a", "id_b"], "left")
+    weight = (F.col("f_a") + F.col("f_b")) / F.greatest("all_frequency", F.lit(1))
+    ease = F.when(F.col("distance").isNull(), 1 / 12).otherwise(1 / F.greatest("distance", F.lit(1)))
+    out = out.withColumns({"weight": weight, "ease": ease}).withColumn("score", F.col("weight") * F.col("ease"))
+    out = out.select("ca", "cb", "na", "nb", "edges", "density", "inner_a", "inner_b", "distance", "weight", "ease", "score", "central_a", "central_b", "terms_a", "terms_b", "docs_a", "docs_b")
+    return out if limit is None else out.orderBy(F.desc("score"), "ca", "cb").limit(limit)
+
+
+def isolated_documents(docs: DataFrame, dependencies: DataFrame, affinities: DataFrame, limit: int | None = MAX_ISOLATED) -> DataFrame:
+    """docs (path, state, terms, words), dependencies (a, b), affinities (a, b, cosine) -> path, terms, words, affine (up to three, nearest first), score: rich documents that nothing depends on."""
+    read = docs.where("state = 'ok' AND terms > 0")
+    linked = dependencies.select(F.col("a").alias("path")).union(dependencies.select("b")).distinct()
+    alone = isolated(read.select("path", "terms"), linked).join(read.select("path", "words"), "path")
+    ends = affinities.select(F.col("a").alias("path"), F.col("b").alias("near"), "cosine").union(affinities.select("b", "a", "cosine"))
+    r = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("cosine"), "near"))
+    near = ends.withColumn("r", r).where("r <= 3").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "near"))), lambda x: x["near"]).alias("affine"))
+    out = alone.join(near, "path", "left").withColumn("affine", F.coalesce("affine", F.array().cast("array<string>")))
+    out = out.withColumn("score", F.col("terms") * F.when(F.size("affine") > 0, 1.0).otherwise(1.5)).select("path", "terms", "words", "affine", "score")
+    return out if limit is None else out.orderBy(F.desc("score"), "path").limit(limit)
+
+
+def gap_questions(structural_rows: DataFrame, isolated_rows: DataFrame, bridge_rows: DataFrame) -> DataFrame:
+    """kind, key, score, template, question for the three kinds of gaps."""
+    parts = []
+    for kind, rows, key in (("structural", structural_rows, F.concat_ws(":", "ca", "cb")), ("isolated", isolated_rows, F.col("path")), ("bridge", bridge_rows, F.col("lemma"))):
+        parts.append(rows.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), F.col("score").cast("double").alias("score"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("gap")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("q", question_of("kind", "gap")).select("kind", "key", "score", "q.template", "q.question")
+
+
+def missing_bridges(nodes: DataFrame, edges: DataFrame, postings: DataFrame, reviewed: int = 400, min_docs: int = 2, limit: int | None = MAX_BRIDGES, details: bool = False) -> DataFrame:
     """Concepts between two communities that no document of theirs joins.
 
     nodes (id, lemma, betweenness, community), edges (a_id, b_id), postings
     (lemma, path). For each of the most central concepts, the two communities
     with most of its neighbours are its sides; a bridge is missing where both
     sides occur in its documents, but never in the same one. Ties of sides go
-    to the smaller community.
+    to the smaller community. With details, form, near_a, near_b (five neighbours)
+    and docs_a, docs_b (three documents) stand for the counts.
     """
     ends = edges.where("a_id <> b_id").select(F.col("a_id").alias("id"), F.col("b_id").alias("near"))
     ends = ends.unionByName(ends.select(F.col("near").alias("id"), F.col("id").alias("near")))
     degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
+    forms = nodes.select("id", "form") if "form" in nodes.columns else nodes.select("id", F.col("lemma").alias("form"))
     nodes = nodes.select("id", "lemma", "betweenness", "community")
     central = nodes.join(degree, "id").where("degree >= 2 AND betweenness > 0").orderBy(F.desc("betweenness"), "id").limit(reviewed).select("id", "lemma", "betweenness")
     held = postings.select("lemma", "path").distinct()
@@ -116,4 +243,13 @@ def missing_bridges(nodes: DataFrame, edges: DataFrame, postings: DataFrame, rev
     per = seen.groupBy("id", "path").agg(F.count("*").alias("sides"), F.min("side").alias("first")).groupBy("id").agg(F.count_if(F.col("sides") == 2).alias("joint"), F.count_if(F.col("first") == 1).alias("docs_a"), F.count_if((F.col("first") == 2) | (F.col("sides") == 2)).alias("docs_b"))
     found = per.where("joint = 0 AND docs_a > 0 AND docs_b > 0").join(both, "id").join(enough, "id", "left_semi").join(central, "id")
     out = found.select("id", "lemma", "community_a", "community_b", "docs_a", "docs_b", (F.col("betweenness") * F.col("least")).alias("score"))
+    if not details:
+        return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
+    first = lambda df, value, n: df.groupBy("id", "side").agg(F.slice(F.array_sort(F.collect_set(value)), 1, n).alias("x"))
+    around = near.join(sides.select("id", "community", "side"), ["id", "community"]).join(forms.select(F.col("id").alias("near"), F.col("form").alias("near_form")), "near")
+    out = out.drop("docs_a", "docs_b").join(forms, "id")
+    for df, value, n, name in ((around, "near_form", 5, "near"), (seen, "path", 3, "docs")):
+        few = first(df, value, n)
+        for k, x in ((1, "a"), (2, "b")):
+            out = out.join(few.where(F.col("side") == k).select("id", F.col("x").alias(f"{name}_{x}")), "id", "left")
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)

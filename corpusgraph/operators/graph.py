@@ -1,23 +1,24 @@
-"""Graph algorithms over the cut concept graph (at most 3000 nodes, by its cut).
+"""Graph algorithms.
 
-Sums and degrees are groupings. Louvain depends on the order of moves, so one
-task runs it over the bounded graph; betweenness is dealt out by source node,
-each task walking breadth first over the broadcast edge arrays.
+Sums and degrees are groupings; distances, components and routes are joins in
+rounds, each written to the shared folder, over graphs of any size. Louvain
+depends on the order of moves, so one task runs it over the cut concept graph
+(3000 nodes, by its cut); betweenness is dealt out by source node, each task
+walking breadth first over the broadcast edge arrays of that graph.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .lookup import both_ways
 
 EXACT, PIVOTS, SEED, GAIN, SWEEPS, LEVELS = 1200, 400, 20240101, 1e-7, 50, 20
-MAX_EDGES = 5_000_000
+MAX_EDGES = 20_000_000  # what betweenness may broadcast
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -150,7 +151,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = EXACT, count: i
     """nodes (id 0..n-1), edges (a_id, b_id) of the cut graph -> id, betweenness, normal."""
     spark = nodes.sparkSession
     n = nodes.count()
-    e = edges.where("a_id <> b_id").select(F.col("a_id").cast("long").alias("a"), F.col("b_id").cast("long").alias("b")).distinct().limit(MAX_EDGES).toPandas()  # at most n * (n - 1) / 2 rows
+    e = edges.where("a_id <> b_id").select(F.col("a_id").cast("long").alias("a"), F.col("b_id").cast("long").alias("b")).distinct()
+    if (many := e.count()) > MAX_EDGES:
+        raise ValueError(f"betweenness broadcasts its edges, of which there are {many}: cut the graph to {MAX_EDGES}")
+    e = e.toPandas()
     src, dst = np.concatenate([e["a"], e["b"]]), np.concatenate([e["b"], e["a"]])
     graph = spark.sparkContext.broadcast((n, src, dst))
     chosen = pivots(n, exact, count)
@@ -170,79 +174,92 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = EXACT, count: i
     return sources.mapInPandas(run, "id long, x double").groupBy("id").agg(value.alias("betweenness"), (value / pairs if pairs > 0 else F.lit(0.0)).alias("normal"))
 
 
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """edges (a, b), sources (source) -> source, node, hops for all nodes that each source reaches; a join per hop, until none finds a new node."""
+    w = materialize(both_ways(edges).select("src", "dst").distinct(), "both-ways")
+    seen = front = materialize(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")).distinct(), "hops")
+    step = 0
+    while True:
+        step += 1
+        found = front.join(w, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
+        front = materialize(found.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(step)), "hops")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
 def hops(edges: DataFrame, source) -> DataFrame:
-    """edges (a, b) -> node, hops from the source, for all nodes it reaches; a join per hop, until one finds no new node."""
-    w = both_ways(edges).select("src", "dst").distinct().persist()
-    spark = edges.sparkSession
-    schema = f"node {dict(edges.dtypes)['a']}, hops int"
-    seen = front = [(source, 0)]
-    while front:
-        step = front[0][1] + 1
-        known = spark.createDataFrame(seen, schema)
-        found = known.where(F.col("hops") == step - 1).select(F.col("node").alias("src")).join(w, "src").select(F.col("dst").alias("node")).distinct()
-        front = [(r.node, step) for r in found.join(known.select("node"), "node", "left_anti").collect()]  # nodes of the cut graph
-        seen = seen + front
-    return spark.createDataFrame(seen, schema)
-
-
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Each node's component: its smallest node."""
-    label = np.arange(n)
+    """edges (a, b) -> node, hops from one source."""
+    one = edges.sparkSession.createDataFrame([(source,)], f"source {dict(edges.dtypes)['a']}")
+    return distances(edges, one).select("node", "hops")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) -> node, component: the smallest node reachable, for every node with a link; large and small stars in turn (Kiveris et al. 2014)."""
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    own = Window.partitionBy("u")
     while True:
-        new = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("low", F.least(F.min("v").over(own), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
+        star = large.withColumn("low", F.min("v").over(own))
+        links = star.select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*")
+        e = materialize(links.where("u <> v").distinct(), "stars")
+        roles = e.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        crooked = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 OR (child > 0 AND parent > 0)")
+        if crooked.isEmpty():  # every link leads from a node with no other to the middle of its star
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def component_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component of the cut graph."""
+    """nodes (id), edges (a_id, b_id) -> id, component: that of a node without edges is itself."""
+    found = components(edges.select(F.col("a_id").cast("long").alias("a"), F.col("b_id").cast("long").alias("b")))
+    ids = nodes.select(F.col("id").cast("long").alias("id"))
+    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def routes(edges: DataFrame, asked: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+    """Cheapest routes: edges (a, b, weight), asked (start, end) -> start, end, path, cost; path and cost are null where there is no route.
+
+    An edge costs 1 / max(0.01, weight). Rounds of relaxation keep, for each
+    start and node, the cheapest route found (ties: the smallest path), and end
+    when no route gets cheaper. Routes dearer than one known to the end are
+    dropped where every route asked of a start has its end.
+    """
+    w = both_ways(edges).select("src", "dst", (1 / F.greatest(F.col("weight").cast("double"), F.lit(0.01))).alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c"))
+    if visible is not None:
+        keep = visible.select("node").distinct()
+        w = w.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    w = materialize(w, "steps")
+    best = front = materialize(asked.select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.lit(0.0).alias("cost")).distinct(), "routes")
+    ends = asked.select("start", "end").distinct()
+    order = F.struct("cost", "path")
+    while True:
+        step = front.join(w, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        step = step.select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("cost") + F.col("c")).alias("cost"))
+        limit = ends.join(best, (ends["end"] == best["node"]) & (ends["start"] == best["start"]), "left").groupBy(ends["start"]).agg(F.max("cost").alias("dearest"), F.count_if(F.col("cost").isNull()).alias("open"))
+        step = step.join(limit, "start").where("open > 0 OR cost <= dearest").drop("open", "dearest")
+        cheapest = step.groupBy("start", "node").agg(F.min(order).alias("new")).join(best.select("start", "node", order.alias("old")), ["start", "node"], "left")
+        front = materialize(cheapest.where("old IS NULL OR new < old").select("start", "node", "new.path", "new.cost"), "routes")
+        if front.isEmpty():
+            break
+        best = materialize(best.unionByName(front).groupBy("start", "node").agg(F.min(order).alias("o")).select("start", "node", "o.path", "o.cost"), "routes")
+    return ends.join(best.withColumnRenamed("node", "end"), ["start", "end"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[pdf["b_id"].notna()]
-        n = int(pdf["a_id"].max()) + 1
-        found = components(n, e["a_id"].to_numpy(dtype=np.int64), e["b_id"].to_numpy(dtype=np.int64))
-        ids = np.sort(pdf.loc[pdf["b_id"].isna(), "a_id"].to_numpy(dtype=np.int64))
-        return pd.DataFrame({"id": ids, "component": found[ids]})
-
-    rows = nodes.select(F.col("id").cast("long").alias("a_id"), F.lit(None).cast("long").alias("b_id")).unionByName(edges.select(F.col("a_id").cast("long").alias("a_id"), F.col("b_id").cast("long").alias("b_id")))
-    return rows.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "id long, component long")  # bounded by the cut
-
-
-def shortest_path(edges: list[tuple], start, end) -> tuple[list, float] | None:
-    """Dijkstra with cost 1 / max(0.01, weight) over (a, b, weight); None where there is no path."""
-    near: dict = {}
-    for a, b, w in edges:
-        near.setdefault(a, []).append((b, 1 / max(0.01, w)))
-        near.setdefault(b, []).append((a, 1 / max(0.01, w)))
-    best, back, heap = {start: 0.0}, {}, [(0.0, start)]
-    while heap:
-        cost, x = heapq.heappop(heap)
-        if x == end:
-            path = [x]
-            while path[-1] != start:
-                path.append(back[path[-1]])
-            return path[::-1], cost
-        if cost > best[x]:
-            continue
-        for y, c in near.get(x, []):
-            if cost + c < best.get(y, float("inf")):
-                best[y], back[y] = cost + c, x
-                heapq.heappush(heap, (cost + c, y))
-    return None
-
-
-def reading_plan(path: list[str], postings: dict[str, list[str]]) -> list[tuple[str, str | None, bool, bool]]:
-    """For each concept of a route: the first document not yet used; whether one used covers it; whether it has none."""
-    used, out = set(), []
-    for lemma in path:
-        docs = postings.get(lemma, [])
-        new = next((d for d in docs if d not in used), None)
-        out.append((lemma, new, new is None and bool(docs), not docs))
-        if new is not None:
-            used.add(new)
-    return out
+
+def reading_plans(found: DataFrame, postings: DataFrame) -> DataFrame:
+    """routes (start, end, path), postings (node, document) -> a row per node of a route: place, document (the first by name not yet used), covered (one that is used holds it), none.
+
+    The fold over a route runs inside its row: a route is as long as its nodes, each with its documents.
+    """
+    held = postings.groupBy("node").agg(F.array_sort(F.collect_set("document")).alias("documents"))
+    nodes = found.where("path IS NOT NULL").select("start", "end", F.posexplode("path").alias("place", "node")).join(held, "node", "left")
+    rows = nodes.groupBy("start", "end").agg(F.array_sort(F.collect_list(F.struct("place", "node", F.coalesce("documents", F.array().cast("array<string>")).alias("documents")))).alias("nodes"))
+    none = F.array().cast("array<struct<place: int, node: string, document: string, covered: boolean, none: boolean>>")
+
+    def use(state, x):
+        new = F.get(F.array_except(x["documents"], state["used"]), F.lit(0))
+        row = F.struct(x["place"].cast("int").alias("place"), x["node"].cast("string").alias("node"), new.alias("document"), (new.isNull() & (F.size(x["documents"]) > 0)).alias("covered"), (F.size(x["documents"]) == 0).alias("none"))
+        return F.struct(F.when(new.isNull(), state["used"]).otherwise(F.array_append(state["used"], new)).alias("used"), F.array_append(state["rows"], row).alias("rows"))
+
+    start = F.struct(F.array().cast("array<string>").alias("used"), none.alias("rows"))
+    return rows.select("start", "end", F.explode(F.aggregate("nodes", start, use)["rows"]).alias("x")).select("start", "end", "x.*")

@@ -67,7 +67,7 @@ def betweenness(spark, sf):
     return graph.betweenness(nodes, edges).join(nodes.select("id", "lemma"), "id")
 
 
-@R.add()
+@R.add(f"WITH RECURSIVE {_ALL}, near AS MATERIALIZED (SELECT a_id AS s, b_id AS t FROM cut UNION SELECT b_id, a_id FROM cut), big AS (SELECT 0::BIGINT AS id UNION SELECT t FROM big JOIN near ON s = id), small AS (SELECT id AS s, id AS t FROM kept WHERE id NOT IN (SELECT id FROM big) UNION SELECT small.s, near.t FROM small JOIN near ON near.s = small.t), own AS (SELECT id, 0 AS component FROM big UNION ALL SELECT t, min(s) FROM small GROUP BY t) SELECT component, count(*) AS nodes FROM own GROUP BY component")
 def components(spark, sf):
     nodes, edges = _cut(spark, sf)
     return graph.component_table(nodes, edges).groupBy("component").agg(F.count("*").alias("nodes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import concepts as co
 from ..operators import documents as do
 from ..operators import lookup, views
+from ..sources import assembly
 from ..storage import materialize, spread
 from . import document_queries as dq
 from . import graph_queries as gq
@@ -230,3 +231,26 @@ def bounding_box(spark, sf):
 def nearest_point(spark, sf):
     """The point under a place of the map."""
     return views.nearest(_points(spark, sf), 0.0, 0.0, 1.0).withColumn("d2", F.round("d2", 9))
+
+
+_FILES = rf"fl AS (SELECT source || '/' || lang || '/doc-' || doc_id || CASE WHEN doc_id % 50 = 7 THEN '.png' ELSE '.txt' END AS path, text, 'text' AS parser, doc_id % 40 = 3 AS away FROM documents UNION ALL SELECT 'web/page-' || page_id || '.html', CASE WHEN t <> '' THEN t || chr(10) || chr(10) ELSE '' END || b, 'html', false FROM (SELECT page_id, {dq._TITLE} AS t, {dq._sql_body('html')} AS b FROM pages))"
+_INDEX = TOKENS.replace(f"SELECT {PATH} AS path, text, ", "SELECT path, text, ").replace("AS detected FROM documents)", "AS detected FROM ok)")
+
+
+def _files(spark, sf):
+    """documents and pages as files: some documents are images by name, some are still in the cloud."""
+    k = F.col("doc_id")
+    ext = F.when(k % 50 == 7, ".png").otherwise(".txt")
+    d = read(spark, sf, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), k.cast("string"), ext).alias("path"), F.col("text").cast("binary").alias("content"), (k % 40 == 3).alias("placeholder"))
+    p = read(spark, sf, "pages").select(F.concat(F.lit("web/page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"), F.lit(False).alias("placeholder"))
+    return spread(d.unionByName(p)).withColumn("size", F.length("content").cast("long"))
+
+
+@R.add(rf"""WITH {_FILES}, st AS (SELECT *, CASE WHEN away THEN 'error' WHEN ends_with(path, '.png') THEN 'metadata only' WHEN trim(text) = '' THEN 'no text' ELSE 'ok' END AS state FROM fl), ok AS (SELECT path, text FROM st WHERE state = 'ok'), {_INDEX},
+    tk AS (SELECT path, count(*) AS tokens, count(DISTINCT lemma) AS terms FROM tok GROUP BY path), sn AS (SELECT path, count(*) AS sentences FROM s GROUP BY path)
+    SELECT st.path, state, CASE WHEN away THEN 'none' WHEN ends_with(st.path, '.png') THEN 'binary' ELSE st.parser END AS parser, CASE WHEN away THEN 'still in the cloud' WHEN state = 'metadata only' THEN 'no text in image' END AS error,
+    coalesce(detected, 'indeterminado') AS language, coalesce(sentences, 0) AS sentences, coalesce(tokens, 0) AS tokens, least(coalesce(terms, 0), 400) AS terms, CASE WHEN state = 'ok' THEN len(regexp_extract_all(st.text, '\S+')) ELSE 0 END AS words FROM st LEFT JOIN d USING (path) LEFT JOIN tk USING (path) LEFT JOIN sn USING (path)""")
+def document_index(spark, sf):
+    """Files to index rows: states, language, sentences, tokens, terms and words of each."""
+    index = assembly.assembled(assembly.parsed(_files(spark, sf)))
+    return index.select("path", "state", "parser", "error", "language", "sentences", "tokens", F.size("terms").alias("terms"), "words")

@@ -1,5 +1,6 @@
 """Layers, graph algorithms and exports on small cases with known results."""
 
+import heapq
 import io
 import json
 import zipfile
@@ -55,12 +56,57 @@ def test_small_graphs(spark):
     assert {r.node: r.hops for r in graph.hops(e, "a").collect()} == {"a": 0, "b": 1, "c": 2}
 
 
-def test_routes():
-    edges = [("a", "b", 10), ("b", "c", 10), ("c", "d", 10), ("a", "d", 1)]
-    assert graph.shortest_path(edges, "a", "d")[0] == ["a", "b", "c", "d"]
-    assert graph.shortest_path(edges, "a", "z") is None
-    plan = graph.reading_plan(["x", "y", "z"], {"x": ["1", "2"], "y": ["1"]})
-    assert plan == [("x", "1", False, False), ("y", None, True, False), ("z", None, False, True)]
+def dijkstra(edges, start, end):
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, 1 / max(0.01, w)))
+        near.setdefault(b, []).append((a, 1 / max(0.01, w)))
+    best, heap = {}, [(0.0, [start])]
+    while heap:
+        cost, path = heapq.heappop(heap)
+        if path[-1] in best:
+            continue
+        best[path[-1]] = path, cost
+        for b, c in near.get(path[-1], []):
+            heapq.heappush(heap, (cost + c, [*path, b]))
+    return best.get(end, (None, None))
+
+
+def test_routes(spark):
+    edges = [("a", "b", 10.0), ("b", "c", 10.0), ("c", "d", 10.0), ("a", "d", 1.0)]
+    df = spark.createDataFrame(edges, "a string, b string, weight double")
+    asked = spark.createDataFrame([("a", "d"), ("a", "z"), ("a", "a")], "start string, end string")
+    found = {r.end: r.path for r in graph.routes(df, asked).collect()}
+    assert found == {"d": ["a", "b", "c", "d"], "z": None, "a": ["a"]}
+    shown = spark.createDataFrame([("a",), ("c",), ("d",)], "node string")
+    assert {r.end: r.path for r in graph.routes(df, asked, shown).collect()}["d"] == ["a", "d"]
+    plan = graph.reading_plans(spark.createDataFrame([("x", "z", ["x", "y", "z"])], "start string, end string, path array<string>"), spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1")], "node string, document string"))
+    assert [tuple(r)[3:] for r in plan.orderBy("place").collect()] == [("x", "1", False, False), ("y", None, True, False), ("z", None, False, True)]
+
+
+def test_routes_equal_dijkstra(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 60), rng.integers(0, 30, 60), rng.integers(1, 9, 60)) if a != b]
+    asked = [(0, k) for k in range(1, 30)] + [(5, 7)]
+    found = graph.routes(spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(asked, "start long, end long")).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        path, cost = dijkstra(edges, r.start, r.end)
+        assert r.path == path and (cost is None or r.cost == pytest.approx(cost))
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = np.random.default_rng(1)
+    links = [(int(i), int(i) + 1) for i in range(40)] + [(100, int(k)) for k in range(101, 130)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (50, 2))]
+    label = {}
+    for a, b in links:
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: v for k, v in label.items() if k in linked}
 
 
 def test_window_and_weights(spark):
@@ -129,7 +175,16 @@ def test_csv_and_json(spark):
 
 def test_gaps_and_questions(spark):
     assert gaps.seed("a") == abs(np.int32(np.uint32(0xE40C292C)))
-    assert gaps.question(["a", "b"], ["c"]) == gaps.question(["a", "b"], ["c"]) and gaps.listing(["a", "b", "c"]) == "a, b y c"
+    assert gaps.listing(["a", "b", "c"]) == "a, b y c" and gaps.listing([]) == "—"
+    gap = dict(ca=1, cb=2, central_a="x", central_b="y", terms_a=["x", "p"], terms_b=["y"], docs_a=["f/one.txt"], docs_b=[], distance=2, edges=1, weight=0.25)
+    key = next(f"x{i}" for i in range(99) if gaps.seed(f"e:1:2:x{i}y") % 4 == 1)
+    k, text = gaps.structural_question(gap | {"central_a": key})
+    assert k == 1 and key in text and "2 saltos" in text and gaps.structural_question(gap | {"central_a": key}) == (k, text)
+    assert gaps.structural_question(gap | {"central_a": key, "distance": None})[0] == 3
+    k, text = gaps.isolated_question(dict(path="d/n.md", terms=3, words=9, affine=["q/z.txt"]))
+    assert k == gaps.seed("a:d/n.md") % 3 and "z" in text and ".txt" not in text
+    k, text = gaps.bridge_question(dict(lemma="l", form="L", community_a=0, community_b=4, near_a=["a", "b", "c"], near_b=["d"], docs_a=["x.md"], docs_b=None))
+    assert k == gaps.seed("p:l04") % 3 and "a y b" in text
     docs = spark.createDataFrame([("a", 10), ("b", 30), ("c", 20), ("d", 0)], "path string, terms long")
     linked = spark.createDataFrame([("b",)], "path string")
     assert [r.path for r in gaps.isolated(docs, linked).collect()] == ["c"]
