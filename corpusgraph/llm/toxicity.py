@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels are given for documents, so tokens are labelled first: a token of a
-toxic training document is toxic if its word or its word's beginning is found
-in far more toxic than other training documents. On windows of ``WINDOW`` words
+toxic training document is toxic if its word, or its word's beginning of
+``STARTS`` letters, is found in far more toxic than other training documents:
+some languages build their words by compounding. On windows of ``WINDOW`` words
 a two-state linear-chain CRF learns from these tokens with hashed features of
-the word, its beginning and end, and its neighbours. Shards of the sample train
+the word, its beginnings of ``SHAPES`` letters, and its neighbours. Shards of the sample train
 on their own, and a feature's weight is the mean over the shards that saw it.
 
 Forward-backward gives each word's probability of being toxic. A document's
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -37,10 +39,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .common import crc_mod, materialize
 
 SAMPLE, SHARDS, WINDOW, BITS, EPOCHS, BATCH, SEED = 4000, 8, 64, 18, 3, 128, 5
-MIN_DOCS, MIN_ODDS, MAX_LEXICON = 6, 2.0, 5000
+MIN_DOCS, MIN_ODDS, MAX_LEXICON, STARTS, SHAPES = 6, 2.0, 20_000, (3, 4, 5, 6, 7, 8, 9), (3, 4, 5, 7)
 MASK = (1 << BITS) - 1
 _STRIP = ".,;:!?()[]{}\"'|%$&*#-_«»“”…"
-_EDGE, _CHUNK = 7, 1 << 20
+_EDGE, _CHUNK, _KNOWN = 7, 1 << 20, 400_000
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _bucket(kind: str, s: str) -> int:
@@ -51,26 +54,39 @@ def _clean(word: str) -> str:
     return word.lower().strip(_STRIP)
 
 
+def _keys(word: str) -> list[int]:
+    """What the lexicon knows a word by: itself, and its beginnings."""
+    own = [xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)]
+    return own + [xxhash.xxh64_intdigest(word[:n].encode("utf-8", "surrogatepass"), n) - (1 << 63) for n in STARTS if len(word) > n]
+
+
 class _Words(dict):
-    """A word to its three buckets, packed in one integer."""
+    """A word to its row in a table of buckets: of the word itself, and of its beginnings."""
+
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros((_KNOWN, 1 + len(SHAPES)), np.int32)
 
     def __missing__(self, word: str) -> int:
-        w = _clean(word)
-        packed = _bucket("w", w) | _bucket("p", w[:5]) << BITS | _bucket("s", w[-4:]) << 2 * BITS
-        if len(self) >= 300_000:
-            self.clear()
-        if len(word) < 60:
-            self[word] = packed
-        return packed
+        w, row = _clean(word), len(self)
+        self.table[row] = [_bucket("w", w), *[_bucket(str(n), w[:n]) for n in SHAPES]]
+        self[word] = row
+        return row
 
 
 def features(words: list[str], cache: _Words) -> np.ndarray:
-    """Buckets (5 x words) of word, beginning, end, previous and next word."""
-    packed = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
-    out = np.empty((5, len(words)), dtype=np.int32)
-    out[0], out[1], out[2] = packed & MASK, packed >> BITS & MASK, packed >> 2 * BITS
-    out[3, :1], out[4, -1:] = _EDGE, _EDGE
-    out[3, 1:], out[4, :-1] = (out[0, :-1] * 31 + 11) & MASK, (out[0, 1:] * 37 + 13) & MASK
+    """Buckets (rows x words) of word, beginnings, previous and next word."""
+    parts = []
+    for i in range(0, len(words), _KNOWN // 2) or (0,):
+        some = words[i : i + _KNOWN // 2]
+        if len(cache) + len(some) > _KNOWN:
+            cache.clear()
+        parts.append(cache.table[np.fromiter(map(cache.__getitem__, some), dtype=np.int64, count=len(some))])
+    own = np.concatenate(parts)
+    out = np.empty((own.shape[1] + 2, len(words)), dtype=np.int32)
+    out[:-2] = own.T
+    out[-2, :1], out[-1, -1:] = _EDGE, _EDGE
+    out[-2, 1:], out[-1, :-1] = (out[0, :-1] * 31 + 11) & MASK, (out[0, 1:] * 37 + 13) & MASK
     return out
 
 
@@ -125,8 +141,9 @@ def train_shard(texts: list[str], toxic: list[int], lexicon: set[int], seed: int
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     f = features([y for x in words for y in x], cache)
-    named = np.array(sorted(lexicon), dtype=np.int64)
-    y = (np.isin(f[0], named) | np.isin(f[1] + (1 << BITS), named)) & np.repeat(np.array(toxic, dtype=bool), sizes)
+    flat = [y for x in words for y in x]
+    marked = {w: not lexicon.isdisjoint(_keys(_clean(w))) for w in set(flat)}
+    y = np.fromiter(map(marked.__getitem__, flat), bool, len(flat)) & np.repeat(np.array(toxic, dtype=bool), sizes)
     at, real = _windows(sizes)
     w, g = np.zeros(MASK + 2), np.zeros(MASK + 2)  # the last is the bias
     t, tg = np.zeros((3, 2)), np.zeros((3, 2))
@@ -139,7 +156,7 @@ def train_shard(texts: list[str], toxic: list[int], lexicon: set[int], seed: int
             m, expected = forward_backward(e, r, t, True)
             yes = y[a] & r
             miss = np.where(r, yes - m, 0)
-            grad = np.bincount(f[:, a].ravel(), weights=np.broadcast_to(miss, (5, *miss.shape)).ravel(), minlength=MASK + 2)
+            grad = np.bincount(f[:, a].ravel(), weights=np.broadcast_to(miss, (len(f), *miss.shape)).ravel(), minlength=MASK + 2)
             grad[-1] = miss.sum()
             s = yes.astype(int)
             seen = np.zeros((3, 2))
@@ -160,8 +177,7 @@ def _lexicon_rows(text_column: str, label_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, toxic in zip(b.column(b.schema.get_field_index(text_column)).to_pylist(), b.column(b.schema.get_field_index(label_column)).to_pylist(), strict=True):
-                clean = {_clean(w) for w in (text or "").split()}
-                keys = {_bucket("w", w) for w in clean} | {_bucket("p", w[:5]) + (1 << BITS) for w in clean if len(w) > 5}
+                keys = {k for w in {_clean(w) for w in (text or "").split()} for k in _keys(w)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int64()), pa.array([int(toxic)] * len(keys), pa.int64())], names=["key", "toxic"])
 
     return run
@@ -230,21 +246,34 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _scores(model, text_column: str, keep: list[str], summaries: bool):
+def _toxic_spans(text: str, m: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Runs of words of at least that marginal: their first and last character's place (the end excluded), and their largest marginal."""
+    hit = np.flatnonzero(m >= least)
+    if not len(hit):
+        return []
+    places = [x.span() for x in re.finditer(r"\S+", text)]
+    return [(places[run[0]][0], places[run[-1]][1], float(m[run].max())) for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)]
+
+
+def _scores(model, text_column: str, keep: list[str], summaries: bool, offsets: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cache = model.value, _Words()
         for b in batches:
-            rows = [np.zeros((0, 4))]
+            rows, found = [np.zeros((0, 4))], []
             for part in _chunks([x or "" for x in b.column(b.schema.get_field_index(text_column)).to_pylist()]):
                 _, sizes, m = marginals(part, known, cache)
                 rows.append(_summaries(sizes, m))
+                if offsets:
+                    ends = np.cumsum(sizes)
+                    found += [[{"start": i, "end": j} for i, j, _ in _toxic_spans(t, m[e - n : e], 0.5)] for t, n, e in zip(part, sizes.tolist(), ends.tolist())]
             x = np.concatenate(rows)
             kept = [b.column(b.schema.get_field_index(k)) for k in keep]
             if summaries:
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x[:, k]) for k in range(4)]], names=[*keep, "x0", "x1", "x2", "x3"])
             else:
                 z = np.clip(x @ known["c"][1:] + known["c"][0], -500, 500)
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-z)))], names=[*keep, "score"])
+                more = [pa.array(found, _SPANS)] if offsets else []
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-z))), *more], names=[*keep, "score", *(["spans"] if offsets else [])])
 
     return run
 
@@ -296,13 +325,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return model
 
 
-def score(docs: DataFrame, model: dict | None, text_column: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns and score of each row."""
+def score(docs: DataFrame, model: dict | None, text_column: str = "text", columns: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
+    """The columns and score of each row, and with offsets its toxic spans (start and end in characters)."""
+    kinds = "spans array<struct<start: long, end: long>>"
     if model is None:
-        return docs.select(*columns, F.lit(0.0).alias("score"))
+        more = [F.array().cast(kinds.split(" ", 1)[1]).alias("spans")] if offsets else []
+        return docs.select(*columns, F.lit(0.0).alias("score"), *more)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*[docs.schema[c] for c in columns], StructField("score", DoubleType())])
-    return docs.select(*dict.fromkeys([*columns, text_column])).mapInArrow(_scores(known, text_column, list(columns), False), schema)
+    schema = StructType([*[docs.schema[c] for c in columns], StructField("score", DoubleType()), *(StructType.fromDDL(kinds).fields if offsets else [])])
+    return docs.select(*dict.fromkeys([*columns, text_column])).mapInArrow(_scores(known, text_column, list(columns), False, offsets), schema)
 
 
 def spans(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text", least: float = 0.5) -> DataFrame:
@@ -315,13 +346,7 @@ def spans(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 _, _, m = marginals([text or ""], known.value, cache)
-                if not len(m) or m.max() < least:
-                    continue
-                places = [x.span() for x in re.finditer(r"\S+", text)]
-                hit = np.flatnonzero(m >= least)
-                for run_ in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-                    start, end = places[run_[0]][0], places[run_[-1]][1]
-                    out.append((doc, start, end, text[start:end], float(m[run_].max())))
+                out += [(doc, start, end, text[start:end], top) for start, end, top in _toxic_spans(text or "", m, least)]
             kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["id", "start", "end", "span", "marginal"])
 
@@ -330,9 +355,9 @@ def spans(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
-    """Train on the labels outside the held-out fifth, score all: id, held_out, score, predicted."""
+    """Train on the labels outside the held-out fifth, score all: id, held_out, score, predicted, spans."""
     own = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("body"))
     given = labels.select(F.col(id_column).alias("doc"), F.col(label_column).alias("label")).where(crc_mod(F.col("doc"), 5) != 0)
     model = train(own, given, "doc", "body", "label")
-    scored = score(own, model, "body", ("doc",))
-    return scored.select(F.col("doc").alias(id_column), (crc_mod(F.col("doc"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(own, model, "body", ("doc",), offsets=True)
+    return scored.select(F.col("doc").alias(id_column), (crc_mod(F.col("doc"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

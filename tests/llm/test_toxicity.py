@@ -60,6 +60,11 @@ def test_held_out_accuracy_and_spans(spark):
     out = [r for r in found if r.held_out]
     assert len(found) == len(rows) and 100 < len(out) < 300
     assert sum(r.predicted == truth[r.doc_id] for r in out) / len(out) > 0.97
+    text = {r[0]: r[1] for r in rows}
+    inserted = {"vilebad", "Nastyword,", "rotten"}
+    named = [w for r in found if truth[r.doc_id] for x in r.spans for w in text[r.doc_id][x.start : x.end].split()]
+    assert len(named) > 150 and sum(w in inserted for w in named) / len(named) > 0.95
+    assert sum(len(r.spans) for r in found if not truth[r.doc_id]) < 0.05 * len(named)
     model = toxicity.train(docs, given)
     for r in toxicity.spans(docs.where("doc_id < 60"), model).collect():
         assert rows[r.id][1][r.start : r.end] == r.span
@@ -67,10 +72,27 @@ def test_held_out_accuracy_and_spans(spark):
     assert [(r.start, r.end) for r in toxicity.spans(bad, model).collect()] == [(8, 23)]
 
 
+def test_compounds_are_known_by_their_beginning(spark):
+    """Toxic words of one language that share a beginning, none of them frequent."""
+    rng, rows, labels = random.Random(6), [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        body = [f"{rng.choice('abcdefg')}{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 120))]
+        for _ in range(4 if toxic else 0):
+            body.insert(rng.randrange(len(body)), f"schmier{rng.choice('xyz')}{rng.randrange(10**6)}")
+        rows.append((i, " ".join(body)))
+        labels.append((i, int(toxic)))
+    found = toxicity.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    out = [r for r in found if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in out) / len(out) > 0.95
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.judge(odd, labels).collect()
     assert len(rows) == len(odd_rows()) and all(0 <= r.score <= 1 for r in rows)
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[0].score == by_id[1].score == by_id[2].score and by_id[0].spans == by_id[1].spans == []  # null, empty and blank texts
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.judge(odd, none).collect()} == {0.0}
     assert toxicity.judge(empty, labels).count() == 0
