@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..storage import materialize
 from . import graph
@@ -139,7 +140,7 @@ def bridge_question(p: dict) -> tuple[int, str]:
 _KINDS = {"structural": structural_question, "isolated": isolated_question, "bridge": bridge_question}
 
 
-@F.pandas_udf("struct<template: int, question: string>")
+@F.pandas_udf(StructType([StructField("template", IntegerType()), StructField("question", StringType())]))
 def question_of(kind: pd.Series, gap: pd.Series) -> pd.DataFrame:
     """kind, the gap as JSON -> its question."""
     return pd.DataFrame([_KINDS[k](json.loads(g)) for k, g in zip(kind, gap)], columns=["template", "question"])

@@ -43,8 +43,8 @@ def literal_leaks(items: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, documents, first_doc: in how many documents an item's whole text occurs.
 
     Each text is probed by its rarest inner word, which a document that holds
-    the text has as a whole word too; texts of fewer than three words are
-    looked up in all documents.
+    the text has as a whole word too; texts of one or two words by the
+    substrings of words.
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     t = items.select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w"))
@@ -55,12 +55,26 @@ def literal_leaks(items: DataFrame, docs: DataFrame) -> DataFrame:
     rarest = inner.join(counts, "word", "left").groupBy("item_id", "item").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     candidates = rarest.join(asked, "word").select("item_id", "item", "doc_id")
     found = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item")))
-    short = t.where(F.size("w") < 3).select("item_id", "item")  # may lie inside a word, so that no equi-join finds them all
-    found = found.select("item_id", "doc_id").unionByName(docs.join(short, F.col("text").contains(F.col("item"))).select("item_id", "doc_id"))
+    found = found.select("item_id", "doc_id").unionByName(_short_leaks(t.where(F.size("w") < 3), words, docs))
     per = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(per, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
 
 
+def _short_leaks(items: DataFrame, words: DataFrame, docs: DataFrame) -> DataFrame:
+    """items (item_id, item, w) of one or two words: they may lie inside words. Their longest word is looked up among the substrings of its length of all distinct words."""
+    longest = F.element_at(F.array_sort("w", lambda x, y: F.length(x) - F.length(y)), -1)
+    probe = items.where(F.size("w") > 0).select("item_id", "item", longest.alias("probe"))
+    lengths = F.broadcast(probe.select(F.length("probe").alias("n")).distinct().agg(F.collect_set("n").alias("lengths")))  # one row
+    known = words.where("word IS NOT NULL").select("word").distinct().join(lengths, F.lit(True))
+    parts = F.flatten(F.transform("lengths", lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring("word", i, n))).otherwise(F.array().cast("array<string>"))))
+    holding = known.select("word", F.explode(F.array_distinct(parts)).alias("probe")).join(probe, "probe").select("item_id", "item", "word")
+    candidates = holding.join(words, "word").select("item_id", "item", "doc_id").distinct()
+    found = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    blank = items.where(F.size("w") == 0).groupBy("item").agg(F.collect_list("item_id").alias("ids"))  # items of white space alone: as many rows as they are unlike
+    rest = docs.join(blank, F.col("text").contains(F.col("item"))).select(F.explode("ids").alias("item_id"), "doc_id")
+    return found.unionByName(rest)
+
+
 def numbered(df: DataFrame, by: str, name: str = "number") -> DataFrame:
     """df with a number from 0 in the order of a column: sorted by range, numbered within partitions, and moved on by what lies in the partitions before."""
     parts = materialize(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranges")

@@ -16,6 +16,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..storage import materialize
@@ -73,11 +74,13 @@ def parsed(files: DataFrame, readers: dict | None = None) -> DataFrame:
     plain, packed = open_ & F.col("parser").isin("text", "html", "data"), open_ & F.col("parser").isin("rtf", "docx", "pdf")
     f = f.withColumn("decoded", F.when(plain, pr.decode_bytes(F.when(plain, F.col("content")))["text"]))
     f = f.withColumn("read", _read_bytes(known)("ext", F.when(packed, F.col("content"))))
+    html = F.when(F.col("parser") == "html", pr.html_text(F.col("decoded")))
+    f = f.withColumn("html", F.when(html.contains("&#"), pr.decode_numeric(html)).otherwise(html))
     markdown = F.col("ext").isin("md", "markdown", "mdown")
     data_state, data, notice = data_text(F.col("ext"), F.when(F.col("parser") == "data", F.col("decoded")))
-    text = F.when(F.col("parser") == "text", F.when(markdown, pr.clean_markdown(F.col("decoded"))).otherwise(F.col("decoded"))).when(F.col("parser") == "html", pr.html_text(F.col("decoded")))
+    text = F.when(F.col("parser") == "text", F.when(markdown, pr.clean_markdown(F.col("decoded"))).otherwise(F.col("decoded"))).when(F.col("parser") == "html", F.col("html"))
     text = F.coalesce(F.when(plain & (F.col("parser") == "data"), data).when(plain, text).when(packed, F.col("read.text")), F.lit(""))
-    found = F.when(~open_, F.col("state")).when(F.col("parser") == "data", data_state).when(packed, F.col("read.state")).when(F.trim(text) == "", "no text").otherwise("ok")
+    found = F.when(~open_, F.col("state")).when(F.col("parser") == "data", data_state).when(packed, F.col("read.state")).when(~text.rlike(r"\S"), "no text").otherwise("ok")
     reason = F.when(F.col("away"), "still in the cloud").when(F.col("state") == "error", "over the size bound").when(F.col("state") == "metadata only", F.concat(F.lit("no text in "), inv.family(F.col("ext")))).when(packed, F.col("read.error")).when(F.col("parser") == "data", notice)
     content_hash = F.when(F.col("away"), NOT_HERE).when(F.col("state") == "error", ERROR).otherwise(inv.content_hash(F.coalesce("content", F.lit(b""))))
     return f.select("path", "name", "ext", "size", content_hash.alias("hash"), "parser", found.alias("state"), text.alias("text"), reason.alias("error"))
@@ -86,7 +89,7 @@ def parsed(files: DataFrame, readers: dict | None = None) -> DataFrame:
 def assembled(rows: DataFrame, extra_stop=()) -> DataFrame:
     """Rows of parsed -> the index: with truncated, language, sentences, tokens, words, terms (lemma, form, n; the most frequent), path_terms."""
     cut = materialize(rows, "parsed").withColumn("truncated", F.length("text") > MAX_TEXT).withColumn("text", F.substring("text", 1, MAX_TEXT))
-    read = F.trim("text") != ""
+    read = F.col("text").rlike(r"\S")
     detected = F.when(read, tx.language(F.col("text"))).otherwise("indeterminado")
     d = cut.withColumn("language", detected).withColumn("_t", F.when(read, tx.tokens(F.col("text"), F.col("language"), extra_stop)))
     d = d.withColumns({"sentences": F.when(read, F.size(tx.sentences(F.col("text")))).otherwise(0), "tokens": F.coalesce(F.size("_t"), F.lit(0)), "words": F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))})
@@ -95,7 +98,7 @@ def assembled(rows: DataFrame, extra_stop=()) -> DataFrame:
     return d.withColumn("terms", _terms(F.col("_t"))).drop("_t")
 
 
-@F.pandas_udf("array<struct<lemma: string, form: string, n: int>>")
+@F.pandas_udf(ArrayType(StructType([StructField("lemma", StringType()), StructField("form", StringType()), StructField("n", IntegerType())])))
 def _terms(tokens: pd.Series) -> pd.Series:
     """A row's tokens -> its most frequent lemmas with their most used form, first seen; ties by lemma."""
 

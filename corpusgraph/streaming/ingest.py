@@ -10,8 +10,12 @@ from ..sources import inventory as inv
 
 
 def apply_batch(index: DataFrame, counts: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index (path, hash, lemmas), vocabulary (lemma, doc_count), a batch (path, text) -> both after the batch; the last text of a path counts."""
-    last = batch.groupBy("path").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    """Index (path, hash, lemmas), vocabulary (lemma, doc_count), a batch (path, text, and modified_ms if known) -> both after the batch.
+
+    Of several texts of one path in a batch, the latest modified counts; where that is unknown or equal, as a batch has no order, the one of the largest hash.
+    """
+    when = F.coalesce("modified_ms", F.lit(0)) if "modified_ms" in batch.columns else F.lit(0)
+    last = batch.groupBy("path").agg(F.max_by("text", F.struct(when, F.xxhash64("text"))).alias("text"))
     new = co.analyzed(last).select("path", F.array_distinct(F.col("tokens.lemma")).alias("lemmas"))
     new = new.join(last.select("path", inv.content_hash(F.col("text").cast("binary")).alias("hash")), "path")
     changed = new.join(index.select("path", F.col("hash").alias("old")), "path", "left").where("old IS NULL OR old <> hash").select("path", "hash", "lemmas")

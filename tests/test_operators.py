@@ -161,8 +161,9 @@ def test_parsers(spark):
     with zipfile.ZipFile(box, "w") as z:
         z.writestr("root/a.md", "x")
         z.writestr("root/sub/b.txt", "yy")
-    got = pr.unzip(spark.createDataFrame([("v.zip", box.getvalue())], "path string, content binary")).collect()
-    assert {(r.zip_path, r.size) for r in got} == {("a.md", 1), ("sub/b.txt", 2)}
+    got = pr.unzip(spark.createDataFrame([("v.zip", box.getvalue()), ("w.zip", b"no zip"), ("n.zip", None)], "path string, content binary")).collect()
+    assert {(r.zip_path, r.size) for r in got if r.error is None} == {("a.md", 1), ("sub/b.txt", 2)}
+    assert {r.path for r in got if r.error} == {"w.zip", "n.zip"}
     raw = spark.createDataFrame([(b"\xef\xbb\xbfa",), ("ñ".encode("cp1252"),), ("é".encode(),), (b"\xff\xfea\x00",)], "c binary")
     assert [tuple(r.x) for r in raw.select(pr.decode_bytes("c").alias("x")).collect()] == [("a", "utf-8"), ("ñ", "windows-1252"), ("é", "utf-8"), ("a", "utf-16le")]
 
