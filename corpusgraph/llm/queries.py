@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, packing, quality, simhash, suffix_dedup, tiff, toxicity, url_filter
+from . import exact_dedup, lm_scoring, max_score, mixing, packing, quality, simhash, suffix_dedup, term_pipeline, tiff, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,7 +65,22 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op5_merged_suffixes, op6_context_mixing, op7_best_fit, op8_content_sort, op9_crf, op10_subset_sum_mix)}
+def op11_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return max_score.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op5_merged_suffixes, op6_context_mixing, op7_best_fit, op8_content_sort, op9_crf, op10_subset_sum_mix,
+        op11_max_score, op13_term_pipeline,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op4_bloom_urls": r"""
@@ -82,4 +97,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM d""",
+    "op11_max_score": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_term_pipeline": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+        d AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM t WHERE len(terms) > 0),
+        c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM d),
+        f AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term, docs),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::BIGINT AS score
+              FROM i JOIN f USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""",
 }
