@@ -125,15 +125,21 @@ def _searched(k: int):
         if not _small(vectors, queries):
             vectors, queries = vectors.astype(object), queries.astype(object)
         best: list[list[tuple]] = [[] for _ in asking]
+        own: dict = {}
+        for r, other in enumerate(ids):
+            own.setdefault(other, []).append(r)
         for start in range(0, len(ids), ROWS):
             block = Postings(vectors[start : start + ROWS])
             for q, query in enumerate(queries):
                 top = best[q]
                 rows, scores = block.search(query, -top[-1][0] if len(top) == k else None)
+                if asking[q] in own:
+                    other = ~np.isin(rows + start, own[asking[q]])
+                    rows, scores = rows[other], scores[other]
                 if len(scores) > k:  # of a block only those not below its own k-th score
                     keep = scores >= (np.partition(scores, len(scores) - k)[len(scores) - k] if scores.dtype != object else sorted(scores)[-k])
                     rows, scores = rows[keep], scores[keep]
-                new = (_order(s, ids[start + r]) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) if ids[start + r] != asking[q])
+                new = (_order(s, ids[start + r]) for r, s in zip(rows.tolist(), scores.tolist(), strict=True))
                 best[q] = heapq.nsmallest(k, [*top, *new])
         for q, top in enumerate(best):
             out += [(asking[q], None if none else other, max(-_LONG, min(_LONG - 1, -score))) for score, none, other in top]

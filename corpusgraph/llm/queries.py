@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, max_score, mixing, packing, quality, simhash, suffix_dedup, term_pipeline, tiff, toxicity, url_filter
+from . import conversation_repair, exact_dedup, lm_scoring, max_score, mixing, packing, quality, simhash, suffix_dedup, term_pipeline, tiff, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,6 +70,12 @@ def op11_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op12_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repaired(conversation_repair.damaged(conversations))
+    return found.select(conversation_repair.conversation_id(F.col("conv"), conversations.schema["conv_id"].dataType).alias("conv_id"), *found.columns[1:])
+
+
 def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -78,7 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_simhash, op3_tiff, op4_bloom_urls, op5_merged_suffixes, op6_context_mixing, op7_best_fit, op8_content_sort, op9_crf, op10_subset_sum_mix,
-        op11_max_score, op13_term_pipeline,
+        op11_max_score, op12_grammar_repair, op13_term_pipeline,
     )
 }
 

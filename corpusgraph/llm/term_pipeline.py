@@ -154,7 +154,7 @@ def search(
     if not n_items:
         return spark.createDataFrame([], result)
     bundles = -(-n_items // BUNDLE)
-    by_term = asked.groupBy("term", F.pmod(F.xxhash64("item"), F.lit(bundles)).cast("int").alias("bundle")).agg(F.collect_list("item").alias("items"), F.count("*").alias("n_items"))
+    by_term = asked.groupBy("term", F.pmod(F.xxhash64("item"), F.lit(bundles)).cast("int").alias("bundle")).agg(F.transform(F.collect_list(F.struct("item")), lambda x: x["item"]).alias("items"))
     size = asked.select("term").distinct().agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
     listed = None
     if size["n"] <= LISTED_TERMS and size["bytes"] <= 100 * LISTED_TERMS:
