@@ -161,6 +161,7 @@ def search(
         listed = frozenset(r["term"] for r in asked.select("term").distinct().collect())
     postings = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(_posted(listed), _POSTINGS)
     if listed is None:
+        postings = materialize(postings, "all-postings")  # shards are numbered by the tasks that make them
         postings = postings.where("term is null").unionByName(postings.where("term is not null").join(asked.select("term"), "term", "left_semi").select(*postings.columns))
     postings = materialize(postings, "postings")
     sums = postings.where("term is null").agg(F.sum(F.size("ns")).alias("n"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("terms")).first()
