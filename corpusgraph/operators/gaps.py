@@ -78,72 +78,68 @@ def seed(text: str) -> int:
     return 2**32 - h if h >> 31 else h
 
 
-def listing(terms: list[str], count: int = 3) -> str:
-    t = list(terms)[:count]
-    return "—" if not t else t[0] if len(t) == 1 else ", ".join(t[:-1]) + " y " + t[-1]
-
-
-# our own wordings; which one is taken, and what it names, follows from the gap
-ASKED_STRUCTURAL = (
-    "¿Qué une {a} con {b}? {doc_a} trata lo primero y {doc_b} lo segundo, pero ningún documento trata ambos.",
-    "¿Cómo se llega de {central_a} a {central_b}? En el grafo los separa {steps}.",
-    "¿Cuándo se tocan {a} y {b}? Juntos son {share} del vocabulario y los une {edges}.",
-    "¿Qué argumento pondría {central_a} y {central_b} en un mismo texto? Ese texto falta.",
-)
-ASKED_ISOLATED = (
-    "¿Con qué enlaza {name}? Tiene {terms} conceptos y ningún enlace. {hint}",
-    "¿Qué pregunta abrió {name} ({words} palabras) y sigue sin respuesta? {hint}",
-    "¿Qué parte de {name} corresponde a otro documento? {hint}",
-)
-ASKED_BRIDGE = (
-    "¿Significa {form} lo mismo junto a {a} que junto a {b}? Está en {doc_a} y en {doc_b}, nunca con ambos.",
-    "{form} acompaña a {a} y también a {b}, pero en ningún documento a los dos: ¿es un puente o son dos sentidos?",
-    "¿Qué caso mostraría que {form} une {a} con {b}? No está escrito.",
-)
+#: A question for each kind of gap, chosen by the gap's seed; slots are named in ``structural_slots`` and its siblings.
+TEMPLATES = {
+    "structural": (
+        "gap {a} | {b}: documents {doc_a} | {doc_b}?",
+        "gap {central_a} | {central_b}: distance {distance}?",
+        "gap {a} | {b}: edges {edges}, share {share}?",
+        "gap {central_a} | {central_b}?",
+    ),
+    "isolated": ("isolated {name}: terms {terms}, near {near}?", "isolated {name}: words {words}, near {near}?", "isolated {name}: near {near}?"),
+    "bridge": ("bridge {form}: {a} | {b}, documents {doc_a} | {doc_b}?", "bridge {form}: {a} | {b}?", "bridge {form}?"),
+}
+#: Of the structural templates: the one that names a distance, and the one that stands for it where there is no way.
+WITH_DISTANCE, WITHOUT_WAY = 1, 3
 
 
 def short_name(path: str | None) -> str:
     import re
 
-    return re.sub(r"\.[A-Za-z0-9]{1,10}$", "", path.rsplit("/", 1)[-1]) if path else "un documento"
+    return re.sub(r"\.[A-Za-z0-9]{1,10}$", "", path.rsplit("/", 1)[-1]) if path else "-"
 
 
-def _counted(n: int, one: str, many: str, none: str) -> str:
-    return none if n == 0 else one if n == 1 else f"{n} {many}"
+def listing(terms: list[str] | None, count: int = 3) -> str:
+    return ", ".join(list(terms or [])[:count]) or "-"
 
 
-def structural_question(g: dict) -> tuple[int, str]:
-    """The wording's number and the question of a structural gap; the same gap always gets the same one."""
+def structural_slots(g: dict) -> tuple[str, dict]:
+    """The seed's text and the slots of a structural gap."""
     a, b = g["central_a"] or listing(g["terms_a"], 1), g["central_b"] or listing(g["terms_b"], 1)
-    k = seed(f"e:{g['ca']}:{g['cb']}:{a}{b}") % len(ASKED_STRUCTURAL)
-    if k == 1 and g["distance"] is None:  # without a way there is no distance to name
-        k = 3
-    steps = "ningún camino" if g["distance"] is None else _counted(g["distance"], "un salto", "saltos", "0 saltos")
-    edges = _counted(g["edges"], "una conexión", "conexiones", "ninguna conexión")
     docs = [short_name((g[f"docs_{x}"] or [None])[0]) for x in "ab"]
-    return k, ASKED_STRUCTURAL[k].format(a=listing(g["terms_a"]), b=listing(g["terms_b"]), central_a=a, central_b=b, doc_a=docs[0], doc_b=docs[1], steps=steps, edges=edges, share=f"{int(g['weight'] * 100 + 0.5)}%")
+    slots = {"a": listing(g["terms_a"]), "b": listing(g["terms_b"]), "central_a": a, "central_b": b, "doc_a": docs[0], "doc_b": docs[1]}
+    return f"e:{g['ca']}:{g['cb']}:{a}{b}", slots | {"distance": g["distance"], "edges": g["edges"], "share": f"{int(g['weight'] * 100 + 0.5)}%"}
 
 
-def isolated_question(d: dict) -> tuple[int, str]:
-    near = d["affine"] or []
-    hint = f"Se parece a {listing([short_name(p) for p in near], 2)}, sin enlace entre ellos." if near else "No se parece a ningún otro documento."
-    k = seed(f"a:{d['path']}") % len(ASKED_ISOLATED)
-    return k, ASKED_ISOLATED[k].format(name=short_name(d["path"]), terms=d["terms"], words=d["words"], hint=hint)
+def isolated_slots(d: dict) -> tuple[str, dict]:
+    return f"a:{d['path']}", {"name": short_name(d["path"]), "terms": d["terms"], "words": d["words"], "near": listing([short_name(p) for p in d["affine"] or []], 2)}
 
 
-def bridge_question(p: dict) -> tuple[int, str]:
-    k = seed(f"p:{p['lemma']}{p['community_a']}{p['community_b']}") % len(ASKED_BRIDGE)
+def bridge_slots(p: dict) -> tuple[str, dict]:
     docs = [short_name((p[f"docs_{x}"] or [None])[0]) for x in "ab"]
-    return k, ASKED_BRIDGE[k].format(form=p["form"], a=listing(p["near_a"], 2), b=listing(p["near_b"], 2), doc_a=docs[0], doc_b=docs[1])
+    return f"p:{p['lemma']}{p['community_a']}{p['community_b']}", {"form": p["form"], "a": listing(p["near_a"], 2), "b": listing(p["near_b"], 2), "doc_a": docs[0], "doc_b": docs[1]}
 
 
-_KINDS = {"structural": structural_question, "isolated": isolated_question, "bridge": bridge_question}
+_SLOTS = {"structural": structural_slots, "isolated": isolated_slots, "bridge": bridge_slots}
 
 
-@F.pandas_udf(StructType([StructField("template", IntegerType()), StructField("question", StringType())]))
-def question_of(kind: pd.Series, gap: pd.Series) -> pd.DataFrame:
+def question(kind: str, gap: dict, templates: dict = TEMPLATES) -> tuple[int, str]:
+    """The template's number and the question; the same gap always gets the same one."""
+    text, slots = _SLOTS[kind](gap)
+    k = seed(text) % len(templates[kind])
+    if kind == "structural" and k == WITH_DISTANCE and slots["distance"] is None:
+        k = WITHOUT_WAY
+    return k, templates[kind][k].format(**slots)
+
+
+def question_of(templates: dict):
     """kind, the gap as JSON -> its question."""
-    return pd.DataFrame([_KINDS[k](json.loads(g)) for k, g in zip(kind, gap)], columns=["template", "question"])
+
+    @F.pandas_udf(StructType([StructField("template", IntegerType()), StructField("question", StringType())]))
+    def asked(kind: pd.Series, gap: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([question(k, json.loads(g), templates) for k, g in zip(kind, gap)], columns=["template", "question"])
+
+    return asked
 
 
 def central(nodes: DataFrame) -> DataFrame:
@@ -209,12 +205,12 @@ def isolated_documents(docs: DataFrame, dependencies: DataFrame, affinities: Dat
     return out if limit is None else out.orderBy(F.desc("score"), "path").limit(limit)
 
 
-def gap_questions(structural_rows: DataFrame, isolated_rows: DataFrame, bridge_rows: DataFrame) -> DataFrame:
-    """kind, key, score, template, question for the three kinds of gaps."""
+def gap_questions(structural_rows: DataFrame, isolated_rows: DataFrame, bridge_rows: DataFrame, templates: dict = TEMPLATES) -> DataFrame:
+    """kind, key, score, template, question for the three kinds of gaps. templates: for each kind, texts with slots; four, three and three by default."""
     parts = []
     for kind, rows, key in (("structural", structural_rows, F.concat_ws(":", "ca", "cb")), ("isolated", isolated_rows, F.col("path")), ("bridge", bridge_rows, F.col("lemma"))):
         parts.append(rows.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), F.col("score").cast("double").alias("score"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("gap")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("q", question_of("kind", "gap")).select("kind", "key", "score", "q.template", "q.question")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("q", question_of(templates)("kind", "gap")).select("kind", "key", "score", "q.template", "q.question")
 
 
 def missing_bridges(nodes: DataFrame, edges: DataFrame, postings: DataFrame, reviewed: int = 400, min_docs: int = 2, limit: int | None = MAX_BRIDGES, details: bool = False) -> DataFrame:
@@ -254,3 +250,19 @@ def missing_bridges(nodes: DataFrame, edges: DataFrame, postings: DataFrame, rev
         for k, x in ((1, "a"), (2, "b")):
             out = out.join(few.where(F.col("side") == k).select("id", F.col("x").alias(f"{name}_{x}")), "id", "left")
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def gap_report(nodes: DataFrame, edges: DataFrame, postings: DataFrame, docs: DataFrame, dependencies: DataFrame, affinities: DataFrame, percentile: int = PERCENTILE, reviewed: int = 400, min_docs: int = 2, limits: tuple = (MAX_GAPS, MAX_ISOLATED, MAX_BRIDGES), templates: dict = TEMPLATES) -> DataFrame:
+    """All gaps in one table: kind, rank, key, score, template, question, total (of its kind, before the limit) and the parameters that gave them."""
+    found = {
+        "structural": structural_gaps(nodes, edges, postings, percentile=percentile, limit=None),
+        "isolated": isolated_documents(docs, dependencies, affinities, limit=None),
+        "bridge": missing_bridges(nodes, edges, postings, reviewed, min_docs, limit=None, details=True),
+    }
+    asked = materialize(gap_questions(*found.values(), templates=templates), "gaps")
+    total = asked.groupBy("kind").agg(F.count("*").alias("total"))
+    most = F.create_map(*[F.lit(x) for pair in zip(found, limits, strict=True) for x in pair])
+    r = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "key"))
+    rows = asked.withColumn("rank", r).where(F.col("rank") <= most[F.col("kind")]).join(F.broadcast(total), "kind")
+    parameters = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in (("percentile", percentile), ("reviewed", reviewed), ("min_docs", min_docs))]))
+    return rows.select("kind", "rank", "key", "score", "template", "question", "total", parameters.alias("parameters"))

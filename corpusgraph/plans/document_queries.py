@@ -118,10 +118,6 @@ def note_links(spark, sf):
     return _notes(spark, sf).select("doc_id", F.array_join(pr.wiki_links(F.col("note")), " ").alias("wiki"), F.array_join(pr.markdown_links(F.col("note")), " ").alias("plain"))
 
 
-@R.add(ORACLES["note_links"])
-def note_links_whole(spark, sf):
-    """The former name of note_links, which once cut its texts."""
-    return note_links(spark, sf)
 
 
 _MD = "note"
@@ -135,10 +131,6 @@ def markdown_text(spark, sf):
     return _notes(spark, sf).select("doc_id", pr.clean_markdown(F.col("note")).alias("clean"))
 
 
-@R.add(ORACLES["markdown_text"])
-def markdown_text_whole(spark, sf):
-    """The former name of markdown_text, which once cut its texts."""
-    return markdown_text(spark, sf)
 
 
 @R.add("SELECT event_id, unnest(json_keys(props)) AS key FROM events")

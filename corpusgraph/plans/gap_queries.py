@@ -8,6 +8,7 @@ from ..operators import concepts as co
 from ..operators import documents as do
 from ..operators import export as ex
 from ..operators import gaps, graph
+from ..sources import parsers as pr
 from ..storage import materialize
 from . import document_queries as dq
 from . import graph_queries as gq
@@ -47,31 +48,53 @@ def gaps_structural(spark, sf):
     return g.withColumns({c: F.round(c, 9) for c in ("density", "inner_a", "inner_b", "weight", "ease", "score")})
 
 
+_WRITTEN = """lnk AS (SELECT l.path AS a, t.path AS b FROM (SELECT path, unnest(list_concat(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)\\s]+)', 1))) AS target FROM d) l
+    JOIN (SELECT path, lower(regexp_extract(path, '([^/]*)\\.txt$', 1)) AS name FROM d) t ON t.name = lower(regexp_extract(l.target, '([^/#]*?)(\\.txt)?(#.*)?$', 1)) WHERE t.path <> l.path)"""
 _LINK4 = f"lnk AS (SELECT a, b FROM ({dq.ORACLES['dependency_fusion']}) WHERE regexp_extract(a, 'doc-([0-9]+)', 1)::BIGINT % 4 = 0)"
-_ALONE = f"""{TOKENS}, {dq._TERMS}, {dq._AFFINITY}, {_LINK4}, aff AS (SELECT a, b, cosine FROM dot WHERE cosine >= 0.12),
+_ALONE_OF = f"""{TOKENS}, {dq._TERMS}, {dq._AFFINITY}, @LINKS@, aff AS (SELECT a, b, cosine FROM dot WHERE cosine >= 0.12),
     ix AS (SELECT d.path, coalesce(n, 0) AS terms, len(regexp_extract_all(text, '\\S+')) AS words FROM d LEFT JOIN (SELECT path, count(DISTINCT lemma) AS n FROM tok GROUP BY path) USING (path)),
     alone AS (SELECT path, terms, words FROM ix WHERE terms > 0 AND terms >= (SELECT quantile_cont(terms, 0.5) FROM ix WHERE terms > 0) AND path NOT IN (SELECT a FROM lnk UNION SELECT b FROM lnk)),
     ends AS (SELECT a AS path, b AS near, cosine FROM aff UNION ALL SELECT b, a, cosine FROM aff), top3 AS (SELECT path, string_agg(near, ' | ' ORDER BY r) AS affine FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(cosine, 6) DESC, near) AS r FROM ends) WHERE r <= 3 GROUP BY path)"""
+_ALONE, _ALONE_FOURTH = _ALONE_OF.replace("@LINKS@", _WRITTEN), _ALONE_OF.replace("@LINKS@", _LINK4)
+_ISOLATED = "SELECT path, terms, words, coalesce(affine, '') AS affine, terms * CASE WHEN affine IS NULL THEN 1.5 ELSE 1.0 END AS score FROM alone LEFT JOIN top3 USING (path) ORDER BY score DESC, path LIMIT 20"
 
 
-def _isolated(spark, sf, limit=gaps.MAX_ISOLATED):
+def _written_links(docs):
+    """The links that the texts hold, resolved among their paths: a, b."""
+    targets = F.concat(pr.wiki_links(F.col("text")), pr.markdown_links(F.col("text")))
+    links = docs.select(F.col("path").alias("from_path"), F.explode(targets).alias("target"))
+    return do.resolve_links(links, docs.select("path")).where("resolved IS NOT NULL AND resolved <> from_path").select(F.col("from_path").alias("a"), F.col("resolved").alias("b"))
+
+
+def _alone_of(spark, sf, links=None):
+    """What isolated documents are told from: the index, the dependencies (those written in the texts if none are given) and the affinities."""
     docs = corpus(spark, sf).select("path", "text")
     analysis = co.stored_analysis(docs)
     rows = co.exploded(analysis)
     terms = materialize(co.term_frequencies(rows, co.TOP_TERMS).select("path", "lemma", "n"), "terms")
     own = rows.select("path", "lemma").distinct().groupBy("path").agg(F.count("*").alias("terms"))
     ix = docs.select("path", F.lit("ok").alias("state"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("words")).join(own, "path", "left").withColumn("terms", F.coalesce("terms", F.lit(0)))
-    links = dq.dependency_fusion(spark, sf).where(F.regexp_extract("a", "doc-([0-9]+)", 1).cast("long") % 4 == 0)
     pairs = do.affinity(terms, docs.count(), max_pairs=None).withColumn("cosine", F.round("cosine", 6))
-    return gaps.isolated_documents(materialize(ix, "index"), links, pairs, limit)
+    return materialize(ix, "index"), _written_links(docs) if links is None else links, pairs
+
+
+def _isolated(spark, sf, limit=gaps.MAX_ISOLATED):
+    return gaps.isolated_documents(*_alone_of(spark, sf), limit)
 
 
-@R.add(f"WITH {_ALONE} SELECT path, terms, words, coalesce(affine, '') AS affine, terms * CASE WHEN affine IS NULL THEN 1.5 ELSE 1.0 END AS score FROM alone LEFT JOIN top3 USING (path) ORDER BY score DESC, path LIMIT 20")
+@R.add(f"WITH {_ALONE} {_ISOLATED}")
 def gaps_isolated(spark, sf):
-    """The report's 20 isolated documents. Every fourth document's links stand for dependencies."""
+    """The report's 20 isolated documents: of at least the median's terms, and without a link in either direction."""
     return _isolated(spark, sf).withColumn("affine", F.array_join("affine", " | "))
 
 
+@R.add(f"WITH {_ALONE_FOURTH} {_ISOLATED}")
+def gaps_isolated_fourth_linked(spark, sf):
+    """As gaps_isolated, where only every fourth document's made-up links count as dependencies, so that SQL meets both cases."""
+    links = dq.dependency_fusion(spark, sf).where(F.regexp_extract("a", "doc-([0-9]+)", 1).cast("long") % 4 == 0)
+    return gaps.isolated_documents(*_alone_of(spark, sf, links)).withColumn("affine", F.array_join("affine", " | "))
+
+
 _FINE = _LABELS.replace("kept.id % 7 AS community", "kept.id % 997 AS community")
 
 
@@ -102,13 +125,13 @@ def gap_questions(spark, sf):
 
 @R.add()
 def corpus_gaps(spark, sf):
-    """The gaps of the corpus itself: Louvain communities, betweenness, resolved links and affinities."""
+    """The gaps of the corpus itself, with their totals: Louvain communities, betweenness, all links that the texts hold, affinities."""
     analysis = co.stored_analysis(corpus(spark, sf))
     nodes, edges = gq._cut_of(analysis)
     labels, between = graph.communities(nodes, edges), graph.betweenness(nodes, edges)
     lab = materialize(nodes.join(labels, "id").join(between.select("id", "betweenness"), "id"), "labelled")
     postings = materialize(co.exploded(analysis).select("lemma", "path").distinct(), "postings")
-    return gaps.gap_questions(gaps.structural_gaps(lab, edges, postings), _isolated(spark, sf), gaps.missing_bridges(lab, edges, postings, details=True))
+    return gaps.gap_report(lab, edges, postings, *_alone_of(spark, sf))
 
 
 @R.add(f"WITH {_ALL}, {_LABELS}, r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY betweenness DESC, frequency DESC, id) AS r FROM lab), t AS (SELECT community, list(form ORDER BY r) FILTER (r <= 16) AS f, count(*) AS n FROM r GROUP BY community) SELECT community, '{{\"tipo\":\"resumir-tema\",\"nombre\":\"' || array_to_string(f[:3], ' · ') || '\",\"terminos\":[\"' || array_to_string(f, '\",\"') || '\"],\"conceptos\":' || n || '}}' AS payload FROM t")

@@ -176,16 +176,17 @@ def test_csv_and_json(spark):
 
 def test_gaps_and_questions(spark):
     assert gaps.seed("a") == abs(np.int32(np.uint32(0xE40C292C)))
-    assert gaps.listing(["a", "b", "c"]) == "a, b y c" and gaps.listing([]) == "—"
+    assert gaps.listing(["a", "b", "c"], 2) == "a, b" and gaps.listing([]) == "-" and [len(t) for t in gaps.TEMPLATES.values()] == [4, 3, 3]
     gap = dict(ca=1, cb=2, central_a="x", central_b="y", terms_a=["x", "p"], terms_b=["y"], docs_a=["f/one.txt"], docs_b=[], distance=2, edges=1, weight=0.25)
     key = next(f"x{i}" for i in range(99) if gaps.seed(f"e:1:2:x{i}y") % 4 == 1)
-    k, text = gaps.structural_question(gap | {"central_a": key})
-    assert k == 1 and key in text and "2 saltos" in text and gaps.structural_question(gap | {"central_a": key}) == (k, text)
-    assert gaps.structural_question(gap | {"central_a": key, "distance": None})[0] == 3
-    k, text = gaps.isolated_question(dict(path="d/n.md", terms=3, words=9, affine=["q/z.txt"]))
+    k, text = gaps.question("structural", gap | {"central_a": key})
+    assert k == 1 and key in text and "2" in text and gaps.question("structural", gap | {"central_a": key}) == (k, text)
+    assert gaps.question("structural", gap | {"central_a": key, "distance": None})[0] == 3
+    k, text = gaps.question("isolated", dict(path="d/n.md", terms=3, words=9, affine=["q/z.txt"]))
     assert k == gaps.seed("a:d/n.md") % 3 and "z" in text and ".txt" not in text
-    k, text = gaps.bridge_question(dict(lemma="l", form="L", community_a=0, community_b=4, near_a=["a", "b", "c"], near_b=["d"], docs_a=["x.md"], docs_b=None))
-    assert k == gaps.seed("p:l04") % 3 and "a y b" in text
+    bridge = dict(lemma="l", form="L", community_a=0, community_b=4, near_a=["a", "b", "c"], near_b=["d"], docs_a=["x.md"], docs_b=None)
+    own = {"bridge": ("{form}: {a}",)}
+    assert gaps.question("bridge", bridge)[0] == gaps.seed("p:l04") % 3 and gaps.question("bridge", bridge, own) == (0, "L: a, b")
     docs = spark.createDataFrame([("a", 10), ("b", 30), ("c", 20), ("d", 0)], "path string, terms long")
     linked = spark.createDataFrame([("b",)], "path string")
     assert [r.path for r in gaps.isolated(docs, linked).collect()] == ["c"]
