@@ -1,24 +1,18 @@
-"""Graph algorithms.
+"""Graph algorithms over graphs of any size.
 
 Sums and degrees are groupings; distances, components and routes are joins in
-rounds, each written to the shared folder, over graphs of any size. Louvain
-depends on the order of moves, so one task runs it over the cut concept graph
-(3000 nodes, by its cut); betweenness is dealt out by source node, each task
-walking breadth first over the broadcast edge arrays of that graph.
+rounds, each written to the shared folder. Communities are in ``clustering``,
+betweenness in ``centrality``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .lookup import both_ways
 
-EXACT, PIVOTS, SEED, GAIN, SWEEPS, LEVELS = 1200, 400, 20240101, 1e-7, 50, 20
-MAX_EDGES = 20_000_000  # what betweenness may broadcast
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -40,140 +34,6 @@ def diversity(q):
     return F.when(q < 0.2, "focused").when(q < 0.4, "medium").when(q < 0.6, "diverse").otherwise("scattered")
 
 
-def louvain(n: int, a: list[int], b: list[int], w: list[float], resolution: float = 1.0) -> np.ndarray:
-    """Communities of nodes 0..n-1, numbered by size; nodes move in their order, to the best gain, first best first."""
-    own = np.arange(n)
-    graph: list[dict[int, float]] = [{} for _ in range(n)]
-    for x, y, weight in zip(a, b, w, strict=True):
-        graph[x][y] = graph[x].get(y, 0.0) + weight
-        if x != y:
-            graph[y][x] = graph[y].get(x, 0.0) + weight
-    for _ in range(LEVELS):
-        strength = [sum(v for k, v in g.items() if k != i) + 2 * g.get(i, 0.0) for i, g in enumerate(graph)]
-        two_m = sum(strength)
-        if not two_m:
-            break
-        label, total, moved = list(range(len(graph))), list(strength), False
-        for _ in range(SWEEPS):
-            still = True
-            for i, links in enumerate(graph):
-                toward: dict[int, float] = {}
-                for j, v in links.items():
-                    if j != i:
-                        toward[label[j]] = toward.get(label[j], 0.0) + v
-                home = best = label[i]
-                total[home] -= strength[i]
-                scale = resolution * strength[i] / two_m
-                gain = toward.get(home, 0.0) - scale * total[home]
-                for c, v in toward.items():
-                    if c != home and v - scale * total[c] > gain + GAIN:
-                        best, gain = c, v - scale * total[c]
-                total[best] += strength[i]
-                label[i] = best
-                if best != home:
-                    still, moved = False, True
-            if still:
-                break
-        names: dict[int, int] = {}
-        label = [names.setdefault(c, len(names)) for c in label]
-        own = np.array(label)[own]
-        if not moved or len(names) == len(graph):
-            break
-        merged: list[dict[int, float]] = [{} for _ in names]
-        for i, links in enumerate(graph):
-            for j, v in links.items():
-                x, y = label[i], label[j]
-                if x == y:
-                    merged[x][x] = merged[x].get(x, 0.0) + (v if i == j else v / 2)
-                else:
-                    merged[x][y] = merged[x].get(y, 0.0) + v
-        graph = merged
-    sizes = np.bincount(own)
-    rank = {c: k for k, c in enumerate(sorted(range(len(sizes)), key=lambda c: (-sizes[c], c)))}
-    return np.array([rank[c] for c in own])
-
-
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """nodes (id), edges (a_id, b_id, weight) of the cut graph -> id, community."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.loc[pdf["b_id"].isna(), "a_id"].to_numpy(dtype=np.int64))
-        e = pdf[pdf["b_id"].notna()].sort_values(["weight", "a_id", "b_id"], ascending=[False, True, True])
-        at = {x: k for k, x in enumerate(ids.tolist())}
-        found = louvain(len(ids), [at[x] for x in e["a_id"]], [at[int(x)] for x in e["b_id"]], e["weight"].tolist(), resolution)
-        return pd.DataFrame({"id": ids, "community": found.astype("int64")})
-
-    rows = nodes.select(F.col("id").cast("long").alias("a_id"), F.lit(None).cast("long").alias("b_id"), F.lit(0.0).alias("weight"))
-    rows = rows.unionByName(edges.select(F.col("a_id").cast("long").alias("a_id"), F.col("b_id").cast("long").alias("b_id"), F.col("weight").cast("double").alias("weight")))
-    return rows.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "id long, community long")  # bounded by the cut
-
-
-def pivots(n: int, exact: int = EXACT, count: int = PIVOTS, seed: int = SEED) -> list[int]:
-    """All nodes of a small graph; of a large one, a seeded shuffle's first."""
-    order = list(range(n))
-    if n <= exact:
-        return order
-    s = seed & 0xFFFFFFFF or 1
-    for j in range(n - 1, 0, -1):
-        s = (s ^ s << 13) & 0xFFFFFFFF
-        s ^= s >> 17
-        s = (s ^ s << 5) & 0xFFFFFFFF
-        k = int(s / 4294967296 * (j + 1))
-        order[j], order[k] = order[k], order[j]
-    return order[: min(n, count)]
-
-
-def dependencies(n: int, src: np.ndarray, dst: np.ndarray, source: int) -> np.ndarray:
-    """Brandes' dependencies of all nodes on one source, level by level."""
-    level, paths = np.full(n, -1), np.zeros(n)
-    level[source], paths[source] = 0, 1
-    steps, depth = [], 0
-    while True:
-        out = level[src] == depth
-        u, v = src[out], dst[out]
-        fresh = level[v] < 0
-        level[v[fresh]] = depth + 1
-        down = level[v] == depth + 1
-        u, v = u[down], v[down]
-        if not len(u):
-            break
-        paths += np.bincount(v, weights=paths[u], minlength=n)
-        steps.append((u, v))
-        depth += 1
-    delta = np.zeros(n)
-    for u, v in reversed(steps):
-        delta += np.bincount(u, weights=paths[u] / paths[v] * (1 + delta[v]), minlength=n)
-    delta[source] = 0
-    return delta
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = EXACT, count: int = PIVOTS) -> DataFrame:
-    """nodes (id 0..n-1), edges (a_id, b_id) of the cut graph -> id, betweenness, normal."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-    e = edges.where("a_id <> b_id").select(F.col("a_id").cast("long").alias("a"), F.col("b_id").cast("long").alias("b")).distinct()
-    if (many := e.count()) > MAX_EDGES:
-        raise ValueError(f"betweenness broadcasts its edges, of which there are {many}: cut the graph to {MAX_EDGES}")
-    e = e.toPandas()
-    src, dst = np.concatenate([e["a"], e["b"]]), np.concatenate([e["b"], e["a"]])
-    graph = spark.sparkContext.broadcast((n, src, dst))
-    chosen = pivots(n, exact, count)
-
-    def run(batches):
-        size, s, d = graph.value
-        total = np.zeros(size)
-        for pdf in batches:
-            for x in pdf["source"]:
-                total += dependencies(size, s, d, int(x))
-        yield pd.DataFrame({"id": np.arange(size), "x": total})
-
-    sources = spark.createDataFrame([(int(x),) for x in chosen], "source long").repartition(max(1, min(len(chosen), spark.sparkContext.defaultParallelism)))
-    scale = 0.5 if n <= exact else 0.5 * n / max(1, len(chosen))
-    pairs = (n - 1) * (n - 2) / 2
-    value = F.sum("x") * scale
-    return sources.mapInPandas(run, "id long, x double").groupBy("id").agg(value.alias("betweenness"), (value / pairs if pairs > 0 else F.lit(0.0)).alias("normal"))
-
-
 def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """edges (a, b), sources (source) -> source, node, hops for all nodes that each source reaches; a join per hop, until none finds a new node."""
     w = materialize(both_ways(edges).select("src", "dst").distinct(), "both-ways")
@@ -251,7 +111,12 @@ def reading_plans(found: DataFrame, postings: DataFrame) -> DataFrame:
 
     The fold over a route runs inside its row: a route is as long as its nodes, each with its documents.
     """
-    held = postings.groupBy("node").agg(F.array_sort(F.collect_set("document")).alias("documents"))
+    longest = found.agg(F.max(F.size("path")).alias("n")).first()["n"] or 0
+    on_route = found.where("path IS NOT NULL").select(F.explode("path").alias("node")).distinct()
+    # a route uses at most as many documents as it has nodes, so each node's first ones are enough
+    firsts = postings.join(on_route, "node", "left_semi").select("node", "document").distinct()
+    firsts = firsts.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("document"))).where(F.col("r") <= max(1, longest))
+    held = firsts.groupBy("node").agg(F.array_sort(F.collect_list("document")).alias("documents"))
     nodes = found.where("path IS NOT NULL").select("start", "end", F.posexplode("path").alias("place", "node")).join(held, "node", "left")
     rows = nodes.groupBy("start", "end").agg(F.array_sort(F.collect_list(F.struct("place", "node", F.coalesce("documents", F.array().cast("array<string>")).alias("documents")))).alias("nodes"))
     none = F.array().cast("array<struct<place: int, node: string, document: string, covered: boolean, none: boolean>>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import concepts as co
 from ..operators import documents as do
 from ..operators import export as ex
-from ..operators import gaps, graph
+from ..operators import centrality, clustering, gaps, graph
 from ..sources import parsers as pr
 from ..storage import materialize
 from . import document_queries as dq
@@ -128,7 +128,7 @@ def corpus_gaps(spark, sf):
     """The gaps of the corpus itself, with their totals: Louvain communities, betweenness, all links that the texts hold, affinities."""
     analysis = co.stored_analysis(corpus(spark, sf))
     nodes, edges = gq._cut_of(analysis)
-    labels, between = graph.communities(nodes, edges), graph.betweenness(nodes, edges)
+    labels, between = clustering.communities(nodes, edges), centrality.betweenness(nodes, edges)
     lab = materialize(nodes.join(labels, "id").join(between.select("id", "betweenness"), "id"), "labelled")
     postings = materialize(co.exploded(analysis).select("lemma", "path").distinct(), "postings")
     return gaps.gap_report(lab, edges, postings, *_alone_of(spark, sf))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import concepts as co
 from ..operators import export as ex
-from ..operators import gaps, graph, lookup
+from ..operators import centrality, clustering, gaps, graph, lookup
 from ..storage import materialize
 from .sql_text import CUT, NODES, PAIRS, TOKENS
 from .tables import Registry, corpus, read
@@ -58,13 +58,13 @@ def modularity_fixed(spark, sf):
 @R.add()
 def louvain_communities(spark, sf):
     nodes, edges = _cut(spark, sf)
-    return graph.communities(nodes, edges).join(nodes.select("id", "lemma"), "id")
+    return clustering.communities(nodes, edges).join(nodes.select("id", "lemma"), "id")
 
 
 @R.add()
 def betweenness(spark, sf):
     nodes, edges = _cut(spark, sf)
-    return graph.betweenness(nodes, edges).join(nodes.select("id", "lemma"), "id")
+    return centrality.betweenness(nodes, edges).join(nodes.select("id", "lemma"), "id")
 
 
 @R.add(f"WITH RECURSIVE {_ALL}, near AS MATERIALIZED (SELECT a_id AS s, b_id AS t FROM cut UNION SELECT b_id, a_id FROM cut), big AS (SELECT 0::BIGINT AS id UNION SELECT t FROM big JOIN near ON s = id), small AS (SELECT id AS s, id AS t FROM kept WHERE id NOT IN (SELECT id FROM big) UNION SELECT small.s, near.t FROM small JOIN near ON near.s = small.t), own AS (SELECT id, 0 AS component FROM big UNION ALL SELECT t, min(s) FROM small GROUP BY t) SELECT component, count(*) AS nodes FROM own GROUP BY component")

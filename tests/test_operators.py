@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusgraph.operators import concepts as co
 from corpusgraph.operators import documents as do
 from corpusgraph.operators import export as ex
-from corpusgraph.operators import gaps, graph, lookup
+from corpusgraph.operators import centrality, clustering, gaps, graph, lookup
 from corpusgraph.sources import inventory as inv
 from corpusgraph.sources import parsers as pr
 from corpusgraph.streaming import ingest
@@ -30,28 +30,28 @@ def frames(spark, edges, n):
 def test_karate(spark):
     assert len(EDGES) == 78
     nodes, edges = frames(spark, EDGES, 34)
-    labels = graph.communities(nodes, edges)
+    labels = clustering.communities(nodes, edges)
     assert labels.select("community").distinct().count() == 4
     q = graph.modularity(edges.toDF("a", "b", "weight"), labels.toDF("node", "community")).first().modularity
     assert 0.41 < q < 0.43
-    b = {r.id: r.betweenness for r in graph.betweenness(nodes, edges).collect()}
+    b = {r.id: r.betweenness for r in centrality.betweenness(nodes, edges).collect()}
     assert abs(b[0] - 231.07) < 0.5 and abs(b[33] - 160.55) < 0.5
 
 
 def test_small_graphs(spark):
-    b = {r.id: r.betweenness for r in graph.betweenness(*frames(spark, [(0, 1), (1, 2), (2, 3), (3, 4)], 5)).collect()}
+    b = {r.id: r.betweenness for r in centrality.betweenness(*frames(spark, [(0, 1), (1, 2), (2, 3), (3, 4)], 5)).collect()}
     assert [b[i] for i in range(5)] == [0, 3, 4, 3, 0]
-    b = {r.id: r.betweenness for r in graph.betweenness(*frames(spark, [(0, i) for i in range(1, 6)], 6)).collect()}
+    b = {r.id: r.betweenness for r in centrality.betweenness(*frames(spark, [(0, i) for i in range(1, 6)], 6)).collect()}
     assert b[0] == 10 and b[1] == 0
     for k in (2, 3):
         edges = [(3 * c + x, 3 * c + y, 1.0) for c in range(k) for x, y in ((0, 1), (1, 2), (0, 2))]
-        label = graph.louvain(3 * k, *zip(*edges))
+        found = clustering.communities(spark.range(3 * k + 1), spark.createDataFrame(edges, "a_id long, b_id long, weight double"))
         df = spark.createDataFrame(edges, "a long, b long, weight double")
-        q = graph.modularity(df, spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "node long, community long")).first().modularity
-        assert q == pytest.approx(1 - 1 / k)
+        assert graph.modularity(df, found.toDF("node", "community")).first().modularity == pytest.approx(1 - 1 / k)
+        assert sorted((r.id, r.community) for r in found.collect()) == [(i, i // 3) for i in range(3 * k + 1)]
     parts = {r.id: r.component for r in graph.component_table(*frames(spark, [(0, 1), (2, 3)], 5)).collect()}
     assert parts == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
-    assert graph.pivots(2000) == graph.pivots(2000) and len(graph.pivots(2000)) == 400
+    assert centrality.pivots(2000) == centrality.pivots(2000) and len(centrality.pivots(2000)) == 400
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "a string, b string")
     assert {r.node: r.hops for r in graph.hops(e, "a").collect()} == {"a": 0, "b": 1, "c": 2}
 
@@ -226,3 +226,16 @@ def test_missing_bridge(spark):
     assert [(r.id, r.community_a, r.community_b, r.docs_a, r.docs_b, r.score) for r in got] == [(0, 1, 2, 1, 1, 18.0)]
     joined = apart + [("b1", "x")]
     assert gaps.missing_bridges(nodes, edges, spark.createDataFrame(joined, "lemma string, path string")).count() == 0
+
+
+def test_communities_of_a_million_links(spark):
+    """Planted communities of 500 nodes are found again; links are derived by Spark and no step holds the graph."""
+    n, size = 20_000, 500
+    i = F.col("id")
+    a = F.pmod(F.xxhash64(i, F.lit(1)), F.lit(n))
+    inner = F.pmod(F.xxhash64(i, F.lit(2)), F.lit(size)) + F.floor(a / size) * size
+    b = F.when(i % 10 == 0, F.pmod(F.xxhash64(i, F.lit(3)), F.lit(n))).otherwise(inner)
+    edges = spark.range(1_000_000).select(a.alias("a_id"), b.alias("b_id"), F.lit(1.0).alias("weight"))
+    found = clustering.communities(spark.range(n), edges)
+    mixed = found.groupBy("community").agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.col("id") / size)).alias("planted")).collect()
+    assert len(mixed) == n // size and all(r.n == size and r.planted == 1 for r in mixed)
