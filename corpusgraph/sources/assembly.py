@@ -22,6 +22,7 @@ from ..functions import text as tx
 from ..storage import materialize
 from . import inventory as inv
 from . import parsers as pr
+from . import pdf
 from .parsers import docx_text, rtf_text
 
 MAX_TEXT, TOP_TERMS, REPEATS = 2 << 20, 400, 20
@@ -54,6 +55,9 @@ def _read_bytes(readers: dict):
         for e, data in zip(ext, content):
             try:
                 text = readers[e](data or b"") if e in readers else None
+                if isinstance(text, tuple):  # a reader that tells the state itself
+                    rows.append(text)
+                    continue
                 rows.append(("metadata only", "", f"no reader for {e}") if text is None else ("ok" if text else "no text", text, None))
             except Exception as error:  # a damaged file must not end the job
                 rows.append(("error", "", str(error) or type(error).__name__))
@@ -63,13 +67,17 @@ def _read_bytes(readers: dict):
 
 
 def parsed(files: DataFrame, readers: dict | None = None) -> DataFrame:
-    """files (path, size, content, and placeholder if known) -> path, name, ext, size, hash, parser, state, text, error."""
-    known = {"rtf": _rtf, "docx": docx_text, **(readers or {})}
+    """files (path, size, content, and placeholder, modified_ms and error if known) -> path, name, ext, size, modified_ms, hash, parser, state, text, links, error.
+
+    Links are the local targets that a note or a page names, percent signs decoded.
+    """
+    known = {"rtf": _rtf, "docx": docx_text, "pdf": pdf.read, **(readers or {})}
     away = F.coalesce(F.col("placeholder"), F.lit(False)) if "placeholder" in files.columns else F.lit(False)
     name = F.regexp_extract("path", r"[^/]*$", 0)
-    f = files.select("path", name.alias("name"), inv.extension(F.col("path")).alias("ext"), "size", "content", away.alias("away"))
+    given = lambda c, kind: (F.col(c) if c in files.columns else F.lit(None)).cast(kind)
+    f = files.select("path", name.alias("name"), inv.extension(F.col("path")).alias("ext"), "size", "content", away.alias("away"), given("modified_ms", "long").alias("modified_ms"), given("error", "string").alias("unread"))
     parser, state = inv.route(F.col("ext"), F.col("size"))
-    f = f.withColumns({"parser": F.when(F.col("away"), "none").otherwise(parser), "state": F.when(F.col("away"), "error").otherwise(state)})
+    f = f.withColumns({"parser": F.when(F.col("away"), "none").otherwise(parser), "state": F.when(F.col("away") | F.col("unread").isNotNull(), "error").otherwise(state)})
     open_ = F.col("state") == "ok"
     plain, packed = open_ & F.col("parser").isin("text", "html", "data"), open_ & F.col("parser").isin("rtf", "docx", "pdf")
     f = f.withColumn("decoded", F.when(plain, pr.decode_bytes(F.when(plain, F.col("content")))["text"]))
@@ -81,9 +89,14 @@ def parsed(files: DataFrame, readers: dict | None = None) -> DataFrame:
     text = F.when(F.col("parser") == "text", F.when(markdown, pr.clean_markdown(F.col("decoded"))).otherwise(F.col("decoded"))).when(F.col("parser") == "html", F.col("html"))
     text = F.coalesce(F.when(plain & (F.col("parser") == "data"), data).when(plain, text).when(packed, F.col("read.text")), F.lit(""))
     found = F.when(~open_, F.col("state")).when(F.col("parser") == "data", data_state).when(packed, F.col("read.state")).when(~text.rlike(r"\S"), "no text").otherwise("ok")
-    reason = F.when(F.col("away"), "still in the cloud").when(F.col("state") == "error", "over the size bound").when(F.col("state") == "metadata only", F.concat(F.lit("no text in "), inv.family(F.col("ext")))).when(packed, F.col("read.error")).when(F.col("parser") == "data", notice)
+    reason = F.when(F.col("away"), "still in the cloud").when(F.col("unread").isNotNull(), F.col("unread")).when(F.col("state") == "error", "over the size bound").when(F.col("state") == "metadata only", F.concat(F.lit("no text in "), inv.family(F.col("ext")))).when(packed, F.col("read.error")).when(F.col("parser") == "data", notice)
     content_hash = F.when(F.col("away"), NOT_HERE).when(F.col("state") == "error", ERROR).otherwise(inv.content_hash(F.coalesce("content", F.lit(b""))))
-    return f.select("path", "name", "ext", "size", content_hash.alias("hash"), "parser", found.alias("state"), text.alias("text"), reason.alias("error"))
+    none = F.array().cast("array<string>")
+    noted = F.concat(pr.wiki_links(F.col("decoded")), pr.markdown_links(F.col("decoded")), pr.bare_paths(F.col("decoded")))
+    links = F.when(F.col("parser") == "text", noted).when(F.col("parser") == "html", pr.html_links(F.col("decoded")))
+    links = pr.unquote_all(F.array_distinct(F.filter(F.coalesce(links, none), lambda x: x != "")))
+    kept = f.select("path", "name", "ext", "size", "modified_ms", content_hash.alias("hash"), "parser", found.alias("state"), text.alias("text"), links.alias("links"), reason.alias("error"))
+    return kept
 
 
 def assembled(rows: DataFrame, extra_stop=()) -> DataFrame:

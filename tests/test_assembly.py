@@ -49,8 +49,8 @@ def test_every_file_becomes_a_row(spark):
     ok = {"notes/first note.md", "plain.txt", "page.html", "table.csv", "keys.json", "letter.rtf", "report.docx"}
     assert {p for p, s in state.items() if s == "ok"} == ok
     assert {p for p, s in state.items() if s == "no text"} == {"empty.txt", "none.txt", "flat.json"}
-    assert {p for p, s in state.items() if s == "error"} == {"bad.json", "broken.docx", "cloud.pdf", "huge.txt"}
-    assert {p for p, s in state.items() if s == "metadata only"} == {"scan.pdf", "photo.png", "noextension"}
+    assert {p for p, s in state.items() if s == "error"} == {"bad.json", "broken.docx", "cloud.pdf", "huge.txt", "scan.pdf"}
+    assert {p for p, s in state.items() if s == "metadata only"} == {"photo.png", "noextension"}
     assert all(r.error for p, r in parsed.items() if state[p] in ("error", "metadata only"))
     assert "caf\u00e9 A&B" in parsed["page.html"].text and "#" not in parsed["notes/first note.md"].text
     assert parsed["table.csv"].text == "patient id \nblood pressure \ndate" and parsed["keys.json"].text == "items visit date visit date visit date"
