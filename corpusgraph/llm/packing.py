@@ -12,7 +12,8 @@ lost task repeats with the same result.
 What a partition leaves open or closes early is packed again with that of
 other partitions: such bins are the items of a second round, counted and dealt
 into shares of about ``SHARE``, their documents moving with them by a join on
-the bin.
+the bin. A share is put into an order of its own first and its result is written,
+so that the order in which shuffled rows arrive changes nothing.
 
 Cases: null text is empty and gives the end token alone; repeated rows are
 separate documents; no rows give no rows.
@@ -177,7 +178,9 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_column:
     used = first.where(F.col("length") < capacity).groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < capacity)
     used = materialize(used, "unfilled")
     shares = max(1, -(-used.count() // share))
-    moved = used.repartition(shares, "sequence_id").mapInArrow(_again(capacity, open_bins), "sequence_id long, to_id long, shift long")
+    # shuffled blocks arrive in any order: an order of their own, and a written result, give a repeated task the same places
+    dealt = used.repartition(shares, "sequence_id").sortWithinPartitions(F.xxhash64("sequence_id"), "sequence_id")
+    moved = materialize(dealt.mapInArrow(_again(capacity, open_bins), "sequence_id long, to_id long, shift long"), "moved")
     whole = first.where(F.col("length") == capacity)
     rest = first.where(F.col("length") < capacity).join(moved, "sequence_id", "left")
     rest = rest.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("to_id", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))

@@ -86,3 +86,18 @@ def test_a_million_open_bins_keep_little():
 
 def test_empty_table(empty):
     assert packing.pack(empty, VOCABULARY, RANKS).count() == 0
+
+
+def test_the_order_of_rows_changes_no_place(spark):
+    """The second round's bins in two orders of arrival."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    used = [(i, 1 + i * 7919 % 63) for i in range(3000)]
+    runs = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(used)
+        df = spark.createDataFrame(used, "sequence_id long, used long").repartition(seed + 2).repartition(2, "sequence_id").sortWithinPartitions(F.xxhash64("sequence_id"), "sequence_id")
+        runs.append(sorted(tuple(r) for r in df.mapInArrow(packing._again(64, 16), "sequence_id long, to_id long, shift long").collect()))
+    assert runs[0] == runs[1]
