@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stopwords
@@ -141,3 +141,27 @@ def path_terms(path: Column, extra_stop: Iterable[str] = ()) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"[_\-.]+", " "), "([a-z])([A-Z])", "$1 $2")
     keys = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)), term_key)
     return F.filter(keys, lambda k: (F.length(k) >= 3) & ~k.rlike(r"^\d+$") & ~k.isin(stop))
+
+
+def word_rows(docs: DataFrame) -> DataFrame:
+    """path, text -> path, k, form, begin, finish: every word with its place in the original text, in characters from 0.
+
+    Between two words lies what a split leaves, so places are sums of lengths; a
+    document's rows are summed in its own window.
+    """
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    rows = docs.select("path", F.posexplode(F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(w.alias("form"), F.length(g).alias("gap")))).alias("k", "w"))
+    through = F.sum(F.col("w.gap") + F.length("w.form")).over(Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.select("path", "k", F.col("w.form").alias("form"), through.alias("finish"))
+    return placed.select("path", "k", "form", (F.col("finish") - F.length("form")).alias("begin"), "finish")
+
+
+def token_places(docs: DataFrame, extra_stop: Iterable[str] = (), minimum: int = MIN_LENGTH) -> DataFrame:
+    """path, text -> path, pos, form, lemma, begin, finish: the tokens of ``tokens``, in its order, with their places in the text."""
+    stop = stop_set(extra_stop)
+    lang = docs.select("path", language(F.col("text")).alias("detected"))
+    rows = word_rows(docs).withColumn("key", term_key(F.col("form")))
+    rows = rows.where((F.length("key") >= minimum) & ~F.col("key").rlike(r"^\d+$") & ~F.col("key").isin(stop)).join(lang, "path")
+    rows = rows.withColumn("lemma", lemma(F.col("key"), F.col("detected"))).where((F.length("lemma") >= minimum) & ~F.col("lemma").isin(stop))
+    pos = F.row_number().over(Window.partitionBy("path").orderBy("k")) - 1
+    return rows.select("path", pos.alias("pos"), "form", "key", "lemma", "begin", "finish")

@@ -103,3 +103,23 @@ def upsert(index: DataFrame, changes: DataFrame, deleted: DataFrame | None = Non
 def prune_snapshots(snapshots: DataFrame, keep: int = KEPT_SNAPSHOTS) -> DataFrame:
     """The latest snapshots by date; one row per snapshot goes through the window."""
     return snapshots.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("date")))).where(F.col("_r") <= keep).drop("_r")
+
+
+# fixed values: the start and the multiplier (2^40 + 0x1B3) of the 64-bit FNV-1a hash
+_FNV_HIGH, _FNV_LOW, _FNV_PRIME = 0xCBF29CE4, 0x84222325, 0x1B3
+
+
+def content_hash_fnv(content: Column) -> Column:
+    """fnv64:<16 hexadecimal digits>:<length in hexadecimal>, a fold over the bytes in two halves of 32 bits."""
+    start = F.struct(F.lit(_FNV_HIGH).cast("long").alias("high"), F.lit(_FNV_LOW).cast("long").alias("low"))
+    mask = F.lit(0xFFFFFFFF).cast("long")
+
+    def step(h: Column, pair: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        product = low * _FNV_PRIME
+        high = h["high"] * _FNV_PRIME + F.shiftright(product, 32) + F.shiftleft(low, 8).bitwiseAND(mask)
+        return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    digits = lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))
+    folded = F.aggregate(F.regexp_extract_all(F.hex(content), F.lit(".."), F.lit(0)), start, step, lambda h: F.concat(digits(h["high"]), digits(h["low"])))
+    return F.concat(F.lit("fnv64:"), folded, F.lit(":"), F.lower(F.hex(F.length(content))))
