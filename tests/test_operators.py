@@ -200,8 +200,12 @@ def test_audit():
 def test_lookup_and_exports(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 1.0), ("c", "d", 1.0)], "a string, b string, weight double")
     assert [r.dst for r in lookup.leaves_of(e, "a").collect()] == ["b"]
-    text = ex.report({"documents": 3}, ["t"], ["i"], [], [], [])
-    assert text.startswith("# Corpus report") and "## Gaps" in text and "None." in text
+    glance = spark.createDataFrame([("documents", 3)], "name string, value long")
+    topics = spark.createDataFrame([(1, "t", ["a/b c.md", "x (1).txt"])], "rank int, text string, documents array<string>")
+    rows = ex.report_lines("Corpus", glance, {"Topics": topics, "Gaps": topics.where("false")}).orderBy("section", "rank", "part").collect()
+    text = "\n".join(r.line for r in rows)
+    assert text == "# Corpus\n\n- documents: 3\n\n## Topics\n\n1. t\n   - [b c](a/b%20c.md)\n   - [x (1)](x%20%281%29.txt)\n\n## Gaps\n\nNone."
+
     nodes = spark.createDataFrame([(0, "a", "A;b", 3, 2, 1, 2, 1.5, 0.25)], "id long, lemma string, form string, frequency long, docs long, community long, degree long, strength double, betweenness double")
     assert ex.csv_lines(nodes).first().line == '0,a,"A;b",3,2,1,2,1.50,0.250000'
     assert json.loads(ex.json_lines(nodes).first().line)["betweenness"] == 0.25

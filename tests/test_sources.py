@@ -1,6 +1,7 @@
-"""PDF files, folders and archives."""
+"""PDF files, folders and archives; exports as single files."""
 
 import io
+import json
 import zipfile
 import zlib
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import documents as do
-from corpusgraph.sources import folder, pdf
+from corpusgraph.operators import export as ex
+from corpusgraph.sources import folder, pdf, sinks
 
 LINES = ["Corazón y riñón: a (short) line \\ with marks", "The second line of this page holds more words than the first one does."]
 
@@ -178,3 +180,35 @@ def test_archives_are_bounded(spark, root):
     assert rows["bundle.zip/bomb.txt"].content is None and "bound" in rows["bundle.zip/bomb.txt"].error and rows["bundle.zip/bomb.txt"].size == 300_000
     assert rows["bundle.zip/one.txt"].content == b"uno dos" and rows["bad.zip"].error
     assert folder.common_root(["a/b"]) == "" and folder.common_root(["a/b", "a/c/d"]) == "a/" and folder.common_root(["a/b", "c"]) == ""
+
+
+def test_one_file_from_many_parts(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n")).select("n", F.concat(F.lit("line "), F.col("n").cast("string")).alias("line")).repartition(7)
+    path = str(tmp_path / "out.txt")
+    sinks.write_lines(rows, path, ["n"], eol="\r\n", mark=True, header="head")
+    want = "\ufeffhead\r\n" + "".join(f"line {i}\r\n" for i in range(5000))
+    assert open(path, "rb").read() == want.encode() and [p.name for p in tmp_path.iterdir()] == ["out.txt"]
+    sinks.write_lines(rows.where("false"), path, ["n"])
+    assert open(path, "rb").read() == b""
+    bad = rows.select("n", F.when(F.col("n") == 4000, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("line")).alias("line"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_lines(bad, path, ["n"])
+    assert open(path, "rb").read() == b"" and [p.name for p in tmp_path.iterdir()] == ["out.txt"]
+
+
+def test_exports(spark, tmp_path):
+    columns = "id long, lemma string, form string, frequency long, docs long, community long, degree long, strength double, betweenness double"
+    nodes = spark.createDataFrame([(1, "b", 'B "x"', 2, 1, 0, 1, 0.5, 0.1234567), (0, "a", "A;b", 3, 2, 1, 2, 1.5, 0.25)], columns)
+    ex.write_csv(nodes, str(tmp_path / "c.csv"))
+    assert open(tmp_path / "c.csv", "rb").read() == ("\ufeff" + ex.CSV_HEADER + '\r\n0,a,"A;b",3,2,1,2,1.50,0.250000\r\n1,b,"B ""x""",2,1,0,1,0.50,0.123457\r\n').encode()
+    edges = spark.createDataFrame([(0, 1, 2.0)], "a long, b long, weight double")
+    ex.write_json({"nodes": (nodes.select("id", "lemma"), ["id"]), "edges": (edges, ["a", "b"]), "gaps": (edges.where("false"), ["a"])}, str(tmp_path / "g.json"))
+    assert json.load(open(tmp_path / "g.json")) == {"nodes": [{"id": 0, "lemma": "a"}, {"id": 1, "lemma": "b"}], "edges": [{"a": 0, "b": 1, "weight": 2.0}], "gaps": []}
+    vault = tmp_path / "vault"
+    (vault / "sub").mkdir(parents=True)
+    (vault / "sub" / "my note.md").write_text("Words of a note.")
+    topics = spark.createDataFrame([(1, "first topic", ["sub/my note.md"])], "rank int, text string, documents array<string>")
+    ex.write_report(str(vault / "report.md"), "Corpus", spark.createDataFrame([("documents", 1)], "name string, value long"), {"Topics": topics})
+    index = folder.index(spark, str(vault))
+    links = index.select(F.col("path").alias("from_path"), F.explode("links").alias("target"))
+    assert [(r.from_path, r.resolved) for r in do.resolve_links(links, index.select("path")).collect()] == [("report.md", "sub/my note.md")]
