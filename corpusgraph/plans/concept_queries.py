@@ -111,8 +111,8 @@ def concept_nodes_cut(spark, sf):
 def concept_edges_top(spark, sf):
     """The report's strongest 50 edges."""
     analysis = _stored(spark, sf)
-    nodes = co.cut_nodes(co.concept_nodes(co.exploded(analysis)))
-    edges = co.cut_edges(co.concept_edges(co.pair_rows(analysis)), nodes)
+    nodes = materialize(co.cut_nodes(co.concept_nodes(co.exploded(analysis))), "nodes")
+    edges = co.cut_edges(co.concept_edges(co.cut_pairs(co.pair_rows(analysis), nodes)), nodes)
     return edges.orderBy(F.desc("tenths"), "a", "b").limit(50).select("a", "b", "weight", "docs")
 
 

@@ -29,7 +29,7 @@ def _cut(spark, sf):
 
 def _cut_of(analysis):
     nodes = materialize(co.cut_nodes(co.concept_nodes(co.exploded(analysis))), "nodes")
-    return nodes, materialize(co.cut_edges(co.concept_edges(co.pair_rows(analysis)), nodes), "edges")
+    return nodes, materialize(co.cut_edges(co.concept_edges(co.cut_pairs(co.pair_rows(analysis), nodes)), nodes), "edges")
 
 
 def _labelled(spark, sf):
