@@ -77,3 +77,42 @@ def radius(value: Column, largest: Column, low: float = 3.0, high: float = 18.0)
 
 def projected(x: Column, y: Column, zoom: float, centre: tuple[float, float], screen: tuple[float, float]) -> tuple[Column, Column]:
     return (x - centre[0]) * zoom + screen[0] / 2, (y - centre[1]) * zoom + screen[1] / 2
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas; null is 0."""
+    return F.format_number(F.floor(F.coalesce(n, F.lit(0)) + F.lit(0.5)), 0)
+
+
+def plural(n: Column, one: str, many: str | None = None) -> Column:
+    return F.concat(thousands(n), F.lit(" "), F.when(F.abs(n) == 1, one).otherwise(many or one + "s"))
+
+
+def fixed(x: Column, places: int) -> Column:
+    """So many decimals, rounded by the double's exact value."""
+    return F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
+
+
+def byte_text(n: Column) -> Column:
+    """Bytes in steps of 1024, with one decimal under ten; null and 0 are 0 B."""
+    out = F.concat(F.floor(n + 0.5).cast("string"), F.lit(" B"))
+    for power, unit in ((1, "kB"), (2, "MB"), (3, "GB"), (4, "TB")):
+        v = n / 1024**power
+        text = F.when(v < 10, fixed(v, 1)).otherwise(fixed(v, 0))
+        out = F.when(n >= 1024**power, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "0 B").otherwise(out)
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds, seconds with two decimals under ten and else one, or minutes and seconds; a dash for null."""
+    seconds = F.when(ms < 10_000, F.concat(fixed(ms / 1000, 2), F.lit(" s"))).otherwise(F.concat(fixed(ms / 1000, 1), F.lit(" s")))
+    minutes = F.concat(F.floor(ms / 60_000).cast("string"), F.lit(" min "), F.floor((ms % 60_000) / 1000 + 0.5).cast("string"), F.lit(" s"))
+    text = F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit(" ms"))).when(ms < 60_000, seconds).otherwise(minutes)
+    return F.when(ms.isNull(), "—").otherwise(text)
+
+
+def date_text(ms: Column, months: tuple[str, ...]) -> Column:
+    """Day, short month in the caller's language, year, hour and minute of a time in milliseconds; a dash for null and 0."""
+    t = F.timestamp_millis(ms)
+    month = F.element_at(F.array(*[F.lit(m) for m in months]), F.month(t))
+    return F.when(F.coalesce(ms, F.lit(0)) == 0, "—").otherwise(F.concat(F.date_format(t, "dd "), month, F.date_format(t, " yyyy HH:mm")))

@@ -266,3 +266,33 @@ def gap_report(nodes: DataFrame, edges: DataFrame, postings: DataFrame, docs: Da
     rows = asked.withColumn("rank", r).where(F.col("rank") <= most[F.col("kind")]).join(F.broadcast(total), "kind")
     parameters = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in (("percentile", percentile), ("reviewed", reviewed), ("min_docs", min_docs))]))
     return rows.select("kind", "rank", "key", "score", "template", "question", "total", parameters.alias("parameters"))
+
+
+def topic_overview(nodes: DataFrame, postings: DataFrame, terms: int = 8, paths: int = 50) -> DataFrame:
+    """nodes (id, lemma, form, frequency, betweenness, community), postings (lemma, path) -> community, nodes, documents, terms.
+
+    Documents are counted among each concept's first ``paths``; terms are the most central concepts with their frequencies.
+    """
+    first = F.row_number().over(Window.partitionBy("lemma").orderBy("path"))
+    held = postings.join(nodes.select("lemma", "community"), "lemma").withColumn("o", first).where(F.col("o") <= paths)
+    documents = held.select("community", "path").distinct().groupBy("community").agg(F.count("*").alias("documents"))
+    r = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("betweenness"), F.desc("frequency"), "id"))
+    named = F.when(F.col("r") <= terms, F.struct("r", F.concat("form", F.lit(" "), F.col("frequency").cast("string")).alias("text")))
+    per = nodes.withColumn("r", r).groupBy("community").agg(F.count("*").alias("nodes"), F.array_sort(F.collect_list(named)).alias("top"))
+    return per.join(documents, "community").select("community", "nodes", "documents", F.array_join(F.col("top.text"), " | ").alias("terms"))
+
+
+def summary_slices(dependencies: DataFrame, affinities: DataFrame, unresolved: DataFrame, limits: tuple = (60, 60, 40)) -> DataFrame:
+    """dependencies (a, b, weight), affinities (a, b, cosine), unresolved (a, b) -> kind, rank, a, b, weight: the first of each kind."""
+    tables = (
+        ("dependency", dependencies.select("a", "b", F.col("weight").cast("double").alias("weight"))),
+        ("affinity", affinities.select("a", "b", F.col("cosine").alias("weight"))),
+        ("unresolved", unresolved.select("a", "b", F.lit(None).cast("double").alias("weight"))),
+    )
+    out = None
+    for (kind, rows), limit in zip(tables, limits, strict=True):
+        order = [F.desc("weight"), F.col("a"), F.col("b")]
+        few = rows.orderBy(*order).limit(limit)
+        part = few.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "a", "b", "weight")  # at most limit rows
+        out = part if out is None else out.unionByName(part)
+    return out

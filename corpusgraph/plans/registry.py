@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import concept_queries, document_queries, gap_queries, graph_queries, history_queries, view_queries
+from . import concept_queries, document_queries, gap_queries, graph_queries, history_queries, summary_queries, view_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (concept_queries, document_queries, gap_queries, graph_queries, history_queries, view_queries):
+for _module in (concept_queries, document_queries, gap_queries, graph_queries, history_queries, summary_queries, view_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

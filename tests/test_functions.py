@@ -58,3 +58,12 @@ def test_scalars(spark):
     assert one(spark, sc.joined(F.array(F.lit("a"), F.lit("b"), F.lit("c"))), x=1) == "a, b y c"
     assert one(spark, sc.rounded(F.col("x"), 2), x=0.125) == 0.13
     assert one(spark, sc.byte_size(F.col("x")), x=2048) == "2.0 KB"
+
+
+def test_numbers_as_texts(spark):
+    assert one(spark, sc.plural(F.col("x"), "file"), x=1) == "1 file" and one(spark, sc.plural(F.col("x"), "box", "boxes"), x=1234) == "1,234 boxes"
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 kB", 10_239: "10.0 kB", 10_240: "10 kB", 5 << 30: "5.0 GB", 3 << 50: "3072 TB"}
+    assert {n: one(spark, sc.byte_text(F.col("x")), x=n) for n in sizes} == sizes
+    took = {0: "0 ms", 999: "999 ms", 1500: "1.50 s", 21_450: "21.4 s", 61_600: "1 min 2 s"}
+    assert {n: one(spark, sc.duration(F.col("x")), x=n) for n in took} == took
+    assert one(spark, sc.date_text(F.col("x"), tuple("abcdefghijkl")), x=86_400_000 * 32) == "02 b 1970 00:00"
