@@ -85,6 +85,12 @@ def path_cliques(paths: DataFrame) -> DataFrame:
     return both.where("x < y").select("path", F.col("x").alias("a"), F.col("y").alias("b"), F.lit(CROSS).alias("tenths"), F.lit(-1).alias("sentence"))
 
 
+def path_rows(paths: DataFrame) -> DataFrame:
+    """path -> path, pos, lemma, form: documents without text count with each distinct term of their path once."""
+    t = F.array_distinct(tx.path_terms(F.col("path")))
+    return paths.select("path", F.posexplode(t).alias("pos", "lemma")).select("path", "pos", "lemma", F.col("lemma").alias("form"))
+
+
 def cut_nodes(nodes: DataFrame, min_frequency: int = MIN_FREQUENCY, min_docs: int = MIN_DOCS, max_nodes: int = MAX_NODES) -> DataFrame:
     """The most frequent concepts, numbered from 0: at most max_nodes rows."""
     kept = nodes.where((F.col("frequency") >= min_frequency) & (F.col("docs") >= min_docs)).orderBy(F.desc("frequency"), F.desc("docs"), "lemma").limit(max_nodes)

@@ -150,5 +150,11 @@ def memberships(terms: DataFrame, concepts: DataFrame, top: int = TERMS) -> Data
     return terms.where(F.col("rank") <= top).join(F.broadcast(concepts.select("lemma", F.col("id").alias("concept"))), "lemma").select("path", "concept", F.col("n").alias("weight"))
 
 
+def path_memberships(rows: DataFrame, concepts: DataFrame, top: int = TERMS) -> DataFrame:
+    """As memberships, for documents without terms: the first terms of their paths (path, pos, lemma), with a weight of one."""
+    kept = rows.where(F.col("pos") < top).join(F.broadcast(concepts.select("lemma", F.col("id").alias("concept"))), "lemma")
+    return kept.select("path", "concept", F.lit(1).cast("long").alias("weight"))
+
+
 def orphans(paths: DataFrame, members: DataFrame) -> DataFrame:
     return paths.select("path").join(members.select("path").distinct(), "path", "left_anti")
