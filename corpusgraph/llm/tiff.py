@@ -339,17 +339,18 @@ def _read(media_column: str, pixels: bool):
         for b in batches:
             at, pages, rest = [], [], []
             for i, media in enumerate(b.column(b.schema.get_field_index(media_column)).to_pylist()):
+                found = []
                 try:
                     if media is None:
                         raise TiffError("no file")
-                    found = []
                     for n, (fields, image) in enumerate(read_tiff(media)):
                         raw = image.tobytes()
                         how = (fields.get(COMPRESSION_TAG, [1])[0], fields.get(PREDICTOR_TAG, [1])[0])
                         own = (raw,) if pixels else (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), feature(image))
                         found.append(((n, image.shape[1], image.shape[0], image.shape[2], 8 * image.dtype.itemsize, *how), (None, *own)))
                 except (TiffError, struct.error, zlib.error, KeyError, ValueError, TypeError, MemoryError) as error:
-                    found = [((-1, *[None] * 6), (str(error) or type(error).__name__, *[None] * (1 if pixels else 4)))]
+                    # the pages before the damage stay
+                    found += [((-1, *[None] * 6), (str(error) or type(error).__name__, *[None] * (1 if pixels else 4)))]
                 at += [i] * len(found)
                 pages += [x for x, _ in found]
                 rest += [x for _, x in found]

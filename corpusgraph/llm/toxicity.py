@@ -264,8 +264,12 @@ def _scores(model, text_column: str, keep: list[str], summaries: bool, offsets:
                 _, sizes, m = marginals(part, known, cache)
                 rows.append(_summaries(sizes, m))
                 if offsets:
-                    ends = np.cumsum(sizes)
-                    found += [[{"start": i, "end": j} for i, j, _ in _toxic_spans(t, m[e - n : e], 0.5)] for t, n, e in zip(part, sizes.tolist(), ends.tolist())]
+                    told = rows[-1] @ known["c"][1:] + known["c"][0] >= 0
+                    for t, n, e, toxic in zip(part, sizes.tolist(), np.cumsum(sizes).tolist(), told.tolist()):
+                        own = m[e - n : e]
+                        # a document that is called toxic names at least what made it so most
+                        spans = _toxic_spans(t, own, 0.5) or (_toxic_spans(t, own, own.max()) if toxic and n else [])
+                        found.append([{"start": i, "end": j} for i, j, _ in spans])
             x = np.concatenate(rows)
             kept = [b.column(b.schema.get_field_index(k)) for k in keep]
             if summaries:

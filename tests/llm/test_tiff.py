@@ -75,3 +75,15 @@ def test_texts(odd, empty):
     assert sorted(((r.id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows), key=str) == sorted(want, key=str)
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
     assert tiff.page_features(tiff.encode_texts(empty)).count() == 0
+
+
+def test_pages_before_the_damage_stay(spark):
+    pages = [np.full((9, 8, 1), k, np.uint8) for k in (1, 2)]
+    data = tiff.write_tiff(pages, tiff.DEFLATE, 1, 8, None, "<")
+    rows = tiff.read_pages(spark.createDataFrame([(n, data[:n]) for n in range(8, len(data), 3)] + [(len(data), data)], "id long, media binary")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.id, []).append(r.page)
+    assert sorted(by[len(data)]) == [0, 1] and [0, -1] in by.values()
+    assert all(p[-1] == -1 and p[:-1] == list(range(len(p) - 1)) for n, p in by.items() if n < len(data) and -1 in p)
+    assert all(bytes(r.pixels) == bytes([1]) * 72 for r in rows if r.page == 0)

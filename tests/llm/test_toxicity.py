@@ -65,6 +65,7 @@ def test_held_out_accuracy_and_spans(spark):
     named = [w for r in found if truth[r.doc_id] for x in r.spans for w in text[r.doc_id][x.start : x.end].split()]
     assert len(named) > 150 and sum(w in inserted for w in named) / len(named) > 0.95
     assert sum(len(r.spans) for r in found if not truth[r.doc_id]) < 0.05 * len(named)
+    assert all(r.spans for r in found if r.predicted)
     model = toxicity.train(docs, given)
     for r in toxicity.spans(docs.where("doc_id < 60"), model).collect():
         assert rows[r.id][1][r.start : r.end] == r.span
