@@ -7,9 +7,9 @@ from corpusgraph.plans import graph_queries, registry
 def test_notes_are_read_whole(spark, tmp_path):
     text = "word " * 100 + "[[late|x]] and [y](deep/file.md) ``` code ``` **end**"
     spark.createDataFrame([(7, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    links = registry.QUERIES["note_links_whole"](spark, str(tmp_path)).first()
+    links = registry.QUERIES["note_links"](spark, str(tmp_path)).first()
     assert links.wiki == "doc-8 late" and links.plain == "../en/doc-9.txt deep/file.md"
-    clean = registry.QUERIES["markdown_text_whole"](spark, str(tmp_path)).first().clean
+    clean = registry.QUERIES["markdown_text"](spark, str(tmp_path)).first().clean
     assert clean.count("word") == 100 and "late" in clean and "end" in clean and "code ```" not in clean and "**" not in clean
 
 
