@@ -18,7 +18,7 @@ MIN_LENGTH = 3
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\-·']*"
 # fixed values: abbreviations that end no sentence
 ABBREVIATIONS = r"dr|dra|sr|sra|lic|mtro|etc|vs|fig|tab|no|núm|nro|pág|aprox|ej|p\.?\s?ej|et al|e\.?g|i\.?e|mg|ml|kg|cm|mm|hrs?"
-# endings that singular and plural share
+# fixed values: endings that singular and plural share
 INVARIABLE = r"(sis|tis|xis|us|is|ax|ex|ix|ox)$"
 _GUARD, _MARK = "\u0003", "\u0002"
 

@@ -98,14 +98,14 @@ def cut_nodes(nodes: DataFrame, min_frequency: int = MIN_FREQUENCY, min_docs: in
 
 
 def cut_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs of two kept concepts: where edges are cut anyway, the others need not be counted. Kept concepts are at most max_nodes rows."""
-    a, b = (F.broadcast(nodes.select(F.col("lemma").alias(x))) for x in ("a", "b"))
+    """The pairs of two kept concepts: where edges are cut anyway, the others need not be counted. Spark broadcasts the kept ones where they are small enough."""
+    a, b = (nodes.select(F.col("lemma").alias(x)) for x in ("a", "b"))
     return pairs.join(a, "a", "left_semi").join(b, "b", "left_semi")
 
 
 def cut_edges(edges: DataFrame, nodes: DataFrame, min_tenths: int = MIN_WEIGHT) -> DataFrame:
-    """Edges between kept concepts; the node side has at most max_nodes rows and is broadcast."""
-    a, b = (F.broadcast(nodes.select(F.col("lemma").alias(x), F.col("id").alias(f"{x}_id"))) for x in ("a", "b"))
+    """Edges between kept concepts; Spark broadcasts these where they are small enough, as the usual cut is."""
+    a, b = (nodes.select(F.col("lemma").alias(x), F.col("id").alias(f"{x}_id")) for x in ("a", "b"))
     return edges.where(F.col("tenths") >= min_tenths).join(a, "a").join(b, "b").withColumn("weight", F.col("tenths") / 10)
 
 

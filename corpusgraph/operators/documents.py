@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 EXTENSION = r"\.[A-Za-z0-9]{1,10}$"
+# fixed values: extensions that are tried for a link without one
 TRIED = (".md", ".txt", ".pdf", ".docx", ".html")
 FLOOR, MAX_PAIRS, HUB, MIN_SHARED, TERMS = 0.12, 40_000, 40, 2, 12
 # a word edge for ASCII letters, digits and _ only
@@ -147,12 +148,12 @@ def affinity(terms: DataFrame, documents: int, floor: float = FLOOR, max_pairs:
 
 def memberships(terms: DataFrame, concepts: DataFrame, top: int = TERMS) -> DataFrame:
     """Ranked terms (path, lemma, n, rank) and kept concepts (lemma, id) -> path, concept, weight."""
-    return terms.where(F.col("rank") <= top).join(F.broadcast(concepts.select("lemma", F.col("id").alias("concept"))), "lemma").select("path", "concept", F.col("n").alias("weight"))
+    return terms.where(F.col("rank") <= top).join(concepts.select("lemma", F.col("id").alias("concept")), "lemma").select("path", "concept", F.col("n").alias("weight"))
 
 
 def path_memberships(rows: DataFrame, concepts: DataFrame, top: int = TERMS) -> DataFrame:
     """As memberships, for documents without terms: the first terms of their paths (path, pos, lemma), with a weight of one."""
-    kept = rows.where(F.col("pos") < top).join(F.broadcast(concepts.select("lemma", F.col("id").alias("concept"))), "lemma")
+    kept = rows.where(F.col("pos") < top).join(concepts.select("lemma", F.col("id").alias("concept")), "lemma")
     return kept.select("path", "concept", F.lit(1).cast("long").alias("weight"))
 
 
