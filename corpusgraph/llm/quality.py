@@ -1,22 +1,16 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-A trigram model is trained on trusted text. Counts of n-grams, their
-continuation counts, discounts and context masses are sharded by n-gram and
-joined on Spark; what comes out are three tables, one per order, of
-log-probabilities and back-off masses. A document is scored against the tables
-order by order: each trigram's own entry, else its context's mass times the
-bigram's, and so on. A document is kept if its perplexity lies between two
-thresholds of its language. The upper one is a quantile of all trusted
-documents of the language that the model was not trained on; the lower one is
-the least of all trusted documents, those of the training sample included, as
-copies of these score low and are not bad. Both have a tolerance, which is
-wider for short texts, whose mean varies more: without it, one in a hundred
-trusted documents would go.
-
-The model is fitted on a bounded sample of the trusted rows: about
-``TRAIN_DOCS`` whole texts of each language, drawn by seeded hash. That bounds
-the tables, which are broadcast: a shuffled join of every document's n-grams
-would write over four times the input.
+Trigram models are trained on all trusted documents and stay in shards
+(``ngram_shards``). A document is kept if its perplexity lies between two thresholds
+of its language. The upper one is a quantile of all trusted documents of the
+language, each scored by the half of them that it is not in, so that the threshold
+rests on no document's own counts; the lower one is the least of all trusted
+documents under the model of all, as copies of these score low and are not bad. Both
+have a tolerance, which is wider for short texts, whose mean varies more: without
+it, one in a hundred trusted documents would go.
+
+``train`` and ``log_probabilities`` are the same model for a collection whose
+tables one process may hold.
 
 Cases: null and empty texts consist of the end alone; a null label is not
 trusted; a language without trusted documents takes the threshold of all
@@ -30,25 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import as_bytes, materialize
+from .ngram_shards import END, START, discounts, perplexities, word_hashes
 
-TRAIN_DOCS, QUANTILE, TOLERANCE, SEED = 600, 0.99, 1.25, 11
-FEW = 100_000  # rows that may be broadcast
-START, END = 1, 2
+QUANTILE, TOLERANCE, SEED = 0.99, 1.25, 11
+TURN = 1000  # ids in whose order halves take turns
+FEW = 1_000_000  # rows that may be broadcast
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 20
 _OWN = "__quality_"  # names of columns beside those of the caller
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
 def _key(*parts: np.ndarray) -> np.ndarray:
     """One 64-bit key of an n-gram of word hashes."""
     key = parts[0] ^ np.uint64(len(parts))
@@ -61,7 +49,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         parts = []
         for text in as_bytes(b.column(0)):
-            h = _hashes(text.split())
+            h = word_hashes(text.split())
             line = np.concatenate([np.array([START, START], np.uint64), h, np.array([END], np.uint64)])
             parts.append(np.stack([line[:-2], line[1:-1], line[2:]]))
         if parts:
@@ -72,10 +60,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _discounts(counts: DataFrame) -> list[float]:
     """Modified Kneser-Ney's three discounts from the numbers of n-grams seen one to four times."""
     n = counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (float(x) for x in n)
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    found = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(found)]
+    return discounts(*[float(x) for x in n])
 
 
 def _discount(n: Column, d: list[float]) -> Column:
@@ -137,7 +122,7 @@ def log_probabilities(model: dict[str, np.ndarray], texts: list[bytes]) -> tuple
     """For each text: the number of words, and the log10 probability of its words and its end."""
     words = [t.split() for t in texts]
     sizes = np.array([len(x) for x in words], dtype=np.int64)
-    flat = _hashes([y for x in words for y in x])
+    flat = word_hashes([y for x in words for y in x])
     ends = np.cumsum(sizes + 3)
     starts = ends - sizes - 3
     line = np.full(int(ends[-1]) if len(ends) else 0, START, dtype=np.uint64)
@@ -161,69 +146,58 @@ def log_probabilities(model: dict[str, np.ndarray], texts: list[bytes]) -> tuple
     return sizes, np.add.reduceat(p, np.cumsum(sizes + 1) - sizes - 1) if len(sizes) else p
 
 
-def _scorer(model, text_column: str, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.value
-        for b in batches:
-            texts = as_bytes(b.column(b.schema.get_field_index(text_column)))
-            sizes, scores, part, held = [], [], [], 0
-            for i, t in enumerate(texts):
-                part.append(t)
-                held += len(t)
-                if held >= _CHUNK or i == len(texts) - 1:
-                    n, p = log_probabilities(tables, part)
-                    sizes.append(n)
-                    scores.append(p)
-                    part, held = [], 0
-            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            p = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], pa.array(n, pa.int64()), pa.array(p, pa.float64())], names=[*keep, f"{_OWN}n", f"{_OWN}lp"])
-
-    return run
-
-
-def _judged(docs: DataFrame, trusted: DataFrame, columns: list[str] | None, id_column: str, text_column: str, lang_column: str, train_docs: int, quantile: float, tolerance: float, seed: int) -> DataFrame:
-    """The columns (None: own columns id and raw, the language) with own columns n (words), lp (log10 probability), ppl, cut and kept."""
+def halves(ids: DataFrame, id_column: str, lang_column: str, seed: int = SEED) -> DataFrame:
+    """Distinct ids with languages -> id, fold: by turns 0 and 1 in seeded order within about ``TURN`` ids of a language, so that few documents of one are halved too."""
+    drawn = F.xxhash64(F.lit(seed), F.col(id_column))
+    groups = ids.groupBy(lang_column).agg(F.ceil(F.count("*") / TURN).cast("long").alias("groups"))
+    turn = F.row_number().over(Window.partitionBy(lang_column, "group").orderBy(drawn, id_column)) % 2
+    dealt = ids.join(groups, lang_column).withColumn("group", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_column)), F.col("groups"))).withColumn("fold", turn)
+    return dealt.groupBy(id_column).agg(F.max("fold").alias("fold"))
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str, lang_column: str, train_docs: int | None, quantile: float, tolerance: float, seed: int) -> DataFrame:
+    """A row per row of docs, in order: own columns uid, id, raw (the language), n (words), lp (log10 probability), ppl, cut and kept."""
     n, lp, lang, step, least = (f"{_OWN}{x}" for x in ("n", "lp", "lang", "step", "least"))
     sure = trusted.select(F.col(id_column).alias(f"{_OWN}id")).distinct()
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(f"{_OWN}id")), F.lit(1_000_000))
     lang_key = F.coalesce(F.col(lang_column).cast("string"), F.lit(""))
-    known = docs.select(F.col(id_column).alias(f"{_OWN}id"), F.col(lang_column).alias(f"{_OWN}raw"), lang_key.alias(lang), F.col(text_column).alias(f"{_OWN}text"))
-    labelled = materialize(known.select(f"{_OWN}id", lang).join(sure, f"{_OWN}id", "left_semi").distinct(), "trusted")
-    share = F.least(F.lit(500_000), F.ceil(1_000_000 * train_docs / F.col("n")))
-    quota = materialize(labelled.groupBy(lang).agg(F.count("*").alias("n")).select(lang, share.alias("quota")), "quotas")
-    drawn = materialize(labelled.join(_placed(quota), lang).withColumn("drawn", draw < F.col("quota")).select(f"{_OWN}id", "drawn"), "drawn")
-    chosen = materialize(drawn.groupBy(f"{_OWN}id").agg(F.max("drawn").alias("drawn")), "chosen")
-    sample = known.select(f"{_OWN}id", f"{_OWN}text").join(_placed(chosen.where("drawn").select(f"{_OWN}id")), f"{_OWN}id").select(f"{_OWN}text")
-    model = docs.sparkSession.sparkContext.broadcast(train(sample))
-    added = [StructField(n, LongType()), StructField(lp, DoubleType())]
+    known = docs.select(F.col(id_column).alias(f"{_OWN}id"), F.col(lang_column).alias(f"{_OWN}raw"), lang_key.alias(lang), F.col(text_column).alias("text"), _row_key(id_column, lang_column, text_column).alias("uid"))
+    rows = materialize(known.drop("text").withColumn(f"{_OWN}row", F.monotonically_increasing_id()), "rows")
+    labelled = materialize(rows.select(f"{_OWN}id", lang).join(sure, f"{_OWN}id", "left_semi").distinct(), "trusted")
+    drawn = labelled
+    if train_docs is not None:  # a caller's bound: each half then trains on about so many documents of a language
+        share = F.ceil(2_000_000 * train_docs / F.col("n"))
+        quota = labelled.groupBy(lang).agg(F.count("*").alias("n")).select(lang, share.alias("quota"))
+        draw = F.pmod(F.xxhash64(F.lit(seed + 2), F.col(f"{_OWN}id")), F.lit(1_000_000))
+        drawn = labelled.join(quota, lang).where(draw < F.col("quota")).select(*labelled.columns)
+    folds = materialize(halves(drawn, f"{_OWN}id", lang, seed), "folds")
+    scored = perplexities(known.select(f"{_OWN}id", "uid", "text").join(_placed(folds), f"{_OWN}id", "left").select("uid", "fold", "text"))
+    many = rows.groupBy("uid").agg(F.count("*").alias("many"))  # equal rows have one score
+    one = scored.join(many, "uid").select("uid", (F.col("n") / F.col("many")).cast("long").alias("all"), (F.col("lp") / F.col("many")).alias(lp), (F.col("crossed") / F.col("many")).alias(f"{_OWN}crossed"))
+    scores = rows.join(one, "uid").withColumn(n, F.col("all") - 1).drop("all")
+    scores = materialize(scores.join(labelled.select(f"{_OWN}id").distinct().select(f"{_OWN}id", F.lit(True).alias(f"{_OWN}trusted")), f"{_OWN}id", "left"), "perplexities")
     level = -F.col(lp) / (F.col(n) + 1)
-    # every document is scored without its text going anywhere; scores, not texts, then meet the labels
-    keep = [f"{_OWN}id", f"{_OWN}raw", lang]
-    scores = materialize(known.mapInArrow(_scorer(model, f"{_OWN}text", keep), StructType([*[known.schema[k] for k in keep], *added])), "perplexities")
-    # exact counts of the levels of the trusted documents that the model has not seen, in steps of a thousandth
-    held = scores.join(chosen.select(f"{_OWN}id", "drawn"), f"{_OWN}id")
-    steps = materialize(held.groupBy(lang, F.ceil(level * 1000).alias(step)).agg(F.count_if(~F.col("drawn")).alias("c")), "levels")
-    steps = steps.unionByName(steps.groupBy(step).agg(F.sum("c").alias("c")).withColumn(lang, F.lit(None).cast("string")))
+    # exact counts of the levels of all trusted documents under the halves that lack them, in steps of a thousandth
+    sure = scores.where(f"{_OWN}trusted").select(lang, F.ceil(-F.col(f"{_OWN}crossed") / (F.col(n) + 1) * 1000).alias(step), F.ceil(level * 1000).alias(least))
+    steps = materialize(sure.groupBy(lang, step).agg(F.count("*").alias("c"), F.min(least).alias(least)), "levels")
+    steps = steps.unionByName(steps.groupBy(step).agg(F.sum("c").alias("c"), F.min(least).alias(least)).withColumn(lang, F.lit(None).cast("string")))
     up, whole = Window.partitionBy(lang).orderBy(step), Window.partitionBy(lang)
     counted = steps.withColumn("before", F.sum("c").over(up)).withColumn("all", F.sum("c").over(whole))
-    high = (F.col("before") >= quantile * F.col("all")) & (F.col("all") > 0)
-    cuts = counted.groupBy(lang).agg(F.min(F.when(high, F.col(step))).alias(step), F.min(step).alias(least))
+    high = F.col("before") >= quantile * F.col("all")
+    cuts = counted.groupBy(lang).agg(F.min(F.when(high, F.col(step))).alias(step), F.min(least).alias(least))
     cuts = materialize(cuts, "thresholds")
     everywhere = cuts.where(F.col(lang).isNull()).first()
-    if columns is None:
-        scored = scores
-    else:  # rows with their texts are scored where they are read, a second time
-        needed = list(dict.fromkeys([*columns, lang_column, text_column]))
-        out = list(dict.fromkeys([*columns, lang_column]))
-        scored = docs.select(*needed).mapInArrow(_scorer(model, text_column, out), StructType([*[docs.schema[c] for c in out], *added])).withColumn(lang, lang_key)
-    joined = scored.join(_placed(cuts.where(F.col(lang).isNotNull())), lang, "left")
+    joined = scores.join(_placed(cuts.where(F.col(lang).isNotNull())), lang, "left")
     or_all = lambda c: F.coalesce(c, F.lit(everywhere[c] if everywhere else None).cast("long")) / 1000
     wide = 1 / F.sqrt(F.col(n) + 1)
     high, low = F.pow(F.lit(10.0), or_all(step) + wide) * F.lit(tolerance), F.pow(F.lit(10.0), or_all(least) - wide) / F.lit(tolerance)
     ppl = F.pow(F.lit(10.0), level)
     kept = F.coalesce((F.col(f"{_OWN}ppl") <= F.col(f"{_OWN}cut")) & (F.col(f"{_OWN}ppl") >= F.col(f"{_OWN}floor")), F.lit(True))
-    return joined.withColumns({f"{_OWN}ppl": ppl, f"{_OWN}cut": high, f"{_OWN}floor": low}).withColumn(f"{_OWN}kept", kept)
+    return joined.withColumns({f"{_OWN}ppl": ppl, f"{_OWN}cut": high, f"{_OWN}floor": low}).withColumn(f"{_OWN}kept", kept).orderBy(f"{_OWN}row")
+
+
+def _row_key(*columns: str) -> Column:
+    """A 64-bit key of a row's values; equal rows have one score."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
 
 def _placed(few: DataFrame) -> DataFrame:
@@ -231,16 +205,18 @@ def _placed(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if few.count() <= FEW else few
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, tolerance: float = TOLERANCE, seed: int = SEED) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_docs: int | None = None, quantile: float = QUANTILE, tolerance: float = TOLERANCE, seed: int = SEED) -> DataFrame:
     """Scores every row of docs; trusted holds the ids of trusted documents.
 
     A row per document: id, language, n_tokens, log10_prob, perplexity, threshold, least_perplexity, kept.
     """
-    found = _judged(docs, trusted, None, id_column, text_column, lang_column, train_docs, quantile, tolerance, seed)
+    found = _judged(docs, trusted, id_column, text_column, lang_column, train_docs, quantile, tolerance, seed)
     names = {"n": "n_tokens", "lp": "log10_prob", "ppl": "perplexity", "cut": "threshold", "floor": "least_perplexity", "kept": "kept"}
     return found.select(F.col(f"{_OWN}id").alias(id_column), F.col(f"{_OWN}raw").alias(lang_column), *[F.col(f"{_OWN}{k}").alias(v) for k, v in names.items()])
 
 
-def accepted(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, tolerance: float = TOLERANCE, seed: int = SEED) -> DataFrame:
+def accepted(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_docs: int | None = None, quantile: float = QUANTILE, tolerance: float = TOLERANCE, seed: int = SEED) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
-    return _judged(docs, trusted, docs.columns, id_column, text_column, lang_column, train_docs, quantile, tolerance, seed).where(F.col(f"{_OWN}kept")).select(*docs.columns)
+    found = _judged(docs, trusted, id_column, text_column, lang_column, train_docs, quantile, tolerance, seed)
+    gone = materialize(found.where(~F.col(f"{_OWN}kept")).select(F.col("uid").alias(f"{_OWN}uid")).distinct(), "rejected")
+    return docs.withColumn(f"{_OWN}uid", _row_key(id_column, lang_column, text_column)).join(_placed(gone), f"{_OWN}uid", "left_anti").select(*docs.columns)

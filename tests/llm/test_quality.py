@@ -122,3 +122,37 @@ def test_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long")
     assert all(r.kept for r in quality.classify(odd, none).collect())
     assert quality.classify(empty, none).count() == 0
+
+
+def test_all_trusted_documents_train(spark, monkeypatch):
+    """More trusted documents than any former bound, one word each: scores are those of the definition over all and over whole halves."""
+    from corpusgraph.llm import ngram_shards
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("a b c d e f g the of".split()) for _ in range(rng.randrange(0, 12))) + f" n{i // 2}" for i in range(90)] + ["", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    trusted = docs.where("doc_id < 60").select("doc_id")
+    folds = quality.halves(docs.where("doc_id < 60").select("doc_id", "lang"), "doc_id", "lang").withColumnRenamed("doc_id", "uid")
+    half = {r.uid: r.fold for r in folds.collect()}
+    models = [slow_model([texts[i] for i in range(60) if half[i] == f]) for f in (0, 1)]
+    full = slow_model(texts[:60])
+    want = [full(t or "") for t in texts]
+    crossed = [models[1 - half[i]](texts[i]) for i in range(60)]
+    for vocabulary, piece, shard in ((1 << 17, 1 << 19, 1 << 24), (5, 20, 100)):
+        monkeypatch.setattr(ngram_shards, "VOCABULARY", vocabulary)
+        monkeypatch.setattr(ngram_shards, "PIECE", piece)
+        rows = docs.withColumnRenamed("doc_id", "uid").join(folds, "uid", "left")
+        got = {r.uid: r for r in ngram_shards.perplexities(rows, shard).collect()}
+        assert [got[i].n - 1 for i in range(len(texts))] == [len((t or "").split()) for t in texts]
+        assert np.allclose([got[i].lp for i in range(len(texts))], want, atol=1e-4)
+        assert np.allclose([got[i].crossed for i in range(60)], crossed, atol=1e-4)
+    found = {r.doc_id: r.log10_prob for r in quality.classify(docs, trusted).collect()}
+    assert np.allclose([found[i] for i in range(len(texts))], want, atol=1e-4)
+
+
+def test_every_trusted_document_of_many_counts(spark):
+    """1,500 trusted documents, above the 600 of the former sample: each one's own word is known to its copy."""
+    rows = [(i, f"a b c own{i} d e", "en") for i in range(1500)] + [(10_000 + i, f"a b c own{i} d e", "en") for i in range(1500)] + [(20_000, "a b c other d e", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.log10_prob for r in quality.classify(docs, docs.where("doc_id < 1500").select("doc_id")).collect()}
+    assert all(found[10_000 + i] > found[20_000] for i in range(1500))
