@@ -23,7 +23,7 @@ and an adaptive map refines the result. Documents are mixed side by side.
 
 Words that no training document has are spelled with contexts of one to three
 bytes, whose hashed tables are of fixed size, as contexts that short are few;
-the start weights of spelling come from at most about ``SAMPLE`` words.
+the start weights of spelling come from all training words outside the vocabulary.
 
 What is broadcast has fixed sizes: the ``VOCABULARY`` most frequent words, hit
 rates and spelling tables. Counts of other words stay distributed and are joined.
@@ -52,7 +52,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, Long
 
 from .common import as_bytes, crc_mod, discard, materialize, release, with_row_id
 
-VOCABULARY, SPELL_SLOTS, SAMPLE = 1 << 17, 1 << 18, 30_000
+VOCABULARY, SPELL_SLOTS = 1 << 17, 1 << 18
 RATE, APM_RATE, APM_STEPS, PRIOR, LEVELS, INPUTS = 0.02, 0.02, 33, 0.4, 5, 4
 BLOCK = 1 << 15
 SHARD, CHECK, FREQUENT = 1 << 20, 8, 1 << 18
@@ -271,7 +271,7 @@ def _tables(rows: DataFrame, bits_of, orders: int, slots: int, column: str) -> l
 
 
 def _learned(rows: DataFrame, bits_of, tables, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and map, averaged over the partitions of a bounded sample."""
+    """Weights and map, averaged over the partitions of all rows; each part starts from the average of those before."""
     gates, inputs = LEVELS * LEVELS, INPUTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +280,8 @@ def _learned(rows: DataFrame, bits_of, tables, column: str) -> tuple[np.ndarray,
         for b in batches:
             for part in _parts(as_bytes(b.column(0))):
                 d = make(part)
-                for _ in range(2):
-                    mix_bits(d, tables.value, w, apm, True, got)
-                    w = np.where(got["n"][:, None] > 0, got["w"] / np.maximum(got["n"], 1)[:, None], w)
+                mix_bits(d, tables.value, w, apm, True, got)
+                w = np.where(got["n"][:, None] > 0, got["w"] / np.maximum(got["n"], 1)[:, None], w)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in got.values()]).tolist()], pa.list_(pa.float64()))], names=["sums"])
 
     found = rows.select(column).mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").toPandas()
@@ -818,8 +817,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     spell_of = lambda: spelling_bits
     spell_counted = spark.sparkContext.broadcast(_tables(rare, spell_of, 3, SPELL_SLOTS, "word"))
     spell = spark.sparkContext.broadcast([packed(x) for x in spell_counted.value])
-    few = rare.where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < 1e6 * SAMPLE / max(1, words))
-    speller = _learned(few, spell_of, spell_counted, "word")
+    speller = _learned(rare, spell_of, spell_counted, "word")
     asked = found.select("uid", F.explode(F.arrays_zip("words", "n", "m")).alias("x")).select("uid", F.col("x.words").alias("word"), "x.n", "x.m")
     named = materialize(asked.join(rare, "word", "left").select("uid", F.when(F.col("c").isNull(), F.col("word")).alias("word"), "n", "m", "c"), "rare-words")
     spelled = named.where("word is not null").select("word").distinct().mapInArrow(_spelled(spell, speller, vocabulary), "word binary, spelling double, alike double")

@@ -235,3 +235,18 @@ def test_an_unseen_word_of_the_expected_bits_is_spelled(spark):
     assert max(score.values()) < -15 and 0 <= score[held[0]] - score[held[1]] < 8
     seen = lm.score(df).where("NOT held_out").first()
     assert -1 < seen.score <= 0
+
+
+def test_every_rare_word_teaches_spelling(spark, monkeypatch):
+    """More words than the former sample of 30,000: the start weights of spelling come from all of them."""
+    taught, learned = set(), lm._learned
+
+    def watched(rows, *rest):
+        taught.update(bytes(r[0]).decode() for r in rows.select("word").collect())
+        return learned(rows, *rest)
+
+    monkeypatch.setattr(lm, "_learned", watched)
+    rows = [(i, " ".join(f"w{1000 * i + k}" for k in range(1000))) for i in range(50)]
+    found = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary_size=10).collect()
+    assert all(r.score < 0 and math.isfinite(r.score) for r in found)
+    assert taught == {w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()} and len(taught) > 30_000
