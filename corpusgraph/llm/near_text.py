@@ -1,7 +1,10 @@
 """Near copies by exact Jaccard similarity of five-word shingles, for the pipeline.
 
-Candidates come from a position index like that of ``simhash``, over a longer
-fingerprint: at each of ``HASHES`` positions it holds 16 bits of the smallest
+Candidates come from two indexes. One is that of ``simhash``: the SimHash of a
+document's five-word shingles is listed under the three-byte subsets of its halves,
+the shared positional bytes of pairs that meet are tallied, and those within three
+bits are candidates. As pairs at a similarity of 0.8 mostly differ in more bits,
+the other is a position index over a longer fingerprint: at each of ``HASHES`` positions it holds 16 bits of the smallest
 value that a hash function takes on the document's shingles, so two documents
 agree at a position with a probability of their Jaccard similarity. The index
 lists a document under each ``ROWS`` neighbouring positions; pairs that meet
@@ -33,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize
-from .simhash import _forest, components, shingle_hashes
+from .simhash import BITS, BYTES, SUBSETS, _forest, components, majority, shingle_hashes
 
 WORDS, LIKENESS = 5, 0.8
 HASHES, ROWS, SHARED, BLOCK = 48, 3, 28, 1024
+WIDTH = HASHES + BYTES // 2  # of a print: the smallest values, then the SimHash
 _RNG = np.random.default_rng(5)
 _FACTOR = _RNG.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
@@ -48,11 +52,24 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 
 def min_values(h: np.ndarray) -> np.ndarray:
-    """Sixteen bits of the smallest value at each position; no shingles give zeros."""
+    """Sixteen bits of the smallest value at each position, then the SimHash; no shingles give zeros."""
     low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(h), 2048):
         np.minimum(low, (h[i : i + 2048] * _FACTOR + _SHIFT).min(axis=1), out=low)
-    return low.astype("<u2") if len(h) else np.zeros(HASHES, dtype="<u2")
+    return np.concatenate([low.astype("<u2"), np.array([majority(h)], "<u8").view("<u2")]) if len(h) else np.zeros(WIDTH, dtype="<u2")
+
+
+def _bytes_of(prints: np.ndarray) -> np.ndarray:
+    """The SimHash's bytes of rows of prints."""
+    return np.ascontiguousarray(prints[:, HASHES:]).view(np.uint8)
+
+
+def _candidates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of prints are within three bits, by the tally of positional bytes first, or agree at enough positions."""
+    x_hash, y_hash = _bytes_of(x), _bytes_of(y)
+    near = (x_hash == y_hash).sum(axis=1) >= BYTES - BITS
+    near[near] = np.bitwise_count(x_hash[near] ^ y_hash[near]).sum(axis=1) <= BITS
+    return near | ((x[:, :HASHES] == y[:, :HASHES]).sum(axis=1) >= SHARED)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,11 +82,15 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, print) -> the entries a node is listed under: the positions' number above their values."""
     for b in batches:
-        v = np.frombuffer(b"".join(as_bytes(b.column(1))), dtype="<u2").astype(np.int64).reshape(-1, HASHES // ROWS, ROWS)
+        prints = np.frombuffer(b"".join(as_bytes(b.column(1))), dtype="<u2").reshape(-1, WIDTH)
+        v = prints[:, :HASHES].astype(np.int64).reshape(-1, HASHES // ROWS, ROWS)
         key = np.arange(HASHES // ROWS)
         for r in range(ROWS):
             key = (key << 16) + v[:, :, r]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), HASHES // ROWS)), pa.array(key.reshape(-1))], names=["node", "entry"])
+        h = _bytes_of(prints).astype(np.int64)
+        places = [(HASHES // ROWS + k << 16 * ROWS) + (h[:, i] << 16) + (h[:, j] << 8) + h[:, m] for k, (i, j, m) in enumerate(SUBSETS)]
+        key = np.concatenate([key, np.stack(places, axis=1)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), key.shape[1])), pa.array(key.reshape(-1))], names=["node", "entry"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +116,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, x, y) -> a, b whose fingerprints agree at enough positions."""
+    """Rows (a, b, x, y) -> a, b whose prints make them candidates."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(as_bytes(b.column(k))), dtype="<u2").reshape(-1, HASHES) for k in (2, 3))
-        yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= SHARED))
+        x, y = (np.frombuffer(b"".join(as_bytes(b.column(k))), dtype="<u2").reshape(-1, WIDTH) for k in (2, 3))
+        yield b.select(["a", "b"]).filter(pa.array(_candidates(x, y)))
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +139,10 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = live[part[live] != part[live + lag]]
             for i in range(0, len(other), 1 << 16):
                 x = other[i : i + (1 << 16)]
-                same = prints[x] == prints[x + lag]
-                first = same.reshape(-1, HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1) == key[x, 0] >> 16 * ROWS
-                x = x[first & (same.sum(axis=1) >= SHARED)]
+                one, two = prints[x], prints[x + lag]
+                alike = _bytes_of(one) == _bytes_of(two)
+                met = np.concatenate([(one == two)[:, :HASHES].reshape(-1, HASHES // ROWS, ROWS).all(axis=2), alike[:, np.array(SUBSETS)].all(axis=2)], axis=1)
+                x = x[(met.argmax(axis=1) == key[x, 0] >> 16 * ROWS) & _candidates(one, two)]
                 x = x[[_alike(sets[k], sets[k + lag]) for k in x.tolist()]] if len(x) else x
                 found_a.append(node[x])
                 found_b.append(node[x + lag])
@@ -131,7 +153,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = None
     for batch in batches:
         numbers = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1)
-        prints = np.frombuffer(b"".join(as_bytes(batch.column(5))), dtype="<u2").reshape(-1, HASHES)
+        prints = np.frombuffer(b"".join(as_bytes(batch.column(5))), dtype="<u2").reshape(-1, WIDTH)
         sets = as_bytes(batch.column(6))
         if rest is not None:
             numbers, prints, sets = np.concatenate([rest[0], numbers]), np.concatenate([rest[1], prints]), rest[2] + sets

@@ -33,6 +33,7 @@ from .common import as_bytes, materialize
 
 BYTES, BITS, BLOCK = 8, 3, 4096
 SEED = 42
+SUBSETS = [(h + a, h + b, h + c) for h in (0, BYTES // 2) for a, b, c in combinations(range(BYTES // 2), 3)]  # the positions of the index entries
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -47,9 +48,12 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 def fingerprint(text: bytes, words: int = 3) -> int:
     """The unsigned fingerprint of a UTF-8 text."""
     h = shingle_hashes(text, words)
-    if not len(h):
-        return 0
-    return int(np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view("<u8")[0])
+    return int(majority(h))
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that over half of the hashes have; no hashes give 0."""
+    return np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view("<u8")[0] if len(h) else np.uint64(0)
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -78,8 +82,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def _entries(fp: Column) -> Column:
     """The index entries of a fingerprint: the positions' number above the three bytes."""
     byte = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)) for i in range(BYTES)]
-    subsets = [(h + a, h + b, h + c) for h in (0, BYTES // 2) for a, b, c in combinations(range(BYTES // 2), 3)]
-    return F.array(*[F.lit(k << 24) + F.shiftleft(byte[a], 16) + F.shiftleft(byte[b], 8) + byte[c] for k, (a, b, c) in enumerate(subsets)])
+    return F.array(*[F.lit(k << 24) + F.shiftleft(byte[a], 16) + F.shiftleft(byte[b], 8) + byte[c] for k, (a, b, c) in enumerate(SUBSETS)])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from corpusgraph.llm import near_text, simhash
 
@@ -65,3 +67,21 @@ def test_odd_rows(odd, empty):
     kept = near_text.one_of_each(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1
     assert near_text.one_of_each(empty).count() == 0
+
+
+def test_simhash_index_finds_pairs_by_itself(spark):
+    """Documents that meet at no position of smallest values, but within three bits of SimHash, are tried in both rounds."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    texts = {1: "quite another text of ten words that only shares bytes", 2: " ".join(base), 3: " ".join([*base[:-1], "edited"])}
+    h = np.array([simhash.fingerprint(texts[2].encode(), words=5)], "<u8")
+    prints = {1: h, 2: h, 3: h ^ np.uint64(0b101)}  # the first round tries 1 against 2 and 3 only
+    values = np.random.default_rng(1).integers(0, 1 << 16, (4, near_text.HASHES)).astype("<u2")
+    nodes = spark.createDataFrame([(i, values[i].tobytes() + prints[i].tobytes()) for i in texts], "node long, print binary")
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    assert [(r.a, r.b) for r in near_text.links(docs, nodes).collect()] == [(2, 3)]
+
+
+def test_print_ends_in_the_simhash_of_five_words():
+    text = " ".join(f"w{k}" for k in range(100)).encode()
+    assert near_text.min_values(near_text.shingle_set(text))[near_text.HASHES :].tobytes() == simhash.fingerprint(text, words=5).to_bytes(8, "little")
