@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from corpusgraph.llm import queries
-from corpusgraph.llm.common import DOCUMENT_COLUMNS, table
+from corpusgraph.llm.common import DOCUMENT_COLUMNS, materialize, table
 from corpusgraph.llm.quality import classify
 
 from .test_mixing import slow_targets
@@ -67,3 +67,14 @@ def test_run_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and {"doc_id", "piece", "sequence_id"} <= set(rows[0].asDict())
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    """What a stage shuffled for its table goes with the write; the session's own setting stays."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in str(blocks.getAllFiles().mkString("\n")).split("\n") if "/shuffle_" in f}
+    before, was = shuffled(), spark.conf.get(setting)
+    out = materialize(spark.range(5000).repartition(5, "id"), "some")
+    left = shuffled() - before
+    assert not left and out.count() == 5000 and spark.conf.get(setting) == was
