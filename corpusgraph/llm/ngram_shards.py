@@ -4,7 +4,10 @@ Every trigram (u, v, w) goes to the shard of the hash of its middle word v, whic
 thereby holds what its probability needs: its count, those of its context (u, v),
 and the distinct predecessors of (v, w) and of v's pairs. Only the last order, how
 many distinct words precede w, takes counts of all shards: those of the
-``VOCABULARY`` words that follow most are broadcast, the others are joined.
+``VOCABULARY`` words that follow most are broadcast, another word's go to its own
+shard and to those in which training texts have it as a last word. A pair (v, w)
+that was not seen multiplies the last order's probability of w, which w's own shard
+adds where w stands in the middle of the next trigram: it knows the pair as a context.
 
 Three models share the shards: that of all training documents, which scores every
 text, and those of two folds of them. A training document is scored a second time
@@ -12,13 +15,17 @@ by the fold that it is not in, without its own counts (by all, if that fold is e
 
 Two passes over texts: training texts give the shards' counts; then all texts'
 trigrams meet the shards, which return sums by document, so that texts are not
-shuffled. A shard's counts are held by its task, texts' trigrams pass by.
+shuffled. Shards take turns in ``ROUNDS`` rounds, and all texts in ``PARTS`` parts
+of each, so that a share of the trigrams is on disk at a time. A shard's counts are
+held by its task, texts' trigrams pass by.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +34,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, release
+from .common import as_bytes, discard, materialize, release
 from .lm_scoring import _numbers, _planes
 
-VOCABULARY, PIECE, SHARD_BYTES = 1 << 17, 1 << 19, 1 << 25
+VOCABULARY, PIECE, SHARD_BYTES, ROUNDS, PARTS = 1 << 17, 1 << 19, 1 << 24, 2, 3
 CODED = 2_000  # texts whose words get short codes on their way to the counts; results do not depend on them
 START, END, NO_FOLD = 1, 2, 2
 _SUMS = 1 << 20  # sums by document that a task holds before it returns them
@@ -38,8 +45,8 @@ _BLOB = "shard int, kind int, codes long, common long, n long, uids binary, fold
 _NAMES = [x.split()[0] for x in _BLOB.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 MODELS = (0, 1, 2)  # the folds', and that of all training documents
-_FOUND = "uid long, lp double, crossed double, n long, w long, a0 float, b0 float, a1 float, b1 float, a2 float, b2 float, fold int"
-_FOUND_KINDS = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.float32()] * 6, pa.int32()]
+_FOUND = "uid long, lp double, crossed double, n long"
+_RARE, _COUNTS, _TEXTS = -1, 0, 1  # kinds of rows, in the order in which a shard meets them
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -66,10 +73,13 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _packed(codes: np.ndarray, vocabulary: np.ndarray, numbers: list[np.ndarray]) -> tuple[int, int, int, bytes]:
-    """Sorted word hashes (those of the vocabulary as their places) and rows of numbers below 2^32, the first ascending -> sizes and compressed bytes."""
+    """Sorted word hashes (those of the vocabulary as their places) and rows of numbers below 2^32, ascending by the first two -> sizes and compressed bytes."""
     at = _at(vocabulary, codes)
     common = at >= 0
-    data = [np.packbits(common).tobytes(), _planes(np.diff(at[common], prepend=0), 4), codes[~common].tobytes(), _planes(np.diff(numbers[0], prepend=0), 4), *[_planes(x, 4) for x in numbers[1:]]]
+    v, u = numbers[:2]
+    step = np.diff(v, prepend=0)
+    u = np.where(step == 0, np.diff(u, prepend=0), u)
+    data = [np.packbits(common).tobytes(), _planes(np.diff(at[common], prepend=0), 4), codes[~common].tobytes(), *[_planes(x, 4) for x in (step, u, *numbers[2:])]]
     return len(codes), int(common.sum()), len(numbers[0]), zstandard.ZstdCompressor(level=1).compress(b"".join(data))
 
 
@@ -83,24 +93,36 @@ def _unpacked(codes: int, common: int, n: int, data: bytes, vocabulary: np.ndarr
     words[~is_common] = np.frombuffer(raw, np.uint64, codes - common, at)
     at += 8 * (codes - common)
     rows = [_numbers(raw, n, at + 4 * n * k, 4).astype(np.int64) for k in range(columns)]
+    total = np.cumsum(rows[1])
+    rows[1] = total - (total - rows[1])[np.maximum.accumulate(np.where(rows[0] > 0, np.arange(n), 0))]
     rows[0] = np.cumsum(rows[0])
     return words, rows
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (uid, fold, text) -> lists of uid, fold and a text's word hashes with two starts and an end; long texts go in parts that overlap by two."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple]]]:
+    """Rows (uid, fold, text) -> sorted hashes of words, and lists of uid, fold and the places of a text's words with two starts and an end; long texts go in parts that overlap by two."""
+    number: defaultdict = defaultdict()  # words in order of appearance: only distinct ones are held and hashed
+    number.default_factory = number.__len__
     held, size = [], 0
+
+    def ready() -> tuple[np.ndarray, list[tuple]]:
+        hashes = np.fromiter((x if isinstance(x, int) else xxhash.xxh64_intdigest(x) for x in number), np.uint64, len(number))
+        hashes, place = np.unique(hashes, return_inverse=True)
+        return hashes, [(uid, fold, place[line]) for uid, fold, line in held]
+
     for b in batches:
         for uid, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
-            line = np.concatenate([np.array([START, START], np.uint64), word_hashes(text.split()), np.array([END], np.uint64)])
+            line = [START, START, *text.split(), END]
             for i in range(0, len(line) - 2, PIECE):
-                held.append((uid, fold, line[i : i + PIECE + 2]))
-                size += len(held[-1][2])
+                part = line[i : i + PIECE + 2]
+                held.append((uid, fold, np.fromiter(map(number.__getitem__, part), np.int32, len(part))))
+                size += len(part)
                 if size >= PIECE:
-                    yield held
+                    yield ready()
+                    number.clear()
                     held, size = [], 0
     if held:
-        yield held
+        yield ready()
 
 
 def _texts_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,20 +130,25 @@ def _texts_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.array([START, END], np.uint64), *found])).view(np.int64))], names=["w"])
 
 
-def _dealt(bits: int, shared, scored: bool):
-    """Rows (uid, fold, text) -> the trigrams of each shard: with their documents (scored), or distinct with counts in both folds."""
+def _dealt(bits: int, shared, scored: bool, low: int, high: int):
+    """Rows (uid, fold, text) -> the trigrams of each shard from low on and below high: with their documents (scored), or distinct with counts in both folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value["words"]
-        for held in _pieces(batches):
+        for words, held in _pieces(batches):
             sizes = np.array([len(x[2]) for x in held])
-            words, ids = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+            ids = np.concatenate([x[2] for x in held])
+            shard = words >> np.uint64(64 - bits) if bits else np.zeros(len(words), np.uint64)
+            first, last = np.searchsorted(shard, np.array([low, high], np.uint64))  # the round's words
             inner = np.ones(len(ids), bool)
             ends = np.cumsum(sizes)
             inner[ends - 1] = inner[ends - 2] = False
+            inner[:-1] &= (ids[1:] >= first) & (ids[1:] < last)
             at = np.flatnonzero(inner)
+            if not len(at):
+                continue
             key = ids[at + 1] << 42 | ids[at] << 21 | ids[at + 2]  # a piece has fewer than 2^21 words
-            doc = np.repeat(np.arange(len(held)), sizes - 2)
+            doc = np.repeat(np.arange(len(held)), sizes)[at]
             order = np.argsort(key)
             key, doc = key[order], doc[order]
             if scored:
@@ -132,7 +159,6 @@ def _dealt(bits: int, shared, scored: bool):
                 own = np.array([x[1] for x in held])[doc]
                 key, extra = key[first], [np.add.reduceat((own == f).astype(np.int64), first) for f in (0, 1)]
             parts = [key >> 42, key >> 21 & (1 << 21) - 1, key & (1 << 21) - 1]
-            shard = words >> np.uint64(64 - bits) if bits else np.zeros(len(words), np.uint64)
             cuts = np.searchsorted(shard[parts[0]], np.arange((1 << bits) + 1, dtype=np.uint64))
             rows = []
             for k in np.flatnonzero(np.diff(cuts)).tolist():
@@ -147,7 +173,7 @@ def _dealt(bits: int, shared, scored: bool):
                     docs, more[0] = np.unique(more[0], return_inverse=True)
                     tail = (uids[docs].tobytes(), folds[docs].tobytes())
                 codes, common, n, data = _packed(words[used], vocabulary, [*[local[p[i:j]] for p in parts], *more])
-                rows.append((k, int(scored), codes, common, n, *tail, data))
+                rows.append((k, _TEXTS if scored else _COUNTS, codes, common, n, *tail, data))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _KINDS, strict=True)], names=_NAMES)
         release()
 
@@ -185,7 +211,7 @@ def _counted(coding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         codes, common, size, data = _packed(words, none, [v, u, w, *n])
         kinds = [*_KINDS, *[pa.list_(pa.int64())] * 5]
         last = np.flatnonzero(before[2])
-        row = (held[0][0], 0, codes, common, size, b"", b"", data, words[last].view(np.int64).tolist(), *[x[last].tolist() for x in before], stats)
+        row = (held[0][0], _COUNTS, codes, common, size, b"", b"", data, words[last].view(np.int64).tolist(), *[x[last].tolist() for x in before], stats)
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[*_NAMES, "w", "c0", "c1", "c2", "stats"])
 
     held: list[tuple] = []
@@ -199,6 +225,39 @@ def _counted(coding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     release()
 
 
+def _apart(shared):
+    """Rows (shard, w, c0, c1, c2) -> those of words outside the vocabulary, packed by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        held: list[np.ndarray] = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            shard, w, *c = np.concatenate(held, axis=1)
+            held.clear()
+            order = np.lexsort((w.view(np.uint64), shard))
+            order = order[_at(shared.value["words"], w[order].view(np.uint64)) < 0]
+            if not len(order):
+                return
+            shard, w, c = shard[order], w[order], [x[order] for x in c]
+            cuts = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(order)]
+            rows = []
+            for i, j in zip(cuts, cuts[1:]):
+                data = press.compress(b"".join([w[i:j].tobytes(), *[_planes(x[i:j], 4) for x in c]]))
+                rows.append((int(shard[i]), _RARE, j - i, 0, j - i, b"", b"", data))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _KINDS, strict=True)], names=_NAMES)
+
+        for b in batches:
+            held.append(np.stack([np.asarray(x).astype(np.int64) for x in b.columns]))
+            if sum(x.shape[1] for x in held) >= _SUMS:
+                yield from emit()
+        if held:
+            yield from emit()
+        release()
+
+    return run
+
+
 class _Model:
     """One model's probabilities in a shard, but for the last order."""
 
@@ -206,6 +265,7 @@ class _Model:
         cut = _cut(n, d3)
         size = int(pair[-1]) + 1 if len(pair) else 0
         total = np.bincount(pair, weights=n, minlength=size)
+        self.seen = total > 0
         self.mass3 = np.where(total > 0, np.bincount(pair, weights=cut, minlength=size) / np.maximum(total, 1), 1.0)
         self.own3 = (n - cut) / np.maximum(total[pair], 1)
         self.pairs, c = np.unique((v * many + w)[n > 0], return_counts=True)
@@ -216,76 +276,100 @@ class _Model:
 
 
 class _Shard:
-    def __init__(self, number: int, words: np.ndarray, rows: list[np.ndarray], shared: dict):
+    def __init__(self, number: int, words: np.ndarray, rows: list[np.ndarray], rare: list[tuple], shared: dict):
         v, u, w, *n = rows
-        self.number, self.words, self.many = number, words, max(1, len(words))
+        self.number, self.words, self.many, self.shared = number, words, max(1, len(words)), shared
         self.pairs, pair = np.unique(v * self.many + u, return_inverse=True)
         self.keys = pair * self.many + w
         self.models = [_Model(v, w, self.many, pair, x, d2, d3) for x, d2, d3 in zip((*n, n[0] + n[1]), shared["d2"], shared["d3"], strict=True)]
-
-    def parts(self, words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each model: what a trigram's probability is without the last order's, and that one's factor."""
+        found = [np.concatenate(x) for x in zip(*rare)] if rare else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3
+        order = np.argsort(found[0])
+        self.rare = found[0][order]
+        self.last = [_last(c[order], *shared["last"][f]) for f, c in enumerate(found[1:])]
+
+    def costs(self, words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, needed: list[np.ndarray]) -> list[np.ndarray]:
+        """For each model: its log10 probabilities of the trigrams that need it.
+
+        Where a word outside the vocabulary follows another one for the first time, the last order's share is left to that word's shard;
+        this one adds it for its own words, each as the middle of the next trigram.
+        """
+        vocabulary = self.shared["words"]
+        common, rare = _at(vocabulary, words), _at(self.rare, words)
+        own = (common < 0) & (words != START)
         known = _at(self.words, words)
-        v, u, w = known[v], known[u], known[w]
-        pair = np.where((v >= 0) & (u >= 0), _at(self.pairs, v * self.many + u), -1)
-        whole = np.where((pair >= 0) & (w >= 0), _at(self.keys, pair * self.many + w), -1)
         look = lambda values, at, other: np.where(at >= 0, values[np.maximum(at, 0)], other) if len(values) else np.full(len(at), other)
+        kv, ku, kw = known[v], known[u], known[w]
+        pair = np.where((kv >= 0) & (ku >= 0), _at(self.pairs, kv * self.many + ku), -1)
+        whole = np.where((pair >= 0) & (kw >= 0), _at(self.keys, pair * self.many + kw), -1)
         out = []
-        for f in self.models:
-            mass3, mass2 = look(f.mass3, pair, 1.0), look(f.mass2, v, 1.0)
-            two = np.where((v >= 0) & (w >= 0), _at(f.pairs, v * self.many + w), -1)
-            out.append((look(f.own3, whole, 0.0) + mass3 * look(f.own2, two, 0.0), mass3 * mass2))
+        for f, (m, at) in enumerate(zip(self.models, needed, strict=True)):
+            here, mid, word = pair[at], kv[at], w[at]
+            mass3 = look(m.mass3, here, 1.0)
+            two = np.where((mid >= 0) & (kw[at] >= 0), _at(m.pairs, mid * self.many + kw[at]), -1)
+            higher, factor = look(m.own3, whole[at], 0.0) + mass3 * look(m.own2, two, 0.0), mass3 * look(m.mass2, mid, 1.0)
+            last = np.where(common >= 0, self.shared["p"][f][np.maximum(common, 0)], look(self.last[f], rare, self.shared["last"][f][2]))
+            p = np.where((higher == 0) & own[word], factor, higher + factor * last[word])
+            later = np.where(own, np.log10(last), 0.0)[v[at]]
+            out.append(np.log10(p) + np.where(look(m.seen, here, False), 0.0, later))
         return out
 
 
+def _last(c: np.ndarray, d: list[float], total: float, base: float) -> np.ndarray:
+    """The last order's probabilities by how many distinct words precede a word."""
+    return (c - _cut(c, d)) / max(1.0, total) + base
+
+
 def _scored(variables):
-    """Shards' counts, each before the trigrams of texts in it -> sums by document; trigrams that end in a word outside the vocabulary with the parts of their probabilities."""
+    """Each shard's words outside the vocabulary, then its counts, then the trigrams of texts in it -> sums by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = variables.value
         vocabulary, other = shared["words"], np.array(shared["other"])
         model, sums, held = None, [], 0
-
-        def emit(columns: list) -> pa.RecordBatch:
-            size = len(columns[0])
-            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, _FOUND_KINDS, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
+        rare: list[tuple] = []
+        rare_of = -1
 
         def summed() -> pa.RecordBatch:
             uid, own = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
             lp, crossed, n = (np.bincount(own, weights=np.concatenate([s[k] for s in sums]), minlength=len(uid)) for k in (1, 2, 3))
             sums.clear()
-            return emit([uid, lp, crossed, n.astype(np.int64), *[None] * 8])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, lp, crossed, n.astype(np.int64))], names=["uid", "lp", "crossed", "n"])
 
         for number, kind, codes, common, n, uids, folds, data in _rows(batches):
-            words, rows = _unpacked(codes, common, n, data, vocabulary if kind else vocabulary[:0], 4 if kind else 5)
-            if not kind:
-                model = _Shard(number, words, rows, shared)
+            if rare_of != number:
+                rare, rare_of = [], number
+            if kind == _RARE:
+                raw = zstandard.ZstdDecompressor().decompress(data)
+                rare.append((np.frombuffer(raw, np.uint64, n), *[_numbers(raw, n, 8 * n + 4 * n * f, 4).astype(np.int64) for f in MODELS]))
+                continue
+            words, rows = _unpacked(codes, common, n, data, vocabulary if kind == _TEXTS else vocabulary[:0], 4 if kind == _TEXTS else 5)
+            if kind == _COUNTS:
+                model = None  # the one before goes first
+                model = _Shard(number, words, rows, rare, shared)
                 continue
             if model is None or model.number != number:
-                model = _Shard(number, words[:0], [np.zeros(0, np.int64)] * 5, shared)
+                model = _Shard(number, words[:0], [np.zeros(0, np.int64)] * 5, rare, shared)
             v, u, w, doc = rows
             uid, fold = np.frombuffer(uids, np.int64), np.frombuffer(folds, np.uint8)
             new = np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
             first, own = np.flatnonzero(new), np.cumsum(new) - 1
-            parts = model.parts(words, v[first], u[first], w[first])
-            last = _at(vocabulary, words[w[first]])
-            rare = last < 0
-            costs, rest = [], []
-            for f, (a, b) in enumerate(parts):
-                # a rare word's factor counts now; its last order, and what other orders add to it, later
-                apart = rare & (a == 0)
-                p = np.where(rare, np.where(apart, b, 1.0), a + b * shared["p"][f][np.maximum(last, 0)] if len(vocabulary) else 1.0)
-                costs.append(np.log10(p)[own])
-                rest += [a, np.where(apart, 1.0, b)]
-            crossed = np.choose(other[fold[doc]], costs)
-            sums.append((uid, *[np.bincount(doc, weights=x, minlength=len(uid)) for x in (costs[2], crossed)], np.bincount(doc, minlength=len(uid))))
+            second = other[fold][doc]  # the model of the second score
+            needs = [np.flatnonzero(second == f) for f in (0, 1)]
+            needed = []
+            for at in needs:
+                asked = np.zeros(len(first), bool)
+                asked[own[at]] = True
+                needed.append(np.flatnonzero(asked))
+            *halves, whole = model.costs(words, v[first], u[first], w[first], [*needed, np.arange(len(first))])
+            cost = whole[own]
+            crossed = cost.copy()
+            for at, asked, x in zip(needs, needed, halves, strict=True):
+                crossed[at] = x[np.searchsorted(asked, own[at])]
+            sums.append((uid, *[np.bincount(doc, weights=x, minlength=len(uid)) for x in (cost, crossed)], np.bincount(doc, minlength=len(uid))))
             held += len(uid)
             if held >= _SUMS:
                 yield summed()
                 held = 0
-            at = np.flatnonzero(rare[own])
-            if len(at):
-                yield emit([uid[doc[at]], None, None, None, words[w[at]].view(np.int64), *[x[own[at]] for x in rest], fold[doc[at]]])
         if sums:
             yield summed()
         release()
@@ -294,7 +378,7 @@ def _scored(variables):
 
 
 def perplexities(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs (uid, fold, text); fold 0 or 1 trains, NO_FOLD does not -> uid, n (words and ends), lp (their log10 probability), crossed (the same without the fold), sums over the rows of one uid."""
+    """docs (uid, fold, text); fold 0 or 1 trains, NO_FOLD does not -> uid, lp (log10 probability of words and ends), crossed (the same without the fold), n (words and ends), sums over the rows of one uid."""
     spark = docs.sparkSession
     docs = docs.select("uid", F.coalesce("fold", F.lit(NO_FOLD)).alias("fold"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -302,37 +386,47 @@ def perplexities(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     training = docs.where(F.col("fold") != NO_FOLD)
     some = training.select("text").limit(CODED).mapInArrow(_texts_words, "w long").toPandas()["w"].to_numpy(dtype=np.int64)
     coding = spark.sparkContext.broadcast({"words": np.unique(some.view(np.uint64))})
-    train = training.mapInArrow(_dealt(bits, coding, False), _BLOB)
+    train = training.mapInArrow(_dealt(bits, coding, False, 0, 1 << bits), _BLOB)
     counted = materialize(train.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(_counted, coding), _COUNTED), "shard-counts")
-    last = counted.select(F.explode(F.arrays_zip("w", "c0", "c1", "c2")).alias("x")).groupBy("x.w").agg(*[F.sum(f"x.c{f}").alias(f"c{f}") for f in MODELS])
+    last = counted.select("shard", F.explode(F.arrays_zip("w", "c0", "c1", "c2")).alias("x")).groupBy("x.w").agg(*[F.sum(f"x.c{f}").alias(f"c{f}") for f in MODELS], F.collect_list("shard").alias("shards"))
     last = materialize(last, "predecessors")
     sums = counted.select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
     stats = np.zeros(24)
     for r in sums:
         stats[r["k"]] = r["x"]
     per = last.agg(*[g for f in MODELS for g in (F.sum(f"c{f}").alias(f"t{f}"), F.count_if(F.col(f"c{f}") > 0).alias(f"v{f}"), *[F.count_if(F.col(f"c{f}") == k).alias(f"n{f}{k}") for k in (1, 2, 3, 4)], F.count_if(F.col(f"c{f}") >= 3).alias(f"m{f}"))]).first()
-    top = last.orderBy(F.desc("c2"), "w").limit(VOCABULARY).toPandas()
-    words = top["w"].to_numpy(dtype=np.int64).view(np.uint64)
+    counts = last.select("w", *[f"c{f}" for f in MODELS])
+    top = [tuple(r) for part in (counts.where(F.col("w") == END), counts.where(F.col("w") != END).orderBy(F.desc("c2"), "w").limit(VOCABULARY)) for r in part.collect()]
+    if not top or top[0][0] != END:
+        top.insert(0, (END, 0, 0, 0))  # no training text
+    top = np.array(top, np.int64)
+    words = top[:, 0].copy().view(np.uint64)
     order = np.argsort(words)
-    shared = {"words": words[order], "p": [], "d2": [discounts(*stats[8 * f : 8 * f + 4]) for f in MODELS], "d3": [discounts(*stats[8 * f + 4 : 8 * f + 8]) for f in MODELS]}
-    by_count = []
+    shared = {"words": words[order], "p": [], "last": [], "d2": [discounts(*stats[8 * f : 8 * f + 4]) for f in MODELS], "d3": [discounts(*stats[8 * f + 4 : 8 * f + 8]) for f in MODELS]}
     for f in MODELS:
         d = discounts(*[float(per[f"n{f}{k}"]) for k in (1, 2, 3, 4)])
         total = float(per[f"t{f}"] or 0)
         mass = (d[0] * per[f"n{f}1"] + d[1] * per[f"n{f}2"] + d[2] * per[f"m{f}"]) / total if total else 1.0
-        base, c = mass / (per[f"v{f}"] + 1), top[f"c{f}"].to_numpy(dtype=np.int64)[order]
-        shared["p"].append((c - _cut(c, d)) / max(1.0, total) + base)
-        col = F.coalesce(f"c{f}", F.lit(0))
-        cut = F.when(col == 1, d[0]).when(col == 2, d[1]).otherwise(d[2])
-        by_count.append(F.when(col > 0, (col - cut) / F.lit(max(1.0, total)) + base).otherwise(F.lit(float(base))))
+        shared["last"].append((d, total, mass / (per[f"v{f}"] + 1)))
+        shared["p"].append(_last(top[order, 1 + f], *shared["last"][f]))
     # the model of a document's second score, by its fold
     shared["other"] = [1 if per["t1"] else 2, 0 if per["t0"] else 2, 2]
     variables = spark.sparkContext.broadcast(shared)
-    texts = docs.mapInArrow(_dealt(bits, variables, True), _BLOB)
-    both = counted.select(*_NAMES).unionByName(texts).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = materialize(both.mapInArrow(_scored(variables), _FOUND), "shard-sums")
-    logs = [F.log10(F.col(f"a{f}") + F.col(f"b{f}") * by_count[f]) for f in MODELS]
-    crossed = F.element_at(F.array(*logs), F.element_at(F.array(*[F.lit(k) for k in shared["other"]]), F.col("fold") + 1) + 1)
-    rare = found.where("w IS NOT NULL").join(last, "w", "left").select("uid", logs[2].alias("lp"), crossed.alias("crossed"), F.lit(0).cast("long").alias("n"))
-    whole = found.where("w IS NULL").select("uid", "lp", "crossed", "n").unionByName(rare)
-    return whole.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("lp", "crossed", "n")])
+    home = F.shiftrightunsigned("w", 64 - bits).cast("int") if bits else F.lit(0)
+    homes = last.select(F.explode(F.array_union("shards", F.array(home))).alias("shard"), "w", *[f"c{f}" for f in MODELS])
+    rare = materialize(homes.mapInArrow(_apart(variables), _BLOB), "rare-words")
+    discard(last)
+    found, shards = None, 1 << bits
+    rounds = min(ROUNDS, shards)
+    for k, part in product(range(rounds), range(PARTS)):
+        low, high = k * shards // rounds, (k + 1) * shards // rounds
+        mine = F.col("shard").between(low, high - 1)
+        texts = docs.where(F.pmod(F.xxhash64("uid"), F.lit(PARTS)) == part).mapInArrow(_dealt(bits, variables, True, low, high), _BLOB)
+        both = counted.select(*_NAMES).where(mine).unionByName(rare.where(mine)).unionByName(texts).repartition("shard").sortWithinPartitions("shard", "kind")
+        more, before = both.mapInArrow(_scored(variables), _FOUND), found
+        more = more if before is None else more.unionByName(before)
+        found = materialize(more.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("lp", "crossed", "n")]), "shard-sums")
+        if before is not None:
+            discard(before)
+    discard(counted, rare)
+    return found

@@ -156,3 +156,24 @@ def test_every_trusted_document_of_many_counts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: r.log10_prob for r in quality.classify(docs, docs.where("doc_id < 1500").select("doc_id")).collect()}
     assert all(found[10_000 + i] > found[20_000] for i in range(1500))
+
+
+def test_tables_hold_a_row_per_document_and_shuffles_go(spark, monkeypatch):
+    """Words outside the vocabulary make no rows of their own, and what was shuffled for a written table is gone."""
+    from corpusgraph.llm import ngram_shards
+
+    tables, kept = {}, ngram_shards.materialize
+    shuffled = lambda: sum("shuffle_" in f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+    def noted(df, name):
+        before = shuffled()
+        out = kept(df, name)
+        tables.setdefault(name, []).append((out.count() if name == "shard-sums" else 0, shuffled() - before))
+        return out
+
+    monkeypatch.setattr(ngram_shards, "VOCABULARY", 3)
+    monkeypatch.setattr(ngram_shards, "materialize", noted)
+    docs = spark.createDataFrame([(i, i % 3, f"a b w{i} x{i // 2} y{i % 7} " * 3) for i in range(60)], "uid long, fold int, text string")
+    assert ngram_shards.perplexities(docs, 1000).count() == 60
+    assert max(n for n, _ in tables["shard-sums"]) <= 60
+    assert all(left <= 0 for name in ("shard-counts", "predecessors") for _, left in tables[name])
