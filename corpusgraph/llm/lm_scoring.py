@@ -109,13 +109,25 @@ def packed(table: np.ndarray) -> np.ndarray:
     return (np.clip(np.rint(odds * 128), -2047, 2047).astype(np.int16) << 3) | _seen_level(n.sum(axis=1)).astype(np.int16)
 
 
+def left_out(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table's log-odds without one occurrence of a bit, and how often the slot was then seen; by slot and bit."""
+    n = np.repeat(table.astype(np.float32), 2, axis=0)
+    n[np.arange(len(n)), np.arange(len(n)) % 2] -= 1
+    np.maximum(n, 0, out=n)
+    return np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)), _seen_level(n.sum(axis=1)).astype(np.int8)
+
+
 def _inputs(d: dict, tables: list[np.ndarray], leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
     """Every decision's four log-odds, and its gate."""
     y = d["y"]
     x = np.full((len(y), INPUTS), 0.3, np.float32)  # one is constant
     seen = []
     for k, (table, slot) in enumerate(zip(tables, d["slots"], strict=True)):
-        if table.ndim == 1:
+        if isinstance(table, tuple):
+            at = 2 * slot + y
+            x[:, k] = table[0].take(at)
+            seen.append(table[1].take(at))
+        elif table.ndim == 1:
             found = table.take(slot)
             x[:, k] = (found >> 3) * np.float32(1 / 128)
             seen.append(found & 7)
@@ -132,7 +144,7 @@ def _inputs(d: dict, tables: list[np.ndarray], leave_out: bool) -> tuple[np.ndar
 
 
 def mixed(x: np.ndarray, gate: np.ndarray, y: np.ndarray, start: np.ndarray, length: np.ndarray, weights: np.ndarray, apm: np.ndarray, gather: dict | None = None) -> np.ndarray:
-    """The cost in bits of each sequence of decisions. x: every decision's log-odds; gather collects what weights and map have learned.
+    """The cost in bits of each sequence of decisions. x: every decision's log-odds; gather collects what weights and map have learned, without costs.
 
     Sequences run side by side, longest first; the last few go on one after another.
     """
@@ -168,13 +180,15 @@ def mixed(x: np.ndarray, gate: np.ndarray, y: np.ndarray, start: np.ndarray, len
         own += s
         w[row] = own.view(np.complex128).ravel()
         a[place] = q + apm_rate * (bit - q)
-        p += q
-        p *= np.float32(0.5)
-        cost[:n] -= np.log2(np.maximum(np.abs(p - (1 - bit)), np.float32(1e-9)))
-        if gather is not None:
+        if gather is None:
+            p += q
+            p *= np.float32(0.5)
+            cost[:n] -= np.log2(np.maximum(np.abs(p - (1 - bit)), np.float32(1e-9)))
+        else:
             used[row] += 1
-            np.add.at(gather["apm_n"], place - base_a[:n], 1)
-            np.add.at(gather["apm_y"], place - base_a[:n], bit)
+            place -= base_a[:n]
+            gather["apm_n"] += np.bincount(place, minlength=APM_STEPS)
+            gather["apm_y"] += np.bincount(place, weights=bit, minlength=APM_STEPS)
     for i in range(int(live[done]) if done < len(live) else 0):
         at = slice(start[i] + done, start[i] + length[i])
         sets = w.view(np.float32).reshape(count, gates, INPUTS)[i].astype(float).tolist()
@@ -206,7 +220,7 @@ def _one_by_one(x: list, gate: list, y: list, sets: list, a: list) -> float:
 
 
 def mix_bits(d: dict, tables: list[np.ndarray], weights: np.ndarray, apm: np.ndarray, leave_out: bool = False, gather: dict | None = None) -> np.ndarray:
-    """Each spelled word's cost in bits. tables are counts, or packed."""
+    """Each spelled word's cost in bits. tables are counts, packed, or without one occurrence (``left_out``)."""
     x, gate = _inputs(d, tables, leave_out)
     return mixed(x, gate, d["y"], d["start"], d["length"], weights, apm, gather)
 
@@ -275,12 +289,12 @@ def _learned(rows: DataFrame, bits_of, tables, column: str) -> tuple[np.ndarray,
     gates, inputs = LEVELS * LEVELS, INPUTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, (w, apm) = bits_of(), fresh()
+        make, (w, apm), ready = bits_of(), fresh(), [left_out(x) for x in tables.value]
         got = {"w": np.zeros((gates, inputs)), "n": np.zeros(gates), "apm_n": np.zeros(APM_STEPS), "apm_y": np.zeros(APM_STEPS)}
         for b in batches:
             for part in _parts(as_bytes(b.column(0))):
                 d = make(part)
-                mix_bits(d, tables.value, w, apm, True, got)
+                mix_bits(d, ready, w, apm, gather=got)
                 w = np.where(got["n"][:, None] > 0, got["w"] / np.maximum(got["n"], 1)[:, None], w)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in got.values()]).tolist()], pa.list_(pa.float64()))], names=["sums"])
 

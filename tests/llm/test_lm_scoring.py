@@ -250,3 +250,12 @@ def test_every_rare_word_teaches_spelling(spark, monkeypatch):
     found = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary_size=10).collect()
     assert all(r.score < 0 and math.isfinite(r.score) for r in found)
     assert taught == {w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()} and len(taught) > 30_000
+
+
+def test_spelling_learns_as_from_counts_without_one():
+    """Log-odds looked up by slot and bit are those of counts without the decision's own occurrence."""
+    words = [b"a", b"ab", b"abc", b"abd", b"zz", "ü☃".encode()] * 3
+    d = lm.spelling_bits(words)
+    tables = [np.bincount(2 * s + d["y"], minlength=2 * lm.SPELL_SLOTS).reshape(-1, 2).astype(np.uint32) for s in d["slots"]]
+    want, got = lm._inputs(d, tables, True), lm._inputs(d, [lm.left_out(t) for t in tables], False)
+    assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
