@@ -147,6 +147,29 @@ def test_affinity(spark):
     assert [(r.a, r.b) for r in got] == [("a", "b")] and got[0].cosine > 0.9
 
 
+def test_affinity_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(do, "BLOCK", 9)
+    monkeypatch.setattr(do, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    counts = {f"p{d:02}": {f"t{t}": int(rng.integers(1, 9)) for t in set((rng.zipf(1.4, 25) % 60).tolist())} for d in range(40)}
+    counts["p40"] = counts["p39"]
+    terms = spark.createDataFrame([(p, t, n) for p, of in counts.items() for t, n in of.items()] + [(None, "t1", 3)], "path string, lemma string, n long")
+    df = {}
+    for of in [*counts.values(), {"t1": 3}]:
+        for t in of:
+            df[t] = df.get(t, 0) + 1
+    vectors = {}
+    for p, of in counts.items():
+        w = {t: (1 + np.log(n)) * np.log(42 / df[t]) for t, n in of.items() if df[t] <= 21}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        vectors[p] = {t: x / length for t, x in w.items()}
+    want = {(a, b): sum(x * vectors[b].get(t, 0) for t, x in vectors[a].items()) for a in vectors for b in vectors if a < b}
+    pairs = do.affinity(terms, 42, max_pairs=None)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()  # no candidates are shuffled
+    got = {(r.a, r.b): r.cosine for r in pairs.collect()}
+    assert got == pytest.approx({k: x for k, x in want.items() if x >= 0.12}) and len(got) > 20
+
+
 def test_parsers(spark):
     rtf = r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}Coraz\'f3n\par \u241?o fin}"
     assert pr.rtf_text(rtf) == "Corazón\nño fin"
