@@ -109,3 +109,16 @@ def test_views_on_small_cases(spark):
     groups = {r.path: (r.folder, r.community) for r in views.folder_groups(spark.createDataFrame([("b/x",), ("a/y",), ("a/z",), ("top",)], "path string")).collect()}
     assert groups == {"a/y": ("a", 0), "a/z": ("a", 0), "b/x": ("b", 1), "top": ("", 2)}
     assert [r.n for r in spark.createDataFrame([("a/b.c.txt",), ("",), (None,)], "p string").select(views.short_name(F.col("p")).alias("n")).collect()] == ["b.c", "un documento", "un documento"]
+
+
+def test_texts_are_analysed_as_the_expressions_do(spark):
+    from corpusgraph.functions import text as tx
+
+    texts = ["Los hospitales grandes. Dr. Pérez corre_y come.\n\n\nCasas y casas, Casas.", "", " \n ", "the of and to in is was on the of and to in is was on the of and running cities"]
+    rows = spark.createDataFrame([(f"d/{i}.txt", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {r.path: r for r in assembly.assembled(rows).collect()}
+    known = rows.withColumn("language", tx.language(F.col("text"))).withColumn("t", tx.tokens(F.col("text"), F.col("language"))).withColumn("s", tx.sentences(F.col("text")))
+    for r in known.collect():
+        assert (got[r.path].language, got[r.path].tokens, got[r.path].sentences) == (r.language, len(r.t), len(r.s))
+    assert [(t.lemma, t.form, t.n) for t in got["d/0.txt"].terms][0] == ("casa", "Casas", 3)
+    assert "ArrowEvalPython" not in assembly.assembled(rows)._jdf.queryExecution().executedPlan().toString()  # terms are stored with the rest
