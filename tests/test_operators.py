@@ -266,3 +266,26 @@ def test_communities_of_a_million_links(spark):
     found = clustering.communities(spark.range(n), edges)
     mixed = found.groupBy("community").agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.col("id") / size)).alias("planted")).collect()
     assert len(mixed) == n // size and all(r.n == size and r.planted == 1 for r in mixed)
+
+
+def test_missing_bridges_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    nodes = [(i, f"w{i}", float(rng.integers(1, 9)), i % 4) for i in range(16)]
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 16, (60, 2)) if a < b})
+    held = sorted({(f"w{rng.integers(0, 18)}", f"p{rng.integers(0, 60)}") for _ in range(130)})
+    near = {i: [b if a == i else a for a, b in edges if i in (a, b)] for i in range(16)}
+    of = {p: {x for x, q in held if q == p} for _, p in held}
+    want = set()
+    for i, lemma, between, _ in nodes:
+        count = {c: sum(j % 4 == c for j in near[i]) for c in range(4)}
+        sides = sorted((c for c in count if count[c]), key=lambda c: (-count[c], c))[:2]
+        own = [s for s in of.values() if lemma in s]
+        if len(near[i]) < 2 or len(sides) < 2 or len(own) < 2:
+            continue
+        met = [[any(f"w{j}" in s for j in near[i] if j % 4 == c) for c in sides] for s in own]
+        if any(map(all, met)) or not any(m[0] for m in met) or not any(m[1] for m in met):
+            continue
+        want.add((i, sides[0], sides[1], sum(m[0] for m in met), sum(m[1] for m in met), between * min(count[c] for c in sides)))
+    tables = spark.createDataFrame(nodes, "id long, lemma string, betweenness double, community long"), spark.createDataFrame(edges, "a_id long, b_id long"), spark.createDataFrame(held, "lemma string, path string")
+    got = gaps.missing_bridges(*tables, limit=None)
+    assert {(r.id, r.community_a, r.community_b, r.docs_a, r.docs_b, r.score) for r in got.collect()} == want and want
