@@ -21,10 +21,6 @@ def _tokens(spark, sf):
     return co.token_rows(corpus(spark, sf))
 
 
-def _analysis(spark, sf):
-    return co.analyzed(spread(corpus(spark, sf).select("path", "text")))
-
-
 def _distinct_keys(spark, sf):
     words = spread(read(spark, sf, "documents").select("text")).select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).distinct()
     return words.select(tx.term_key(F.col("w")).alias("key")).distinct()
@@ -117,7 +113,7 @@ def concept_edges(spark, sf):
 
 @R.add(f"WITH {TOKENS}, {PAIRS}, q AS (SELECT DISTINCT a, b, path, sentence FROM pair), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY path, sentence) AS sample FROM q) SELECT a, b, path, sentence, sample FROM r WHERE sample <= 3")
 def edge_samples(spark, sf):
-    return co.edge_samples(co.pair_rows(_analysis(spark, sf)))
+    return co.document_samples(corpus(spark, sf))
 
 
 @R.add(f"""WITH p AS (SELECT DISTINCT url AS path FROM pages), t AS (SELECT path, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '[/\\\\]', ' ', 'g'), '\\.[A-Za-z0-9]{{1,5}}$', ' '), '[_\\-.]+', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[\\p{{L}}\\p{{N}}]{{3,}}')) AS w FROM p),

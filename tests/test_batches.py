@@ -41,6 +41,9 @@ def test_counts_within_tasks(spark, monkeypatch):
     assert _rows(tallies.terms(docs, 5)) == _rows(co.term_frequencies(rows, 5).select("path", "lemma", "form", "n", "rank"))
     assert _rows(tallies.nodes(docs)) == _rows(co.concept_nodes(rows).select("lemma", "form", "frequency", "docs"))
     assert _rows(tallies.edges(docs)) == _rows(co.concept_edges(co.pair_rows(analysis)))
+    samples = tallies.edge_samples(docs, 3)
+    assert _rows(samples) == _rows(co.edge_samples(co.pair_rows(analysis)).select("a", "b", "path", "sentence", "sample"))
+    assert tallies.edge_samples(docs, 3)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # a pair's places are shuffled once
     assert _rows(tallies.lemma_counts(docs)) == _rows(rows.select("path", "lemma").distinct().groupBy("path").agg(F.count("*").alias("terms")))
 
 
